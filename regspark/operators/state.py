@@ -52,8 +52,8 @@ def point_ids(existing_max: DataFrame, new: DataFrame, order: str) -> DataFrame:
     ``existing_max`` is one row: next_id. The order column is a unique whole number.
     """
     numbered = row_numbers(new.withColumn("_all", F.lit(1)), ["_all"], order, "_n").drop("_all")
-    first = existing_max.agg(F.coalesce(F.max("next_id"), F.lit(0)).alias("base"))  # a global aggregate is one row
-    return numbered.join(F.broadcast(first)).withColumn("point_id", F.col("base") + F.col("_n") - 1).drop("_n", "base")
+    base = existing_max.agg(F.coalesce(F.max("next_id"), F.lit(0)).cast("long").alias("base")).scalar()
+    return numbered.withColumn("point_id", base + F.col("_n") - 1).drop("_n")
 
 
 def cache_aside(requests: DataFrame, cache: DataFrame, key: str, compute) -> tuple[DataFrame, DataFrame]:
