@@ -111,7 +111,7 @@ def address_variants(address: Column | str) -> Column:
 
     options = F.when(typed, F.array(address, *spell(X.TYPED_REWRITES), F.concat(name, tail))) \
         .otherwise(F.array(address, *spell(X.UNTYPED_REWRITES)))
-    cleaned = F.filter(F.transform(options, F.trim), lambda v: v != "")
+    cleaned = F.filter(F.transform(options, lambda v: F.trim(v)), lambda v: v != "")
     lowered = F.transform(cleaned, F.lower)
     return F.filter(cleaned, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
 

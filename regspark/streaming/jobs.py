@@ -19,11 +19,15 @@ from regspark.sources.sinks import path_exists
 STATE_SCHEMA = "chunk_id string, keywords array<string>, questions array<string>, summary string, indexed boolean, seq long"
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """M5: newest state row per chunk; an empty table before the first run."""
+def read_state(spark: SparkSession, path: str, skip: str = "") -> DataFrame:
+    """M5: newest state row per chunk; an empty table before the first run.
+
+    ``skip`` leaves out the folder of one batch, so a retried batch never reads the rows it is about to replace.
+    """
     if not path_exists(spark, path):
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return latest_state(spark.read.schema(STATE_SCHEMA + ", batch string").parquet(path), ts="seq", tie="indexed").drop("batch", "seq")
+        return spark.createDataFrame([], STATE_SCHEMA).drop("seq")
+    log = spark.read.schema(STATE_SCHEMA + ", batch string").parquet(path).filter(F.col("batch") != skip)
+    return latest_state(log, ts="seq", tie="indexed").drop("batch", "seq")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -47,7 +51,7 @@ def index_batch(chunks: DataFrame, embedder: EmbeddingProvider, index_path: str,
 
 def enrich_batch(chunks: DataFrame, provider: TextProvider | None, state_path: str, name: str, seq: int) -> None:
     """M4: enrich the chunks of a batch that have no state yet; rows the provider did not finish stay pending (M3)."""
-    todo = to_enrich(chunks, read_state(chunks.sparkSession, state_path))
+    todo = to_enrich(chunks, read_state(chunks.sparkSession, state_path, skip=name))
     done = enrich_chunks(todo, provider).filter(F.col("status").isin("ok", "empty"))
     _write_batch(done.select("chunk_id", "keywords", "questions", "summary", F.lit(False).alias("indexed"),
                              F.lit(seq).cast("long").alias("seq")), state_path, name)
@@ -86,7 +90,7 @@ def two_phase_run(chunks: DataFrame, provider: TextProvider | None, embedder: Em
     base = [c for c in chunks.columns if c not in ("keywords", "questions", "summary")]
 
     def drain(step: str, seq: int) -> None:
-        state = read_state(spark, state_path)
+        state = read_state(spark, state_path, skip=f"r{run:06d}{step}")
         backlog = to_index(chunks.select(*base), state).join(
             state.select("chunk_id", "keywords", "questions", "summary"), "chunk_id")
         index_batch(backlog, embedder, index_path, state_path, f"r{run:06d}{step}", seq)
