@@ -20,20 +20,20 @@ def number_parts(number: Column | str) -> list[Column]:
 def reference_candidates(text: Column | str, compat: bool = False) -> Column:
     """Every match of the prioritised patterns as ``array<struct<priority, pattern, pos, number, source>>``."""
     text = _col(text)
-    out = []
-    for i, (priority, kind, pattern) in enumerate(X.REFERENCES):
-        acronym = "([A-Z]{2,10})" if compat else "((?-i:[A-Z]{2,10}))"
+    naming = {
+        "own": lambda s: F.lit(X.OWN_SOURCE), "none": lambda s: F.lit(X.NO_SOURCE),
+        "law": lambda s: F.concat(F.lit("Ley "), s), "named": lambda s: s, "acronym": F.upper,
+    }
+    acronym = "([A-Z]{2,10})" if compat else "((?-i:[A-Z]{2,10}))"
+
+    def found(index: int, priority: int, kind: str, pattern: str) -> Column:
         regex = "(?iu)" + pattern.replace("{acr}", acronym)
-        numbers, sources = C.matches(text, regex, 1), C.matches(text, regex, 2)
-        naming = {
-            "own": lambda s: F.lit(X.OWN_SOURCE), "none": lambda s: F.lit(X.NO_SOURCE),
-            "law": lambda s: F.concat(F.lit("Ley "), s), "named": lambda s: s, "acronym": F.upper,
-        }[kind]
-        pairs = F.arrays_zip(numbers.alias("n"), sources.alias("s"))
-        out.append(F.transform(pairs, lambda p, j, i=i, pr=priority, nm=naming: F.struct(
-            F.lit(pr).alias("priority"), F.lit(i).alias("pattern"), j.alias("pos"), p["n"].alias("number"),
-            nm(p["s"]).alias("source"))))
-    return F.concat(*out)
+        pairs = F.arrays_zip(C.matches(text, regex, 1).alias("n"), C.matches(text, regex, 2).alias("s"))
+        return F.transform(pairs, lambda p, j: F.struct(
+            F.lit(priority).alias("priority"), F.lit(index).alias("pattern"), j.alias("pos"), p["n"].alias("number"),
+            naming[kind](p["s"]).alias("source")))
+
+    return F.concat(*[found(i, *rule) for i, rule in enumerate(X.REFERENCES)])
 
 
 def extract_references(articles: DataFrame, keys: list[str], text: str, compat: bool = False) -> DataFrame:
