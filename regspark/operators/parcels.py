@@ -132,6 +132,17 @@ def street_candidates(addresses: DataFrame, streets: DataFrame) -> DataFrame:
         .select("address_id", "v.*")
 
 
+def cadastral_layers(parcels: DataFrame, buildings: DataFrame, blocks: DataFrame, streets: DataFrame) -> DataFrame:
+    """Every building with its parcel, the block of the parcel and the street in front of it.
+
+    ``parcels``: refcat, masa, via. ``buildings``: refcat, .... ``blocks``: masa, .... ``streets``: via, ....
+    A parcel, block or street that holds most buildings is spread by the other columns of the row.
+    """
+    spread = [c for c in buildings.columns if c != "refcat"]
+    placed = salted_join(buildings, parcels, ["refcat"], spread)
+    return salted_join(salted_join(placed, blocks, ["masa"], ["refcat"] + spread, "left"), streets, ["via"], ["refcat"] + spread, "left")
+
+
 def zone_precedence(resolved: DataFrame) -> DataFrame:
     """Ordinance by reference, else by coordinates, with the origin. Columns ord_by_ref, name_by_ref,
     ord_by_point, name_by_point."""

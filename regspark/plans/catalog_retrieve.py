@@ -166,14 +166,15 @@ def _(spark, sf):
 
 
 @register("v14_locate_articles", rf"""{D.with_shared('page_texts')}, nums AS (SELECT DISTINCT doc, CAST(page AS VARCHAR) AS number FROM page_texts),
-hit AS (SELECT p.doc, number, page, text, coalesce(nullif(strpos(text, 'Art. ' || number || '.'), 0), nullif(strpos(text, 'Art.' || number || '.'), 0), nullif(strpos(text, 'Art ' || number || '.'), 0)) AS at
+hit AS (SELECT p.doc, number, page, text, coalesce(nullif(strpos(text, 'Art. ' || number || '.'), 0), nullif(strpos(text, 'Art.' || number || '.'), 0), nullif(strpos(text, 'Art ' || number || '.'), 0)) AS at_char
   FROM page_texts p JOIN nums n ON n.doc = p.doc WHERE page >= 7),
-f AS (SELECT * FROM hit WHERE at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc, number ORDER BY page) = 1),
-b AS (SELECT *, substr(text, at, 600) AS context, strpos(substr(text, at + 20), regexp_extract(substr(text, at + 20), 'Art\.\s+\d+\.')) AS nx, regexp_matches(substr(text, at + 20), 'Art\.\s+\d+\.') AS has FROM f)
-SELECT doc, number, page, at, context, CASE WHEN has THEN nx + 19 ELSE length(context) END AS body_chars, CASE WHEN has THEN nx + 19 ELSE length(context) END > 100 AS long_enough FROM b""")
+f AS (SELECT * FROM hit WHERE at_char IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc, number ORDER BY page) = 1),
+b AS (SELECT *, substr(text, at_char, 600) AS context, strpos(substr(text, at_char + 20), regexp_extract(substr(text, at_char + 20), 'Art\.\s+\d+\.')) AS nx, regexp_matches(substr(text, at_char + 20), 'Art\.\s+\d+\.') AS has FROM f)
+SELECT doc, number, page, at_char, context, CASE WHEN has THEN nx + 19 ELSE length(context) END AS body_chars, CASE WHEN has THEN nx + 19 ELSE length(context) END > 100 AS long_enough FROM b""")
 def _(spark, sf):
     pages = D.shared(spark, sf, "page_texts")
-    return V.locate_article(pages, pages.select("doc", F.col("page").cast("string").alias("number")).distinct())
+    return V.locate_article(pages, pages.select("doc", F.col("page").cast("string").alias("number")).distinct()) \
+        .withColumnRenamed("at", "at_char")
 
 
 @register("v15_evaluation_run")
