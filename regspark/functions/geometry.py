@@ -120,17 +120,25 @@ def contains_point(rings: Column, lon: Column, lat: Column) -> Column:
 
 
 def distance_to_rings(rings: Column, lon: Column, lat: Column) -> Column:
-    """Metres from a point to the nearest polygon edge, in the local plane of the point."""
+    """Metres from a point to the nearest polygon edge, in the local plane of the point.
+
+    Every step is its own transform, so no term is computed twice per edge.
+    """
     kx, ky = F.cos(F.radians(lat)) * F.lit(METRES_PER_DEGREE), F.lit(METRES_PER_DEGREE)
 
-    def seg(p: Column, q: Column) -> Column:
-        px, py, qx, qy = (p["lon"] - lon) * kx, (p["lat"] - lat) * ky, (q["lon"] - lon) * kx, (q["lat"] - lat) * ky
-        dx, dy = qx - px, qy - py
-        length = F.nullif(dx * dx + dy * dy, F.lit(0.0))
-        t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(px * dx + py * dy) / length)), F.lit(0.0))
-        return F.sqrt((px + t * dx) * (px + t * dx) + (py + t * dy) * (py + t * dy))
+    def local(p: Column, q: Column) -> Column:
+        return F.struct(((p["lon"] - lon) * kx).alias("x"), ((p["lat"] - lat) * ky).alias("y"),
+                        ((q["lon"] - p["lon"]) * kx).alias("dx"), ((q["lat"] - p["lat"]) * ky).alias("dy"))
+
+    def foot(e: Column) -> Column:
+        t = -(e["x"] * e["dx"] + e["y"] * e["dy"]) / F.nullif(e["dx"] * e["dx"] + e["dy"] * e["dy"], F.lit(0.0))
+        return F.struct(e.alias("e"), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)), F.lit(0.0)).alias("t"))
+
+    def gap(f: Column) -> Column:
+        return F.hypot(f["e"]["x"] + f["t"] * f["e"]["dx"], f["e"]["y"] + f["t"] * f["e"]["dy"])
 
-    return F.array_min(F.flatten(F.transform(rings, lambda r: _edges(r, seg))))
+    edges = F.flatten(F.transform(rings, lambda r: _edges(r, local)))
+    return F.array_min(F.transform(F.transform(edges, foot), gap))
 
 
 def centroid(rings: Column | str) -> Column:

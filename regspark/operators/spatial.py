@@ -16,10 +16,10 @@ from regspark.session import cut_lineage
 
 
 def _cells(polygons: DataFrame, cell: float, margin: int) -> DataFrame:
-    p = polygons.filter(F.col("rings").isNotNull()).withColumns(G.bbox("rings"))
+    p, box = polygons.filter(F.col("rings").isNotNull()), G.bbox("rings")
 
     def span(lo: str, hi: str):
-        return F.sequence((F.floor(F.col(lo) / cell) - margin).cast("long"), (F.floor(F.col(hi) / cell) + margin).cast("long"))
+        return F.sequence((F.floor(box[lo] / cell) - margin).cast("long"), (F.floor(box[hi] / cell) + margin).cast("long"))
 
     return p.withColumn("_cx", F.explode(span("xmin", "xmax"))).withColumn("_cy", F.explode(span("ymin", "ymax")))
 
@@ -36,8 +36,7 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly
     """
     j = salted_join(_pointed(points.select(point_id, "lon", "lat"), cell), _cells(polygons.select(poly_id, "rings"), cell, 0),
                     ["_cx", "_cy"], [point_id], hot_rows=hot_rows)
-    inside = j.filter((F.col("lon") >= F.col("xmin")) & (F.col("lon") <= F.col("xmax")) & (F.col("lat") >= F.col("ymin"))
-                      & (F.col("lat") <= F.col("ymax")) & G.contains_point(F.col("rings"), F.col("lon"), F.col("lat")))
+    inside = j.filter(G.contains_point(F.col("rings"), F.col("lon"), F.col("lat")))
     return inside.groupBy(point_id).agg(F.min(poly_id).alias(poly_id))
 
 
@@ -54,40 +53,42 @@ def polygons_within(points: DataFrame, polygons: DataFrame, point_id: str, poly_
     d = F.when(G.contains_point(F.col("rings"), F.col("lon"), F.col("lat")), F.lit(0.0)) \
         .otherwise(G.distance_to_rings(F.col("rings"), F.col("lon"), F.col("lat")))
     near = j.select(point_id, poly_id, F.round(d, 3).alias("metres")).filter(F.col("metres") <= metres)
-    return near.groupBy(point_id).agg(F.min_by(poly_id, F.struct("metres", poly_id)).alias(poly_id), F.min("metres").alias("metres"))
+    best = near.groupBy(point_id).agg(F.min(F.struct("metres", poly_id)).alias("b"))
+    return best.select(point_id, f"b.{poly_id}", "b.metres")
 
 
 def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, cell: float = 0.01,
-                    max_levels: int = 18) -> DataFrame:
+                    growth: int = 4) -> DataFrame:
     """The nearest polygon of every point, at any distance. Returns point_id, poly_id, metres.
 
-    Cells double until every point has an answer that no polygon outside the searched ring can beat; only
-    points without one go to the next level. At the last level a cell is wider than the globe.
+    Cells grow until every point has an answer that no polygon outside the searched ring can beat; only points
+    without one go to the next level, with one checkpoint per level. At the last level a cell is wider than the globe.
     """
     kx = G.METRES_PER_DEGREE * F.cos(F.radians(F.least(F.abs("lat"), F.lit(89.0))))
-    rest = points.select(point_id, "lon", "lat")
-    found = None
-    for level in range(max_levels):
-        size = cell * 2**level
-        j = salted_join(_pointed(rest, size), _cells(polygons.select(poly_id, "rings"), size, 1), ["_cx", "_cy"], [point_id])
+    shapes = polygons.select(poly_id, "rings")
+    rest, found, size = points.select(point_id, "lon", "lat"), None, cell
+    while True:
+        last = size >= 360
+        j = salted_join(_pointed(rest, size), _cells(shapes, size, 1), ["_cx", "_cy"], [point_id])
         inside = G.contains_point(F.col("rings"), F.col("lon"), F.col("lat"))
         d = F.when(inside, F.lit(0.0)).otherwise(G.distance_to_rings(F.col("rings"), F.col("lon"), F.col("lat")))
-        best = j.select(point_id, "lat", poly_id, F.round(d, 3).alias("metres")).groupBy(point_id, "lat").agg(
-            F.min_by(poly_id, F.struct("metres", poly_id)).alias(poly_id), F.min("metres").alias("metres"))
-        sure = best if level == max_levels - 1 else best.filter(F.col("metres") <= kx * size)
-        sure = cut_lineage(sure.select(point_id, poly_id, "metres"))
-        found = sure if found is None else found.unionByName(sure)
-        rest = cut_lineage(rest.join(sure.select(point_id), point_id, "left_anti"))
-        if size >= 360 or rest.isEmpty():
-            break
-    return found
+        best = j.select(point_id, F.struct(F.round(d, 3).alias("metres"), F.col(poly_id)).alias("b")) \
+            .groupBy(point_id).agg(F.min("b").alias("b"))
+        sure = F.coalesce(F.col("b.metres") <= kx * size, F.lit(False)) | F.lit(last)
+        level = cut_lineage(rest.join(best, point_id, "left").withColumn("sure", sure))
+        done = level.filter(F.col("sure") & F.col("b").isNotNull()).select(point_id, f"b.{poly_id}", "b.metres")
+        found = done if found is None else found.unionByName(done)
+        rest = level.filter(~F.col("sure")).select(point_id, "lon", "lat")
+        if last or rest.isEmpty():
+            return found
+        size *= growth
 
 
 def zone_of_parcels(parcels: DataFrame, zones: DataFrame, parcel_id: str = "parcel_ref", zone_id: str = "zone_id",
                     cell: float = 0.01) -> DataFrame:
     """Zone holding the parcel centroid ('centroide'), else the nearest zone ('proximidad')."""
     c = parcels.select(parcel_id, G.centroid("rings").alias("c")).select(parcel_id, "c.lon", "c.lat")
-    inside = point_in_polygon(c, zones, parcel_id, zone_id, cell)
+    inside = cut_lineage(point_in_polygon(c, zones, parcel_id, zone_id, cell))  # read again by the anti join and the union
     near = nearest_polygon(c.join(inside.select(parcel_id), parcel_id, "left_anti"), zones, parcel_id, zone_id, cell)
     return inside.select(parcel_id, zone_id, F.lit("centroide").alias("method"), F.lit(0.0).alias("metres")).unionByName(
         near.select(parcel_id, zone_id, F.lit("proximidad").alias("method"), "metres"))

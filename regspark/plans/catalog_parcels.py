@@ -201,18 +201,18 @@ MATCH = " AND ".join(f"(r.{c} = '' OR {NORM.format('u.' + c)} = {NORM.format('r.
 
 
 @register("g12_unit_filter", f"""{UNITS}, req AS ({REQ.format(S='VARCHAR', orders='orders')}), j AS (SELECT req_id, building, pos, ref, {MATCH} AS matched FROM req r JOIN units u USING (building))
-SELECT req_id, building, pos, ref, matched FROM (SELECT *, bool_or(matched) OVER (PARTITION BY req_id) AS some FROM j) WHERE matched OR NOT some""")
+SELECT req_id, building, pos, ref, matched FROM (SELECT *, bool_or(matched) OVER (PARTITION BY req_id) AS any_hit FROM j) WHERE matched OR NOT any_hit""")
 def _(spark, sf):
     req = spark.sql(REQ.replace("{S}", "STRING"), orders=D.table(spark, sf, "orders"))
     return P.filter_units(req, _units(spark, sf)).select("req_id", "building", "pos", "ref", "matched")
 
 
 @register("g13_parcel_metrics", """WITH b AS (SELECT l_partkey, sum(l_quantity) AS built, max(l_linenumber) AS floors, sum(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS ground, count(DISTINCT l_suppkey) AS streets FROM lineitem GROUP BY ALL)
-SELECT p_partkey AS parcel_ref, round(coalesce(built, 0) / (p_size * 1e2), 4) AS built_ratio, round(coalesce(ground, 0) / (p_size * 1e2), 4) AS coverage, coalesce(floors, 0) AS floors,
+SELECT p_partkey AS parcel_ref, round(coalesce(built, 0) / (p_size * 1e2 + 37e0), 4) AS built_ratio, round(coalesce(ground, 0) / (p_size * 1e2 + 37e0), 4) AS coverage, coalesce(floors, 0) AS floors,
 coalesce(streets, 0) >= 2 AS through_parcel FROM part LEFT JOIN b ON l_partkey = p_partkey""")
 def _(spark, sf):
     li = D.table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "parcel_ref")
-    parcels = D.table(spark, sf, "part").select(F.col("p_partkey").alias("parcel_ref"), (F.col("p_size") * F.lit(100.0)).alias("area"))
+    parcels = D.table(spark, sf, "part").select(F.col("p_partkey").alias("parcel_ref"), (F.col("p_size") * F.lit(100.0) + F.lit(37.0)).alias("area"))
     units = li.select("parcel_ref", F.col("l_quantity").alias("area"), F.col("l_linenumber").alias("floor_no"))
     return P.parcel_metrics(parcels, units, units.filter("floor_no = 1"), li.select("parcel_ref", F.col("l_suppkey").alias("via")))
 
