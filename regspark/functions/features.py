@@ -24,14 +24,19 @@ def land_scope(text: Column | str, chapter: Column | str, compat: bool = False)
     if not compat:
         t, c = C.fold_accents(t), C.fold_accents(c)
     rural, rustic = ("núcleo rural", "rústico") if compat else ("nucleo rural", "rustico")
-    return (
-        F.when(t.contains("urbano consolidado") | c.contains("urbano consolidado"), "urbano_consolidado")
-        .when(t.contains("urbano no consolidado"), "urbano_no_consolidado")
-        .when(t.contains(rural) | c.contains("nucleo rural"), "nucleo_rural")
-        .when(t.contains(rustic) | c.contains("rustico"), "rustico")
-        .when(t.contains("suelo urbano") | c.contains("suelo urbano"), "urbano")
-        .otherwise("")
-    )
+
+    def label(x: Column) -> Column:
+        t, c = x["t"], x["c"]
+        return (
+            F.when(t.contains("urbano consolidado") | c.contains("urbano consolidado"), "urbano_consolidado")
+            .when(t.contains("urbano no consolidado"), "urbano_no_consolidado")
+            .when(t.contains(rural) | c.contains("nucleo rural"), "nucleo_rural")
+            .when(t.contains(rustic) | c.contains("rustico"), "rustico")
+            .when(t.contains("suelo urbano") | c.contains("suelo urbano"), "urbano")
+            .otherwise("")
+        )
+
+    return C.let(F.struct(t.alias("t"), c.alias("c")), label)
 
 
 def ordinance_code(context_code: Column | str, text: Column | str, compat: bool = False) -> Column:
@@ -50,7 +55,7 @@ def all_keywords(text: Column | str) -> Column:
     """every keyword of a text, sorted: vocabulary, measures and ordinance codes."""
     text = _col(text)
     low = F.lower(text)
-    words = F.filter(F.array(*[F.lit(w) for w in X.VOCABULARY]), lambda w: low.contains(w))
+    words = F.array_compact(F.array(*[F.when(low.contains(w), F.lit(w)) for w in X.VOCABULARY]))
     parts = [words]
     for pattern in X.MEASURES:
         pairs = F.arrays_zip(C.matches(low, pattern, 1).alias("n"), C.matches(low, pattern, 2).alias("u"))
@@ -97,13 +102,9 @@ def address_variants(address: Column | str) -> Column:
     low = F.trim(F.lower(address))
     number = F.regexp_extract(address, r"\s+(\d+)\s*$", 1)
     base = F.when(number != "", F.regexp_replace(address, r"\s+\d+\s*$", "")).otherwise(address)
-    name, typed = F.when(F.lit(False), base), F.when(F.lit(False), F.lit(True))
-    for prefix in X.ADDRESS_PREFIXES:
-        hit = low.startswith(prefix)
-        name = name.when(hit, F.trim(F.substring(base, len(prefix) + 1, 1 << 30)))
-        typed = typed.when(hit, F.lit(True))
-    name = name.otherwise(F.trim(base))
-    typed = typed.otherwise(F.lit(False)) | (name != base)
+    prefix = C.prefix_of(low, X.ADDRESS_PREFIXES)
+    name = F.trim(base.substr(F.length(prefix) + 1, F.lit(1 << 30)))
+    typed = (prefix != "") | (name != base)
     tail = F.when(number != "", F.concat(F.lit(" "), number)).otherwise(F.lit(""))
 
     def spell(kinds: list[str]) -> list[Column]:
@@ -124,31 +125,39 @@ def house_number(address: Column | str) -> Column:
 def street_name_only(address: Column | str) -> Column:
     """the name left after number and street type are taken off."""
     bare = F.trim(F.regexp_replace(_col(address), r"\b\d+\b", ""))
-    out = F.when(F.lit(False), bare)
-    for prefix in X.FALLBACK_PREFIXES:
-        out = out.when(F.lower(bare).startswith(prefix), F.trim(F.substring(bare, len(prefix) + 1, 1 << 30)))
-    return F.trim(out.otherwise(bare), F.lit(" ,"))
+    name = F.trim(bare.substr(F.length(C.prefix_of(bare, X.FALLBACK_PREFIXES)) + 1, F.lit(1 << 30)))
+    return F.trim(name, F.lit(" ,"))
 
 
 Dictionary = list[tuple[str, list[str]]]
 
 
 def expansion_matches(query: Column | str, dictionary: Dictionary, whole_words: bool = False) -> Column:
-    """ordered ``array<struct<term, added>>`` of the dictionary terms found in the query."""
-    low = F.lower(_col(query))
-    hits = []
-    for term, synonyms in dictionary:
-        found = low.rlike(rf"(?U)\b\Q{term}\E\b") if whole_words else low.contains(term)
-        added = F.filter(F.array(*[F.lit(s) for s in synonyms]), lambda s: ~low.contains(s))
-        hits.append(F.when(found, F.struct(F.lit(term).alias("term"), added.alias("added"))))
-    return F.filter(F.array(*hits), lambda h: h.isNotNull() & (F.size(h["added"]) > 0))
+    """ordered ``array<struct<term, added>>`` of the dictionary terms found in the query.
+
+    The dictionary is one array literal, so the plan does not grow with it.
+    """
+    entries = F.array(*[F.struct(F.lit(term).alias("term"), F.array(*[F.lit(s) for s in synonyms]).alias("synonyms"))
+                        for term, synonyms in dictionary])
+
+    def found(low: Column) -> Column:
+        def occurs(e: Column) -> Column:
+            if whole_words:
+                return F.regexp_like(low, F.concat(F.lit(r"(?U)\b\Q"), e["term"], F.lit(r"\E\b")))
+            return low.contains(e["term"])
+
+        hits = F.transform(F.filter(entries, occurs), lambda e: F.struct(
+            e["term"].alias("term"), F.filter(e["synonyms"], lambda s: ~low.contains(s)).alias("added")))
+        return F.filter(hits, lambda h: F.size(h["added"]) > 0)
+
+    return C.let(F.lower(_col(query)), found)
 
 
 def expand_query(query: Column | str, dictionary: Dictionary, whole_words: bool = False) -> Column:
     """the query followed by every new synonym once, in dictionary order."""
+    query = _col(query)
     found = expansion_matches(query, dictionary, whole_words)
-    added = F.array_distinct(F.flatten(F.transform(found, lambda h: h["added"])))
-    return F.when(F.size(added) > 0, F.concat_ws(" ", _col(query), F.array_join(added, " "))).otherwise(_col(query))
+    return F.array_join(F.concat(F.array(query), F.array_distinct(F.flatten(F.transform(found, lambda h: h["added"])))), " ")
 
 
 def rerank_query(query: Column | str) -> Column:

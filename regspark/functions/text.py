@@ -31,6 +31,11 @@ def last_match(c: Column, pattern: str, group: int = 1) -> Column:
     return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(-1))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def matches(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
@@ -149,14 +154,15 @@ def cadastre_upper(text: Column | str) -> Column:
     return F.upper(fold_accents(text))
 
 
+def prefix_of(c: Column, prefixes: list[str]) -> Column:
+    """The first of the listed prefixes (any case) that a text starts with, as written in the text, '' without one."""
+    return F.regexp_extract(c, "(?iu)^(?:" + "|".join(r"\Q" + p + r"\E" for p in prefixes) + ")", 0)
+
+
 def drop_street_article(name: Column | str, compat: bool = False) -> Column:
     """Drop one leading article; longest article first unless ``compat`` (listed order)."""
-    name = F.trim(_col(name))
     order = X.STREET_ARTICLES if compat else sorted(X.STREET_ARTICLES, key=lambda a: -len(a))
-    out = F.when(F.lit(False), name)
-    for art in order:
-        out = out.when(F.upper(name).startswith(art), F.substring(name, len(art) + 1, 1 << 30))
-    return out.otherwise(name)
+    return let(F.trim(_col(name)), lambda n: n.substr(F.length(prefix_of(n, order)) + 1, F.lit(1 << 30)))
 
 
 def clean_reference(ref: Column | str) -> Column:

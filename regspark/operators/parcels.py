@@ -124,9 +124,10 @@ def street_candidates(addresses: DataFrame, streets: DataFrame) -> DataFrame:
 
     ``addresses``: address_id, address. ``streets``: via, street_type, street_name.
     """
-    a = addresses.withColumn("s", FE.street_type("address")).filter(F.col("s.name").isNotNull())
-    tries = a.select("address_id", C.cadastre_upper(C.drop_street_article(F.col("s.name"))).alias("street_name"),
-                     F.posexplode("s.types").alias("priority", "street_type"))
+    typed = addresses.select("address_id", FE.street_type("address").alias("s"))
+    tries = typed.select("address_id", F.col("s.name").alias("name"), F.posexplode("s.types").alias("priority", "street_type")) \
+        .filter(F.col("name").isNotNull()) \
+        .withColumn("street_name", C.cadastre_upper(C.drop_street_article("name"))).drop("name")
     j = salted_join(tries, streets, ["street_type", "street_name"], ["address_id", "priority"])
     return j.groupBy("address_id").agg(F.min_by(F.struct("via", "street_type", "street_name"), F.struct("priority", "via")).alias("v")) \
         .select("address_id", "v.*")

@@ -62,14 +62,16 @@ def wikilinks(notes: DataFrame, slugs: DataFrame) -> DataFrame:
     ``notes``: source, note_id, ref. ``slugs``: source, slug.
     """
     pattern = "(?iu)" + X.WIKI_ARTICLE
-    cited = notes.select("source", "note_id", F.explode(C.matches(F.col("ref"), pattern, 1)).alias("number")) \
+    cited = notes.select("source", "note_id", "ref", F.explode_outer(C.matches(F.col("ref"), pattern, 1)).alias("number")) \
         .withColumn("slug", C.article_slug("number"))
-    unknown = salted_join(cited, slugs.select("source", "slug").distinct(), ["source", "slug"], ["note_id", "number"],
-                          "left_anti").select("source", "note_id").distinct()
-    linked = notes.join(unknown, ["source", "note_id"], "left_anti")
+    known = slugs.select("source", "slug").distinct().withColumn("known", F.lit(True))
+    checked = salted_join(cited, known, ["source", "slug"], ["note_id", "number"], "left")
+    whole = checked.groupBy("source", "note_id").agg(
+        F.first("ref").alias("ref"), F.bool_or(F.col("slug").isNotNull() & F.col("known").isNull()).alias("broken"))
     text = F.regexp_replace("ref", pattern, "[[art-$1]]")
     # a dot inside a link target becomes a dash
-    return linked.withColumn("linked", F.regexp_replace(text, r"(\[\[art-\d+)\.(\d+\]\])", "$1-$2"))
+    return whole.filter("not broken").select("source", "note_id", "ref", F.regexp_replace(
+        text, r"(\[\[art-\d+)\.(\d+\]\])", "$1-$2").alias("linked"))
 
 
 # ------------------------------------------------------------------ graph

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from regspark.functions import features as FE
 from regspark.functions import fixed as X
 from regspark.functions import text as C
-from regspark.operators.ordered import first_by, top_per_key
+from regspark.operators.ordered import first_by, salted_join, top_per_key
 
 VIEWS = {"text": "v_text", "summary": "v_summary", "questions": "v_questions"}
 QUERY_BYTES = 64 << 20  # largest query block that is sent to every task
@@ -306,6 +306,12 @@ def assemble_context(hits: DataFrame, style: str = "service") -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda s: s["block"]), sep).alias("context"))
 
 
+def attach_wiki(hits: DataFrame, pages: DataFrame) -> DataFrame:
+    """The wiki page of each hit by its path, NULL when there is none. ``pages``: wiki_path, body."""
+    keyed = hits.withColumn("wiki_path", C.wiki_path("source", "article_no"))
+    return salted_join(keyed, pages.select("wiki_path", "body"), ["wiki_path"], ["query_id", "rank"], "left")
+
+
 def article_card() -> Column:
     """Card text from number, heading, title/chapter/section structs, body, paragraphs struct and refs array."""
     def level(label: str, col: str) -> Column:

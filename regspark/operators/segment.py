@@ -193,6 +193,11 @@ def useful_images(parts: DataFrame, image_map: DataFrame, max_frequency: int) ->
         "source", "pos", F.col("_i.tag").alias("useful_images"), F.col("_i.url").alias("image_urls"))
 
 
+def drop_decorative(image_map: DataFrame, decorative: DataFrame) -> DataFrame:
+    """Image map without the listed decorative images (source, img_key)."""
+    return image_map.join(decorative.select("source", "img_key"), ["source", "img_key"], "left_anti")
+
+
 def chunks(articles: DataFrame, image_map: DataFrame | None = None, max_frequency: int = 3, min_chars: int = 20,
            compat: bool = False) -> DataFrame:
     """The canonical chunk table of a set of articles.

@@ -40,6 +40,13 @@ def progress(chunks: DataFrame, state: DataFrame) -> DataFrame:
         F.count_if(F.col("indexed").isNull()).alias("to_enrich"))
 
 
+def completion(results: DataFrame) -> DataFrame:
+    """M3: per source the finished rows and those that stay pending for the next run. ``results``: source, status."""
+    pending = F.col("status").isin("quota", "retry")
+    return results.groupBy("source").agg(F.count("*").alias("chunks"), F.count_if(~pending).alias("finished"),
+                                         F.count_if(pending).alias("pending"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, version: list[str]) -> DataFrame:
     """K4: the last version of every new key plus the old rows of all other keys."""
     fresh = last_by(new, [key], version)

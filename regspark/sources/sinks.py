@@ -73,12 +73,19 @@ def copy_collection(spark: SparkSession, src: str, dst: str) -> dict:
     return {"rows": a["n"], "hash": a["h"]}
 
 
+def split_zones(zones: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K7: (zones to store, rejected zones with the reason)."""
+    reason = F.when(F.col("code").isNull(), "code").when(F.col("rings").isNull() | (F.size("rings") == 0), "geometry")
+    marked = zones.withColumn("reason", reason)
+    return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
+
+
 def write_zones(zones: DataFrame, path: str, rejects: str, replace: bool = False) -> None:
     """K7: append or replace zones; rows without code or geometry go to a reject table."""
-    bad = F.col("code").isNull() | F.col("rings").isNull() | (F.size("rings") == 0)
-    zones.filter(~bad).write.mode("overwrite" if replace else "append").parquet(path)
-    zones.filter(bad).withColumn("reason", F.when(F.col("code").isNull(), "code").otherwise("geometry")) \
-        .write.mode("overwrite" if replace else "append").parquet(rejects)
+    good, bad = split_zones(zones)
+    mode = "overwrite" if replace else "append"
+    good.write.mode(mode).parquet(path)
+    bad.write.mode(mode).parquet(rejects)
 
 
 def append_annotations(notes: DataFrame, path: str) -> None:
@@ -95,7 +102,12 @@ def valid_annotations(notes: DataFrame) -> DataFrame:
     return stamped.filter(ok)
 
 
+def pending_pages(pages: DataFrame, done: DataFrame) -> DataFrame:
+    """Pages whose (source, number) is not processed yet."""
+    return pages.join(done.select("source", "number"), ["source", "number"], "left_anti")
+
+
 def write_wiki(pages: DataFrame, path: str, done: DataFrame | None = None) -> None:
-    """Append the pages (source, number, page) whose number is not processed yet."""
-    todo = pages if done is None else pages.join(done.select("source", "number"), ["source", "number"], "left_anti")
+    """Append the pages (source, number, page) that are not processed yet."""
+    todo = pages if done is None else pending_pages(pages, done)
     todo.withColumn("wiki_path", C.wiki_path("source", "number")).write.mode("append").partitionBy("source").parquet(path)
