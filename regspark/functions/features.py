@@ -53,8 +53,10 @@ def ordinance_family(code: Column | str) -> Column:
 
 def all_keywords(text: Column | str) -> Column:
     """every keyword of a text, sorted: vocabulary, measures and ordinance codes."""
-    text = _col(text)
-    low = F.lower(text)
+    return C.let(_col(text), lambda t: C.let(F.lower(t), lambda low: _keyword_array(t, low)))
+
+
+def _keyword_array(text: Column, low: Column) -> Column:
     words = F.array_compact(F.array(*[F.when(low.contains(w), F.lit(w)) for w in X.VOCABULARY]))
     parts = [words]
     for pattern in X.MEASURES:

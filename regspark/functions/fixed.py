@@ -18,7 +18,7 @@ REMOVED_TAGS = ["script", "style", "nav", "header", "footer", "iframe"]
 ARTICLE_KEYWORDS = ["artículo", "articulo", "art.", "art ", "capítulo", "capitulo", "sección", "seccion"]
 
 # --- fixed values: article and heading patterns ---
-PLAIN_ARTICLE = r"Art\.\s+(\d+[a-z]?)\.\s+((?:[^.\n]|\n[^.\n])+\n?|\n)\."
+PLAIN_ARTICLE = r"Art\.\s+(\d+[a-z]?)\.\s+((?:[^.\n]+|\n[^.\n]+)(?:\n[^.\n]+)*\n?|\n)\."
 PLAIN_TITLE = r"TÍTULO\s+([IVX]+)\.\s+([^\n]+)"
 PLAIN_CHAPTER = r"CAPÍTULO\s+([IVX]+)\.\s+([^\n]+)"
 PLAIN_SECTION = r"Sección\s+(\d+ª)\.\s+([^\n]+)"

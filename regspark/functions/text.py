@@ -31,6 +31,14 @@ def last_match(c: Column, pattern: str, group: int = 1) -> Column:
     return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(-1))
 
 
+def iterative(pattern: str) -> str:
+    """The same pattern with possessive line repeats: Java then loops over lines instead of recursing into them.
+
+    Valid where nothing after the repeat can match inside the repeated lines.
+    """
+    return pattern.replace(r"\n)+)", r"\n)++)").replace(r"\n[^.\n]+)*", r"\n[^.\n]+)*+")
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
     return F.transform(F.array(value), use)[0]

@@ -28,10 +28,10 @@ def reference_candidates(text: Column | str, compat: bool = False) -> Column:
 
     def found(index: int, priority: int, kind: str, pattern: str) -> Column:
         regex = "(?iu)" + pattern.replace("{acr}", acronym)
-        pairs = F.arrays_zip(C.matches(text, regex, 1).alias("n"), C.matches(text, regex, 2).alias("s"))
-        return F.transform(pairs, lambda p, j: F.struct(
-            F.lit(priority).alias("priority"), F.lit(index).alias("pattern"), j.alias("pos"), p["n"].alias("number"),
-            naming[kind](p["s"]).alias("source")))
+        # one pass over the text per pattern; the groups are read from the short matches
+        return F.transform(C.matches(text, regex), lambda m, j: F.struct(
+            F.lit(priority).alias("priority"), F.lit(index).alias("pattern"), j.alias("pos"),
+            F.regexp_extract(m, regex, 1).alias("number"), naming[kind](F.regexp_extract(m, regex, 2)).alias("source")))
 
     return F.concat(*[found(i, *rule) for i, rule in enumerate(X.REFERENCES)])
 

@@ -16,6 +16,7 @@ from regspark.operators.ordered import carry_last, first_by, salted_join
 
 J = "(?iu)"
 JM = "(?miud)"
+PLAIN_ARTICLE, PIPE_TABLE = C.iterative(X.PLAIN_ARTICLE), C.iterative(X.PIPE_TABLE)
 
 
 def join_pages(pages: DataFrame, first_page: int = 7) -> DataFrame:
@@ -37,7 +38,7 @@ def page_ranges(pages: DataFrame, size: int = 300) -> DataFrame:
 
 def plain_pieces(docs: DataFrame) -> DataFrame:
     """Pieces of a plain text cut before each article; piece 0 is the preamble. Columns doc, pos, piece."""
-    return docs.select("doc", F.posexplode(C.split_at(F.col("text"), J + X.PLAIN_ARTICLE)).alias("pos", "piece"))
+    return docs.select("doc", F.posexplode(C.split_at(F.col("text"), J + PLAIN_ARTICLE)).alias("pos", "piece"))
 
 
 def plain_articles(docs: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def plain_articles(docs: DataFrame) -> DataFrame:
             C.last_match(F.col("piece"), pattern, 1).alias("number"),
             F.trim(C.last_match(F.col("piece"), pattern, 2)).alias("name"))))
     p = carry_last(p, ["doc"], "pos", ["title", "chapter", "section"])
-    head = J + "^" + X.PLAIN_ARTICLE
+    head = J + "^" + PLAIN_ARTICLE
     number = F.lower(F.regexp_extract("piece", head, 1))
     heading = C.single_spaced(F.regexp_extract("piece", head, 2))
     body = C.collapse_blank_lines(C.strip(F.regexp_replace("piece", head, "")))
@@ -165,14 +166,13 @@ def coded_sections(docs: DataFrame) -> DataFrame:
 def article_parts(articles: DataFrame) -> DataFrame:
     """Cleaned block, tables, image tags and paragraphs of each article (arrays, in-row)."""
     block = C.tidy_spaces("block")
-    no_tables = F.regexp_replace(block, X.PIPE_TABLE, "[TABLA]")
+    no_tables = F.regexp_replace(block, PIPE_TABLE, "[TABLA]")
     no_images = F.regexp_replace(no_tables, X.IMAGE_TAG, "")
-    paragraphs = F.filter(F.transform(F.split(no_images, r"\n{2,}"), C.strip),
-                          lambda p: (p != "") & (p != "[TABLA]"))
-    paragraphs = F.when(F.size(paragraphs) > 0, paragraphs).otherwise(F.array(C.strip(no_images)))
+    kept = F.filter(F.transform(F.split(no_images, r"\n{2,}"), C.strip), lambda p: (p != "") & (p != "[TABLA]"))
+    paragraphs = C.let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(C.strip(no_images))))
     return articles.withColumns({
         "clean_block": block,
-        "tables": C.matches(block, X.PIPE_TABLE, 1),
+        "tables": C.matches(block, PIPE_TABLE, 1),
         "images": C.matches(no_tables, X.IMAGE_TAG),
         "paragraphs": paragraphs,
     })

@@ -19,11 +19,18 @@ def _cells(polygons: DataFrame, cell: float, margin: int) -> DataFrame:
     p, box = polygons.filter(F.col("rings").isNotNull()), G.bbox("rings")
 
     def span(lo: str, hi: str):
-        return F.sequence((F.floor(box[lo] / cell) - margin).cast("long"), (F.floor(box[hi] / cell) + margin).cast("long"))
+        return F.sequence((F.floor(F.col("_box")[lo] / cell) - margin).cast("long"), (F.floor(F.col("_box")[hi] / cell) + margin).cast("long"))
 
+    p = p.withColumn("_box", F.struct(*[c.alias(n) for n, c in box.items()]))
     return p.withColumn("_cx", F.explode(span("xmin", "xmax"))).withColumn("_cy", F.explode(span("ymin", "ymax")))
 
 
+def _near_box(pad_lon=0.0, pad_lat=0.0):
+    """Cheap test before exact geometry: the point lies in the padded bounding box."""
+    b, lon, lat = F.col("_box"), F.col("lon"), F.col("lat")
+    return (lon >= b["xmin"] - pad_lon) & (lon <= b["xmax"] + pad_lon) & (lat >= b["ymin"] - pad_lat) & (lat <= b["ymax"] + pad_lat)
+
+
 def _pointed(points: DataFrame, cell: float) -> DataFrame:
     return points.withColumn("_cx", F.floor(F.col("lon") / cell).cast("long")).withColumn("_cy", F.floor(F.col("lat") / cell).cast("long"))
 
@@ -36,7 +43,7 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly
     """
     j = salted_join(_pointed(points.select(point_id, "lon", "lat"), cell), _cells(polygons.select(poly_id, "rings"), cell, 0),
                     ["_cx", "_cy"], [point_id], hot_rows=hot_rows)
-    inside = j.filter(G.contains_point(F.col("rings"), F.col("lon"), F.col("lat")))
+    inside = j.filter(_near_box() & G.contains_point(F.col("rings"), F.col("lon"), F.col("lat")))
     return inside.groupBy(point_id).agg(F.min(poly_id).alias(poly_id))
 
 
@@ -52,7 +59,9 @@ def polygons_within(points: DataFrame, polygons: DataFrame, point_id: str, poly_
                     ["_cx", "_cy"], [point_id], hot_rows=hot_rows)
     d = F.when(G.contains_point(F.col("rings"), F.col("lon"), F.col("lat")), F.lit(0.0)) \
         .otherwise(G.distance_to_rings(F.col("rings"), F.col("lon"), F.col("lat")))
-    near = j.select(point_id, poly_id, F.round(d, 3).alias("metres")).filter(F.col("metres") <= metres)
+    reach = 1.001 * metres / G.METRES_PER_DEGREE
+    near = j.filter(_near_box(reach / F.cos(F.radians(F.least(F.abs("lat"), F.lit(80.0)))), reach))
+    near = near.select(point_id, poly_id, F.round(d, 3).alias("metres")).filter(F.col("metres") <= metres)
     best = near.groupBy(point_id).agg(F.min(F.struct("metres", poly_id)).alias("b"))
     return best.select(point_id, f"b.{poly_id}", "b.metres")
 
