@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.functions import geometry as G
+from regspark.session import spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
@@ -154,6 +155,9 @@ SELECT 'c' || {_s('c_custkey')} AS chunk_id, lower(c_mktsegment) AS source, c_na
 SELECT conv_id, turn, role, text, 'P' || {_s('(conv_id * 31 + CAST(floor(turn / 3) AS BIGINT)) % 7')} AS rc FROM {{conversations}}""",
 }
 
+# texts written row by row; everything after them is regex work
+PER_ROW_TEXT = {"md_parts", "page_texts"}
+
 # dictionary used by the registered query-expansion queries; deployments pass their own
 DICTIONARY = [
     ("balcón", ["vuelo", "cuerpo volado", "voladizo"]),
@@ -173,7 +177,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def shared(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table of ``SHARED`` as a DataFrame."""
     sql = SHARED[name].replace('"use"', "use")
-    used = {t: table(spark, sf, t) for t in TABLES if "{" + t + "}" in sql}
+    wide = spread if name in PER_ROW_TEXT else (lambda df: df)
+    used = {t: wide(table(spark, sf, t)) for t in TABLES if "{" + t + "}" in sql}
     return spark.sql(sql, **used)
 
 

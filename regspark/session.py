@@ -28,6 +28,12 @@ def local_session(cores: str | int = "*", app: str = "regspark") -> SparkSession
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for heavy per-row work on an input with fewer splits than cores; larger inputs pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
