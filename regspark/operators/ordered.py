@@ -19,12 +19,17 @@ def _blocked(df: DataFrame, pos: str, width: int) -> DataFrame:
 
 
 def carry_last(df: DataFrame, keys: list[str], pos: str, cols: list[str], width: int = BLOCK,
-               inclusive: bool = False) -> DataFrame:
-    """Replace each of ``cols`` by its last non-null value before (or at) the row, per key."""
+               inclusive: bool = False, group_rows: str | None = None) -> DataFrame:
+    """Replace each of ``cols`` by its last non-null value before (or at) the row, per key.
+
+    ``group_rows`` names a column with the number of positions of the row's group: groups of one block then skip
+    the summary, which spares a second evaluation of everything before.
+    """
     d = _blocked(df, pos, width)
     local = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    summary = d.groupBy(*keys, "_blk").agg(
+    long = d if group_rows is None else d.filter(F.col(group_rows) > width)
+    summary = long.groupBy(*keys, "_blk").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in cols])
     across = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(*keys, "_blk", *[F.last(c, ignorenulls=True).over(across).alias("_in_" + c) for c in cols])

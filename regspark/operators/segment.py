@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from regspark.functions import features as FE
 from regspark.functions import fixed as X
 from regspark.functions import text as C
-from regspark.operators.ordered import carry_last, first_by, salted_join
+from regspark.operators.ordered import carry_last, first_by, neighbour, running_sum, salted_join
 
 J = "(?iu)"
 JM = "(?miud)"
@@ -37,27 +37,63 @@ def page_ranges(pages: DataFrame, size: int = 300) -> DataFrame:
 
 
 def plain_pieces(docs: DataFrame) -> DataFrame:
-    """Pieces of a plain text cut before each article; piece 0 is the preamble. Columns doc, pos, piece."""
-    return docs.select("doc", F.posexplode(C.split_at(F.col("text"), J + PLAIN_ARTICLE)).alias("pos", "piece"))
+    """Pieces of a plain text cut before each article; piece 0 is the preamble. Columns doc, pieces, pos, piece."""
+    cut = docs.select("doc", C.split_at(F.col("text"), J + PLAIN_ARTICLE).alias("_p"))
+    return cut.select("doc", F.size("_p").alias("pieces"), F.posexplode("_p").alias("pos", "piece"))
 
 
-def plain_articles(docs: DataFrame) -> DataFrame:
-    """Articles of plain texts with the nearest title, chapter and section before each."""
-    p = plain_pieces(docs)
+def _levels(piece: str) -> dict[str, Column]:
+    """Last title, chapter and section heading of a piece as ``struct<number, name>``."""
+    out = {}
     for name, pattern in (("title", X.PLAIN_TITLE), ("chapter", X.PLAIN_CHAPTER), ("section", X.PLAIN_SECTION)):
-        p = p.withColumn(name, F.when(C.last_match(F.col("piece"), pattern).isNotNull(), F.struct(
-            C.last_match(F.col("piece"), pattern, 1).alias("number"),
-            F.trim(C.last_match(F.col("piece"), pattern, 2)).alias("name"))))
-    p = carry_last(p, ["doc"], "pos", ["title", "chapter", "section"])
+        number = C.last_match(F.col(piece), pattern, 1)
+        out[name] = F.when(number.isNotNull(), F.struct(
+            number.alias("number"), F.trim(C.last_match(F.col(piece), pattern, 2)).alias("name")))
+    return out
+
+
+def _article_columns(piece: str) -> list[Column]:
     head = J + "^" + PLAIN_ARTICLE
-    number = F.lower(F.regexp_extract("piece", head, 1))
-    heading = C.single_spaced(F.regexp_extract("piece", head, 2))
-    body = C.collapse_blank_lines(C.strip(F.regexp_replace("piece", head, "")))
+    number = F.lower(F.regexp_extract(piece, head, 1))
+    heading = C.single_spaced(F.regexp_extract(piece, head, 2))
+    body = C.collapse_blank_lines(C.strip(F.regexp_replace(piece, head, "")))
     body = C.strip(C.remove_footers(body))
-    return p.filter("pos > 0").select(
-        "doc", "pos", number.alias("number"), heading.alias("heading"),
-        F.concat(F.lit("Art. "), number, F.lit(". "), heading, F.lit(".")).alias("full_title"),
-        body.alias("body"), F.length(body).alias("chars"), "title", "chapter", "section")
+    return [number.alias("number"), heading.alias("heading"),
+            F.concat(F.lit("Art. "), number, F.lit(". "), heading, F.lit(".")).alias("full_title"), body.alias("body"),
+            F.length(body).alias("chars")]
+
+
+def plain_articles(docs: DataFrame) -> DataFrame:
+    """Articles of plain texts with the nearest title, chapter and section before each."""
+    p = plain_pieces(docs).withColumns(_levels("piece"))
+    p = carry_last(p, ["doc"], "pos", ["title", "chapter", "section"], group_rows="pieces")
+    return p.filter("pos > 0").select("doc", "pos", *_article_columns("piece"), "title", "chapter", "section")
+
+
+def plain_articles_of_pages(pages: DataFrame, first_page: int = 7) -> DataFrame:
+    """T21 + T1, T2 without building whole documents: the same articles, cut page by page.
+
+    A document that holds a large share of all pages stays spread over many tasks; only the pieces of one
+    article come together. A heading left open at the end of a page moves to the next page, so it may cross one
+    page border. ``pos`` counts up in document order.
+    """
+    kept = pages.filter((F.col("page") >= first_page) & (F.length("text") > 0)).select("doc", "page", "text")
+    open_head = J + r"(Art\.\s+(?:\d+[a-z]?(?:\.(?:\s+(?:[^.\n]+(?:\n[^.\n]+)*)?)?)?)?\n?)\z"
+    kept = kept.withColumn("_open", F.regexp_extract("text", open_head, 1))
+    kept = neighbour(kept, ["doc"], "page", {"_open": "_from"}, -1)
+    kept = neighbour(kept, ["doc"], "page", {"page": "_next"}, 1)
+    moved = F.when(F.col("_next").isNull(), F.col("text")).when(F.col("_open") != "", F.regexp_replace("text", open_head, "")) \
+        .otherwise(F.concat("text", F.lit("\n")))
+    text = F.concat(F.when(F.coalesce("_from", F.lit("")) != "", F.concat(F.col("_from"), F.lit("\n"))).otherwise(F.lit("")), moved)
+    cut = kept.select("doc", "page", F.posexplode(C.split_at(text, J + PLAIN_ARTICLE)).alias("idx", "piece"))
+    # page and index in one ordered number; one block of the ordered operators spans many pages
+    p = cut.withColumn("at", F.col("page") + F.col("idx") / F.lit(float(1 << 20))).withColumns(_levels("piece"))
+    p = carry_last(p, ["doc"], "at", ["title", "chapter", "section"])
+    p = running_sum(p, ["doc"], "at", (F.col("idx") > 0).cast("int"), "article").filter("article > 0")
+    start = F.struct("title", "chapter", "section", (F.col("page") * (1 << 20) + F.col("idx")).cast("long").alias("pos"))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda s: s["piece"])
+    g = p.groupBy("doc", "article").agg(F.array_join(pieces, "").alias("piece"), F.min_by(start, "at").alias("s"))
+    return g.select("doc", "s.pos", *_article_columns("piece"), "s.title", "s.chapter", "s.section")
 
 
 def real_articles(articles: DataFrame, min_chars: int = 100) -> DataFrame:
@@ -93,10 +129,11 @@ def numbered_paragraphs(body: Column | str) -> Column:
 
 def markdown_pieces(docs: DataFrame, marker: Column | str) -> DataFrame:
     """Pieces of a markdown text with the ordinance and chapter headings before each piece."""
-    p = docs.select("source", F.posexplode(C.split_at(F.col("md"), marker)).alias("pos", "piece"))
+    cut = docs.select("source", C.split_at(F.col("md"), marker).alias("_p"))
+    p = cut.select("source", F.size("_p").alias("pieces"), F.posexplode("_p").alias("pos", "piece"))
     p = p.withColumn("context_code", C.last_match(F.col("piece"), rf"(?md)^##\s+[Oo]rdenanza\s+({X.ORDINANCE_CODE})"))
     p = p.withColumn("chapter", F.trim(C.last_match(F.col("piece"), JM + X.MD_CHAPTER)))
-    return carry_last(p, ["source"], "pos", ["context_code", "chapter"]) \
+    return carry_last(p, ["source"], "pos", ["context_code", "chapter"], group_rows="pieces") \
         .withColumn("context_code", F.coalesce("context_code", F.lit(""))) \
         .withColumn("chapter", F.coalesce("chapter", F.lit("")))
 

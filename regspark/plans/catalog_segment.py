@@ -415,3 +415,14 @@ def _(spark, sf):
 @register("r07_references_by_target", f"{REFS} SELECT doc, number, ref_number, ref_source FROM refs WHERE ref_number = '42' OR ref_source = 'DE'")
 def _(spark, sf):
     return _refs(spark, sf).filter((F.col("ref_number") == "42") | (F.col("ref_source") == "DE")).select("doc", "number", "ref_number", "ref_source")
+
+
+# pages are joined by a line end, as T21 does
+LINED = ARTICLES.replace("string_agg(text, '' ORDER BY page)", "string_agg(text, chr(10) ORDER BY page)")
+
+
+@register("t01_t21_articles_page_by_page", f"""{LINED} SELECT doc, number, heading, md5(body) AS body_md5, coalesce(title, '') AS title, coalesce(chapter, '') AS chapter, coalesce(section, '') AS section FROM arts""")
+def _(spark, sf):
+    shown = [F.coalesce(F.concat(F.col(c)["number"], F.lit("|"), F.col(c)["name"]), F.lit("")).alias(c) for c in ("title", "chapter", "section")]
+    a = S.plain_articles_of_pages(D.shared(spark, sf, "page_texts"), first_page=1)
+    return a.select("doc", "number", "heading", F.md5("body").alias("body_md5"), *shown)

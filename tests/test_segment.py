@@ -147,3 +147,24 @@ def test_pack_blocks(spark):
     df = spark.createDataFrame([("\n\n".join(["x" * 150] * 4 + ["y" * 60]),)], "t string")
     packed = df.select(S.pack_blocks("t").alias("b")).first()["b"]
     assert [len(b) for b in packed] == [454, 212]
+
+
+def test_page_route_equals_document_route(spark, sf):
+    from regspark.plans import derive as D
+
+    pages = D.shared(spark, sf, "page_texts")
+    cols = ["doc", "number", "heading", "body", "title", "chapter", "section"]
+    whole = S.plain_articles(S.join_pages(pages)).select(*cols)
+    paged = S.plain_articles_of_pages(pages).select(*cols)
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, paged.collect())) == sorted(map(key, whole.collect()))
+
+
+def test_heading_across_a_page_border(spark):
+    rows = [("d", 7, "CAPÍTULO II. Suelo\nArt. 1. Uno.\ncuerpo uno\nArt. 2. Título que"), ("d", 8, "sigue en la otra página.\ncuerpo dos"),
+            ("d", 9, "continúa dos\nArt. 3"), ("d", 10, "fin sin artículo")]
+    pages = spark.createDataFrame(rows, "doc string, page int, text string")
+    cols = ["number", "heading", "body", "chapter"]
+    whole = sorted(map(tuple, S.plain_articles(S.join_pages(pages)).select(*cols).collect()))
+    assert sorted(map(tuple, S.plain_articles_of_pages(pages).select(*cols).collect())) == whole
+    assert [w[1] for w in whole] == ["Uno", "Título que sigue en la otra página"]
