@@ -137,9 +137,9 @@ def similarity_hits(queries: DataFrame, chunks: DataFrame, k: int = X.TOP_K_VIEW
 
 
 def _tiled_hits(queries: DataFrame, chunks: DataFrame, schema: T.StructType, names: list[str], cap: int, dim: int, k: int,
-                floor: float | None, views: dict[str, str], id_col: str, match: tuple[str, str] | None,
-                chunk_rows: int = 50_000) -> DataFrame:
-    """Block nested loop: every (query block, chunk block) pair is one bounded group."""
+                floor: float | None, views: dict[str, str], id_col: str, match: tuple[str, str] | None) -> DataFrame:
+    """Block nested loop: every (query block, chunk block) pair is one group of bounded bytes."""
+    chunk_rows = max(256, 2 * cap // len(views))
     qb = -(-queries.count() * 2 // cap)
     cb = max(1, -(-chunks.count() // chunk_rows))
     q = queries.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int")) \

@@ -224,7 +224,7 @@ def useful_images(parts: DataFrame, image_map: DataFrame, max_frequency: int) ->
     usable = salted_join(image_map.filter(F.col("url") != ""), rare, ["source", "url"], ["img_key"], "left_semi")
     tags = parts.select("source", "pos", F.posexplode("images").alias("img_pos", "tag")) \
         .withColumn("img_key", F.translate("tag", "[]", ""))
-    hits = tags.join(usable, ["source", "img_key"])
+    hits = salted_join(tags, usable, ["source", "img_key"], ["pos", "img_pos"])
     return hits.groupBy("source", "pos").agg(
         F.array_sort(F.collect_list(F.struct("img_pos", "tag", "url"))).alias("_i")).select(
         "source", "pos", F.col("_i.tag").alias("useful_images"), F.col("_i.url").alias("image_urls"))

@@ -1,7 +1,7 @@
 """Spatial joins on grid cells: equal cell first, exact geometry after.
 
-Polygons repeat once per cell they cover, points have exactly one cell. A crowded cell is salted, so one
-city block with a third of all points does not become one task.
+Polygons repeat once per cell they cover, in a cell size that fits them; points have one cell per size in use.
+A crowded cell is salted, so one city block with a third of all points does not become one task.
 """
 
 from __future__ import annotations
@@ -15,34 +15,58 @@ from regspark.operators.ordered import row_numbers, salted_join
 from regspark.session import cut_lineage
 
 
+MAX_LEVEL = 20  # at cell 0.001 degrees a level-20 cell is wider than the globe
+CELL = ["_lv", "_cx", "_cy"]
+
+
+def _with_level(polygons: DataFrame, cell: float) -> DataFrame:
+    """Bounding box and grid level: cells double per level until a polygon spans about four of them per axis."""
+    box = G.bbox("rings")
+    p = polygons.filter(F.col("rings").isNotNull()).withColumn("_box", F.struct(*[c.alias(n) for n, c in box.items()]))
+    extent = F.greatest(F.col("_box.xmax") - F.col("_box.xmin"), F.col("_box.ymax") - F.col("_box.ymin"))
+    level = F.ceil(F.log2(F.greatest(extent / F.lit(4 * cell), F.lit(1.0))))
+    return p.withColumn("_lv", F.least(level, F.lit(MAX_LEVEL)).cast("int"))
+
+
 def _cells(polygons: DataFrame, cell: float, margin: int) -> DataFrame:
-    p, box = polygons.filter(F.col("rings").isNotNull()), G.bbox("rings")
+    """One row per (polygon, covered cell of its level); a large polygon gets large cells, never many small ones."""
+    p, size = _with_level(polygons, cell), F.lit(cell) * F.pow(F.lit(2.0), F.col("_lv"))
 
     def span(lo: str, hi: str):
-        return F.sequence((F.floor(F.col("_box")[lo] / cell) - margin).cast("long"), (F.floor(F.col("_box")[hi] / cell) + margin).cast("long"))
+        return F.sequence((F.floor(F.col("_box")[lo] / size) - margin).cast("long"), (F.floor(F.col("_box")[hi] / size) + margin).cast("long"))
 
-    p = p.withColumn("_box", F.struct(*[c.alias(n) for n, c in box.items()]))
     return p.withColumn("_cx", F.explode(span("xmin", "xmax"))).withColumn("_cy", F.explode(span("ymin", "ymax")))
 
 
+def _pointed(points: DataFrame, cell: float, levels: list[int]) -> DataFrame:
+    """One row per point and grid level in use (mostly one)."""
+    def at(level: int):
+        size = cell * 2.0**level
+        return F.struct(F.lit(level).alias("_lv"), F.floor(F.col("lon") / F.lit(size)).cast("long").alias("_cx"),
+                        F.floor(F.col("lat") / F.lit(size)).cast("long").alias("_cy"))
+
+    return points.select("*", F.inline(F.array(*[at(n) for n in levels])))
+
+
+def _candidates(points: DataFrame, polygons: DataFrame, cell: float, margin: int, salt_by: str, hot_rows: int = 1_000_000) -> DataFrame:
+    """Point-polygon pairs that share a cell; crowded cells are salted. The list of levels has at most 21 values."""
+    levels = sorted(r["_lv"] for r in _with_level(polygons, cell).select("_lv").distinct().collect()) or [0]
+    return salted_join(_pointed(points, cell, levels), _cells(polygons, cell, margin), CELL, [salt_by], hot_rows=hot_rows)
+
+
 def _near_box(pad_lon=0.0, pad_lat=0.0):
     """Cheap test before exact geometry: the point lies in the padded bounding box."""
     b, lon, lat = F.col("_box"), F.col("lon"), F.col("lat")
     return (lon >= b["xmin"] - pad_lon) & (lon <= b["xmax"] + pad_lon) & (lat >= b["ymin"] - pad_lat) & (lat <= b["ymax"] + pad_lat)
 
 
-def _pointed(points: DataFrame, cell: float) -> DataFrame:
-    return points.withColumn("_cx", F.floor(F.col("lon") / cell).cast("long")).withColumn("_cy", F.floor(F.col("lat") / cell).cast("long"))
-
-
 def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, cell: float = 0.01,
                      hot_rows: int = 1_000_000) -> DataFrame:
     """The polygon of each point (smallest id when several). Points outside every polygon are left out.
 
     ``points``: point_id, lon, lat. ``polygons``: poly_id, rings. Returns point_id, poly_id.
     """
-    j = salted_join(_pointed(points.select(point_id, "lon", "lat"), cell), _cells(polygons.select(poly_id, "rings"), cell, 0),
-                    ["_cx", "_cy"], [point_id], hot_rows=hot_rows)
+    j = _candidates(points.select(point_id, "lon", "lat"), polygons.select(poly_id, "rings"), cell, 0, point_id, hot_rows)
     inside = j.filter(_near_box() & G.contains_point(F.col("rings"), F.col("lon"), F.col("lat")))
     return inside.groupBy(point_id).agg(F.min(poly_id).alias(poly_id))
 
@@ -55,8 +79,7 @@ def polygons_within(points: DataFrame, polygons: DataFrame, point_id: str, poly_
     polygon holds every point in reach.
     """
     cell = metres / G.METRES_PER_DEGREE / 0.17
-    j = salted_join(_pointed(points.select(point_id, "lon", "lat"), cell), _cells(polygons.select(poly_id, "rings"), cell, 1),
-                    ["_cx", "_cy"], [point_id], hot_rows=hot_rows)
+    j = _candidates(points.select(point_id, "lon", "lat"), polygons.select(poly_id, "rings"), cell, 1, point_id, hot_rows)
     d = F.when(G.contains_point(F.col("rings"), F.col("lon"), F.col("lat")), F.lit(0.0)) \
         .otherwise(G.distance_to_rings(F.col("rings"), F.col("lon"), F.col("lat")))
     reach = 1.001 * metres / G.METRES_PER_DEGREE
@@ -78,7 +101,7 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly_
     rest, found, size = points.select(point_id, "lon", "lat"), None, cell
     while True:
         last = size >= 360
-        j = salted_join(_pointed(rest, size), _cells(shapes, size, 1), ["_cx", "_cy"], [point_id])
+        j = _candidates(rest, shapes, size, 1, point_id)
         inside = G.contains_point(F.col("rings"), F.col("lon"), F.col("lat"))
         d = F.when(inside, F.lit(0.0)).otherwise(G.distance_to_rings(F.col("rings"), F.col("lon"), F.col("lat")))
         best = j.select(point_id, F.struct(F.round(d, 3).alias("metres"), F.col(poly_id)).alias("b")) \

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from regspark.functions import fixed as X
 from regspark.functions import geometry as G
 from regspark.functions import text as C
-from regspark.operators.ordered import first_by
+from regspark.operators.ordered import first_by, salted_join
 
 ARTICLE_SCHEMA = (
     "metadata struct<total_articulos int, fecha_extraccion string, fuente string>, articulos array<struct<numero string, "
@@ -147,5 +147,5 @@ def deduplicated_images(docs: DataFrame) -> DataFrame:
                            F.md5(F.unbase64("i.b64")).alias("hash"))
     first = first_by(images, ["source", "hash"], ["image_no"]).select(
         "source", "hash", F.concat("source", F.lit("/imagen_"), "image_no", F.lit("."), "ext").alias("file"))
-    return images.join(first, ["source", "hash"]).select(
+    return salted_join(images, first, ["source", "hash"], ["image_no"]).select(
         "source", "image_no", F.concat(F.lit("IMAGEN_"), "image_no").alias("img_key"), "hash", "file")

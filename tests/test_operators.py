@@ -114,6 +114,16 @@ def test_nearest_polygon_equals_brute_force_with_a_crowded_cell(spark):
         assert (pid in within) == (want[0] <= 3000.0)
 
 
+def test_one_huge_polygon_stays_a_few_cells(spark):
+    big = [[(-180.0, -80.0), (180.0, -80.0), (180.0, 80.0), (-180.0, 80.0), (-180.0, -80.0)]]
+    small = [[(0.0, 0.0), (0.001, 0.0), (0.001, 0.001), (0.0, 0.001), (0.0, 0.0)]]
+    zones = spark.createDataFrame([(5, big), (2, small)], RINGS)
+    assert SP._cells(zones, 0.001, 0).count() < 60
+    pts = spark.createDataFrame([(1, 0.0005, 0.0005), (2, 50.0, 50.0)], "point_id int, lon double, lat double")
+    got = {r["point_id"]: r["zone_id"] for r in SP.point_in_polygon(pts, zones, "point_id", "zone_id", cell=0.001).collect()}
+    assert got == {1: 2, 2: 5}
+
+
 def test_round_trip_and_ellipsoid(spark):
     pts = spark.createDataFrame([(1, 42.2358, -8.7267), (2, 42.16, -8.62)], "i int, lat double, lon double")
     assert {r["grade"] for r in SP.round_trip(pts).collect()} == {"excellent"}
