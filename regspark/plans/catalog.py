@@ -29,6 +29,7 @@ def lit(text: str) -> str:
 
 def load_all() -> None:
     from regspark.plans import (  # noqa: F401
+        catalog_ingest,
         catalog_parcels,
         catalog_reports,
         catalog_retrieve,

@@ -168,3 +168,12 @@ def test_heading_across_a_page_border(spark):
     whole = sorted(map(tuple, S.plain_articles(S.join_pages(pages)).select(*cols).collect()))
     assert sorted(map(tuple, S.plain_articles_of_pages(pages).select(*cols).collect())) == whole
     assert [w[1] for w in whole] == ["Uno", "Título que sigue en la otra página"]
+
+
+def test_corpus_routes_by_kind_of_source(spark):
+    from regspark.plans import ingest
+
+    code = "## Sección SI 1 Propagación interior\nEl texto de la sección fija la altura máxima."
+    c = ingest.chunk_corpus(docs(spark, ("norma", MD), ("cte-si", code)))
+    got = {(r["source"], r["article_no"]) for r in c.collect()}
+    assert {("cte-si", "SI 1"), ("norma", "1"), ("norma", "3"), ("norma", "Anexo-I"), ("norma", "Anexo-II")} <= got
