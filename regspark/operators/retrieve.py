@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -253,9 +253,9 @@ def with_fallback(queries: DataFrame, chunks: DataFrame, k: int = X.TOP_K_SERVIC
     out = rerank(rank_fusion(similarity_hits(both, chunks, match=("_code", chunk_code))), k)
     out = out.withColumn("used_fallback", F.col("query_id").startswith("u:")) \
         .withColumn("query_id", F.substring("query_id", 3, 1 << 30).cast(queries.schema["query_id"].dataType))
-    first = out.filter(~F.col("used_fallback"))
-    second = out.filter("used_fallback").join(first.select("query_id").distinct(), "query_id", "left_anti")
-    return first.unionByName(second.select(*first.columns))
+    # at most 2k rows per query: one bounded window instead of a second search
+    any_filtered = F.bool_or(~F.col("used_fallback")).over(Window.partitionBy("query_id"))
+    return out.withColumn("_f", any_filtered).filter(~F.col("used_fallback") | ~F.col("_f")).drop("_f")
 
 
 def ordinance_context(codes: DataFrame, chunks: DataFrame, direct_k: int = 8, semantic_k: int = 6) -> DataFrame:
