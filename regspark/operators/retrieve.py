@@ -348,7 +348,7 @@ def locate_article(pages: DataFrame, numbers: DataFrame, first_page: int = 7, wi
     """
     found = pages.filter(F.col("page") >= first_page).select(
         "doc", "page", "text", F.explode(F.array_distinct(C.matches(F.col("text"), r"Art(?:\. ?| )(\d+)\.", 1))).alias("number"))
-    best = first_by(found.join(numbers, ["doc", "number"], "left_semi"), ["doc", "number"], ["page"])
+    best = first_by(salted_join(found, numbers, ["doc", "number"], ["page"], "left_semi"), ["doc", "number"], ["page"])
     tries = [F.expr(f"locate(concat('{p}', number, '.'), text)") for p in ("Art. ", "Art.", "Art ")]
     at = F.coalesce(*[F.nullif(t, F.lit(0)) for t in tries])
     rest = F.expr("substr(text, at + 20)")

@@ -142,13 +142,13 @@ def land_class_zone(points: DataFrame, classes: DataFrame, urban: DataFrame, rus
 
     Layers: class_id/land_class/rings and ord_id/ordinance/rings. Points outside every class are left out.
     """
-    base = point_in_polygon(points, classes, point_id, "class_id", cell).join(classes.drop("rings"), "class_id")
+    base = salted_join(point_in_polygon(points, classes, point_id, "class_id", cell), classes.drop("rings"), ["class_id"], [point_id])
     placed = points.join(base, point_id)
 
     def layer(kinds: list[str], polygons: DataFrame) -> DataFrame:
         hit = point_in_polygon(placed.filter(F.col("land_class").isin(kinds)).select(point_id, "lon", "lat"), polygons,
                                point_id, "ord_id", cell)
-        return hit.join(polygons.drop("rings"), "ord_id").select(point_id, "ordinance")
+        return salted_join(hit, polygons.drop("rings"), ["ord_id"], [point_id]).select(point_id, "ordinance")
 
     ords = layer(X.URBAN_CLASSES, urban).unionByName(layer(X.RUSTIC_CLASSES, rustic))
     return base.join(ords, point_id, "left")
