@@ -83,8 +83,8 @@ class WordEncoder:
         w_start[missing], w_len[missing] = start, length
         room = self.keep - len(self.index)
         if room > 0 and len(missing):
-            n = min(room, len(missing))
-            self.index.update((words[i], len(self.index) + k) for k, i in enumerate(missing[:n]))
+            n, known_before = min(room, len(missing)), len(self.index)
+            self.index.update((words[i], known_before + k) for k, i in enumerate(missing[:n]))
             self.start, self.length = np.append(self.start, start[:n]), np.append(self.length, length[:n])
             self.flat = tab[:len(self.flat) + int(length[:n].sum())]
         offsets = np.asarray(lists.offsets)
