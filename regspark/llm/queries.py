@@ -34,3 +34,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-files")
     write_token_files(documents(spark, sf_dir), folder, vocabulary("byte_bpe_50k.json"), end_id=2)
     return read_token_files(spark, folder, with_ids=False)
+
+
+@query
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from regspark.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), width=3, max_bits=2)
+
+
+@query
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every whole text, verified, and whether they decode to the text again."""
+    from regspark.llm.piece_codec import decode, encode
+
+    path = vocabulary("piece_bpe_32k.model")
+    rows = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), path), path)
+    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
