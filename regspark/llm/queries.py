@@ -52,3 +52,13 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
     rows = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), path), path)
     return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@query
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt into 40 shards whose row counts are at most one apart."""
+    from regspark.llm.sharding import deal, row_size
+
+    dealt = deal(documents(spark, sf_dir), shards=40, seed=7)
+    return dealt.select("doc_id", row_size().alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), F.lit("rows").alias("law"),
+                        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
