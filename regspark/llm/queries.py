@@ -62,3 +62,13 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = deal(documents(spark, sf_dir), shards=40, seed=7)
     return dealt.select("doc_id", row_size().alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), F.lit("rows").alias("law"),
                         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics, base rules and the classifier's verdict for every document."""
+    from regspark.llm.quality import judged
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = judged(documents(spark, sf_dir), labels)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
