@@ -72,3 +72,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = judged(documents(spark, sf_dir), labels)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the repeated line runs of 50 words or more that an earlier document has."""
+    from regspark.llm.line_dedup import deduplicated
+
+    return deduplicated(documents(spark, sf_dir), min_words=50).select("doc_id", "n_lines", "n_deleted", "text")
