@@ -80,3 +80,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regspark.llm.line_dedup import deduplicated
 
     return deduplicated(documents(spark, sf_dir), min_words=50).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of the best matching benchmark item for every document."""
+    from regspark.llm.decontaminate import contamination
+
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("_k1", "_k2")
