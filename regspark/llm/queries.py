@@ -41,7 +41,7 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     from regspark.llm.simhash import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir), width=3, max_bits=2)
+    return near_duplicates(documents(spark, sf_dir), width=3, max_bits=2).select("doc_id", "fingerprint", "component_id")
 
 
 @query
@@ -88,3 +88,52 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regspark.llm.decontaminate import contamination
 
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("_k1", "_k2")
+
+
+OP9_SQL = """
+with last as (
+  select conv_id, arg_max(t, struct_pack(t := t, x := coalesce(x, ''))) as last_turn, arg_max(coalesce(x, ''), struct_pack(t := t, x := coalesce(x, ''))) as answer
+  from (select conv_id, turn t, text x from conversations where role = 'assistant' and conv_id is not null and turn is not null) group by 1),
+sides as (
+  select conv_id, 'c' side, turn, coalesce(role, '') role, coalesce(text, '') x from conversations where conv_id is not null and turn is not null
+  union all
+  select c.conv_id, 'r', c.turn, coalesce(c.role, ''), coalesce(c.text, '') from conversations c left join last l on c.conv_id = l.conv_id
+  where c.conv_id is not null and c.turn is not null and (l.last_turn is null or c.turn < l.last_turn)
+  union all
+  select a.conv_id, 'r', a.last_turn, 'assistant', b.answer from last a join last b on b.conv_id = a.conv_id + 1),
+rows as (
+  select *, row_number() over (partition by conv_id, side order by turn, role, x) n,
+    '<|im_start|>' || role || chr(10) || x || '<|im_end|>' || chr(10) body,
+    (length(role) + 13) || ':0,' || (length(x) + 10) || case when role = 'assistant' then ':1' else ':0' end || ',1:0' mask from sides),
+cut as (
+  select coalesce(c.conv_id, r.conv_id) conv_id, coalesce(min(case when c.role is not distinct from r.role and c.x is not distinct from r.x then null else coalesce(c.n, r.n) end), max(c.n) + 1) - 1 p
+  from (select * from rows where side = 'c') c full join (select * from rows where side = 'r') r on c.conv_id = r.conv_id and c.n = r.n group by 1)
+select u.conv_id, cast(any_value(p) as bigint) n_prompt_turns,
+  coalesce(string_agg(body, '' order by n) filter (side = 'c' and n <= p), '') prompt,
+  coalesce(string_agg(body, '' order by n) filter (side = 'c' and n > p), '') chosen,
+  coalesce(string_agg(body, '' order by n) filter (side = 'r' and n > p), '') rejected,
+  coalesce(string_agg(mask, ',' order by n) filter (side = 'c' and n > p), '') chosen_mask,
+  coalesce(string_agg(mask, ',' order by n) filter (side = 'r' and n > p), '') rejected_mask
+from rows u join cut using (conv_id) group by 1
+"""
+
+
+@query
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a preference pair: its own last answer against the next conversation's."""
+    from regspark.llm.preference import mask_of, preferences, swapped_answers
+
+    rows = preferences(swapped_answers(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return rows.select(F.col("pair").alias("conv_id"), "n_prompt_turns", "prompt", "chosen", "rejected",
+                       mask_of(F.col("chosen_segments")).alias("chosen_mask"), mask_of(F.col("rejected_segments")).alias("rejected_mask"))
+
+
+ORACLES["op9_preferences"] = OP9_SQL
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
