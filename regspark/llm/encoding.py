@@ -32,6 +32,27 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.
     return flat[np.repeat(start - (ends - length), length) + np.arange(n)], ends
 
 
+class _Known(dict):
+    """Place of each remembered word, -1 of others."""
+
+    def __missing__(self, key: str) -> int:
+        return -1
+
+
+def cuts(lengths: np.ndarray, most: int = 8 << 20) -> list[tuple[int, int]]:
+    """Stretches of rows whose lengths sum up to ``most`` at most; a longer row is one alone. Bounds what a step holds in memory."""
+    ends, out, i = np.cumsum(lengths), [], 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        out.append((i, j))
+        i = j
+    return out
+
+
+def text_cuts(texts: pa.Array, most: int = 8 << 20) -> list[tuple[int, int]]:
+    return cuts(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64), most)
+
+
 class WordEncoder:
     """``first_plain``: a text's first word has no marker before it (byte-level BPE). ``marks``: by id, whether the token begins with the marker.
 
@@ -42,7 +63,7 @@ class WordEncoder:
         self.t, self.marks, self.first_plain, self.keep = tokenizer, marks, first_plain, keep
         extra = "" if marker == " " else f"|{marker}"
         self.irregular = rf"^$|^{_WS}| $| {_WS}{extra}"
-        self.index: dict[str, int] = {}
+        self.index = _Known()
         self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -71,10 +92,10 @@ class WordEncoder:
         lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         coded = lists.flatten().dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        known = np.fromiter((self.index.get(w, -1) for w in words), np.int64, len(words))
-        missing = np.flatnonzero(known < 0)
-        missing = missing[[bool(words[i]) for i in missing]] if len(missing) else missing
-        ids, length = self._words([words[i] for i in missing])
+        known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        missing = np.flatnonzero((known < 0) & (np.asarray(pc.binary_length(coded.dictionary)) > 0))
+        new = [words[i] for i in missing]
+        ids, length = self._words(new)
         start = np.cumsum(length) - length + len(self.flat)
         tab = np.concatenate([self.flat, ids])
         w_start, w_len = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
@@ -84,7 +105,7 @@ class WordEncoder:
         room = self.keep - len(self.index)
         if room > 0 and len(missing):
             n, known_before = min(room, len(missing)), len(self.index)
-            self.index.update((words[i], known_before + k) for k, i in enumerate(missing[:n]))
+            self.index.update(zip(new[:n], range(known_before, known_before + n)))
             self.start, self.length = np.append(self.start, start[:n]), np.append(self.length, length[:n])
             self.flat = tab[:len(self.flat) + int(length[:n].sum())]
         offsets = np.asarray(lists.offsets)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from regspark.llm.encoding import WordEncoder, gather, use_threads
+from regspark.llm.encoding import WordEncoder, cuts, gather, text_cuts, use_threads
 
 MARK = "▁"
 # Piece kinds and model types of the model file's format.
@@ -118,25 +119,34 @@ def build(m: Model):
 class Codec:
     def __init__(self, data: bytes, threads: int, verify: bool):
         use_threads(threads)
+        self.data, self.verify = data, verify
         self.model = m = parse_model(data)
-        self.t = build(m)
-        self.own = None
-        if verify:
-            import sentencepiece
-
-            self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
-        marks = np.array([p.startswith(MARK) and kind == NORMAL for p, _, kind in m.pieces])
-        by_words = (m.dummy_prefix and not m.trim_spaces and not m.charsmap and m.kind == BPE
-                    and not any(kind == USER or MARK in p.lstrip(MARK) for p, _, kind in m.pieces))
-        self.words = _Checked(self, marks) if by_words else None
         text = [bytes([int(p[3:5], 16)]) if kind == BYTE else b" \xe2\x81\x87 " if kind == UNKNOWN else b"" if kind == CONTROL
                 else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
         self.bytes_len = np.array([len(x) for x in text], np.int64)
         self.bytes_start, self.bytes_flat = np.cumsum(self.bytes_len) - self.bytes_len, np.frombuffer(b"".join(text), np.uint8)
 
+    @cached_property
+    def t(self):
+        return build(self.model)
+
+    @cached_property
+    def own(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=self.data)
+
+    @cached_property
+    def words(self) -> WordEncoder | None:
+        """By words, where no piece reaches over a space."""
+        m = self.model
+        if not m.dummy_prefix or m.trim_spaces or m.charsmap or m.kind != BPE or any(kind == USER or MARK in p.lstrip(MARK) for p, _, kind in m.pieces):
+            return None
+        return _Checked(self, np.array([p.startswith(MARK) and kind == NORMAL for p, _, kind in m.pieces]))
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         out = [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.own is not None:
+        if self.verify:
             for text, a, b in zip(texts, out, self.own.encode(texts, num_threads=1)):
                 if a != b:
                     raise ValueError(f"the rebuilt tokenizer differs from the model on {text[:200]!r}")
@@ -194,14 +204,15 @@ def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
-def _map(docs: DataFrame, read: str, write: str, kind: T.DataType, fn) -> DataFrame:
-    """Adds or replaces one column in Arrow batches."""
+def _map(docs: DataFrame, read: str, write: str, kind: T.DataType, size, fn) -> DataFrame:
+    """Adds or replaces one column in Arrow batches of bounded size; ``size`` cuts a batch."""
     names, at = [c for c in docs.columns if c != write], docs.columns.index(read)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [b.column(docs_at) for docs_at in kept]
-            yield pa.RecordBatch.from_arrays([*cols, fn(b.column(at))], [*names, write])
+        for whole in batches:
+            for i, j in size(whole.column(at)):
+                b = whole.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], fn(b.column(at))], [*names, write])
 
     kept = [docs.columns.index(c) for c in names]
     return docs.mapInArrow(run, _with(docs.schema, write, kind))
@@ -215,16 +226,16 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
         offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(np.asarray(texts.is_null()), False))
         return pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
 
-    return _map(docs, text_col, ids_col, T.ArrayType(T.IntegerType()), ids_of)
+    return _map(docs, text_col, ids_col, T.ArrayType(T.IntegerType()), text_cuts, ids_of)
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded", threads: int = 2) -> DataFrame:
     """Adds the text of each row's ids."""
 
     def text_of(lists: pa.Array) -> pa.Array:
-        c = codec(model_path, threads=threads)
+        c = codec(model_path, threads=threads, verify=False)
         n = pc.fill_null(pc.list_value_length(lists), 0)
         texts = c.decode(np.asarray(lists.flatten()), np.cumsum(np.asarray(n), dtype=np.int64))
         return pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
 
-    return _map(rows, ids_col, text_col, T.StringType(), text_of)
+    return _map(rows, ids_col, text_col, T.StringType(), lambda lists: cuts(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64), 2 << 20), text_of)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from regspark.llm.encoding import WordEncoder, use_threads
+from regspark.llm.encoding import WordEncoder, text_cuts, use_threads
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         dtype = np.dtype("<u2" if id_bytes == 2 else "<u4")
         ends, ids, nulls, base = [np.zeros(1, np.int64)], [], [], 0
         with fs.open_output_stream(f"{name}.ids.{attempt}") as out:
-            for b in batches:
+            for b in (b.slice(i, j - i) for b in batches for i, j in text_cuts(b.column(1))):
                 flat, stop = encoder.encode(b.column(1))
                 length = np.diff(np.concatenate([[0], stop])) + 1
                 stop = np.cumsum(length)
