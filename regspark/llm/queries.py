@@ -146,3 +146,11 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families that the paragraphs of every document name."""
+    from regspark.llm.licenses import scan
+
+    return scan(documents(spark, sf_dir))
