@@ -110,7 +110,8 @@ def repeats(sequences: DataFrame) -> DataFrame:
     named = (asked.join(front, ["_k1", "_k2", "r", "s"]).withColumn("e", F.col("s") + F.col("m") - F.expr("shiftleft(1, r)"))
              .join(back, ["_k1", "_k2", "r", "e"]).select("m", "a", "b", F.struct("id", "_k1", "_k2", "s").alias("at"), "from", "to"))
     named = cut_lineage(named)
-    intervals = named.groupBy("m", "a", "b").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # written first, so that the join stands on plain shuffles and Spark can split an interval with very many windows
+    intervals = cut_lineage(named.groupBy("m", "a", "b").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = named.join(intervals, ["m", "a", "b"]).filter("not (at <=> first)")
     return later.groupBy("at._k1", "at._k2").agg(F.collect_list(F.struct("from", "to")).alias("cuts")).toDF("_k1", "_k2", "cuts")
 
