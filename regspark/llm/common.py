@@ -13,7 +13,7 @@ from regspark.session import cut_lineage, ensure_checkpoint_dir
 #: The separators between words of every contract: space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "cut_lineage", "documents", "new_folder", "prefix_bases", "row_key"]
+__all__ = ["WORD", "cut_lineage", "documents", "new_folder", "numbered", "prefix_bases", "row_key"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named c0, c1, ..., and the new name of each; so no column can clash with an operator's own."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def row_key(cols: Sequence[str]) -> list[Column]:
     """``_k1, _k2``: 128 hash bits that name a row by the given columns; nulls count as values.
 

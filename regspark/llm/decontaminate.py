@@ -8,8 +8,8 @@ as the next seeds agree), the longest are marked first where no token of theirs
 ``width`` tokens is left. The share of a test's tokens under tiles is its coverage; the tiles may stand in any order and
 place, so a reordered passage counts as much as a whole one.
 
-Items with fewer than ``width`` tokens have one seed: all their tokens. An item without tokens matches nothing. Null and
-empty texts match nothing. Rows of documents equal in id and text are one document: all get its result; items that share
+Items with fewer than ``width`` tokens have one seed: all their tokens. An item without tokens matches nothing, one without
+id is compared like any other. Null and empty texts match nothing. Rows of documents equal in id and text are one document: all get its result; items that share
 an id are all compared, the highest coverage counts. Extra columns are not looked at. Empty tables give no match.
 """
 
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regspark.llm.common import cut_lineage, row_key
+from regspark.llm.common import cut_lineage, numbered, row_key
 from regspark.llm.quality import pieces
 
 TOKEN = np.zeros(256, bool)
@@ -91,7 +91,7 @@ def test_seeds(tests: DataFrame, width: int, bits: int, id_col: str, text_col: s
                                 out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item", pa.int64()), ("copy", pa.int64()), ("n_tokens", pa.int32()), ("place", pa.int32()), ("size", pa.int32()), ("gram", pa.string()), ("slot", pa.int64())]))
 
-    thin = tests.select(F.col(id_col).cast("long").alias("item"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
+    thin = tests.select(F.col(id_col).cast("long").alias("item"), row_key([id_col, text_col])[0].alias("copy"), F.col(text_col).alias("text"))
     return cut_lineage(thin.mapInArrow(run, "item long, copy long, n_tokens int, place int, size int, gram string, slot long").distinct())
 
 
@@ -172,13 +172,13 @@ def overlaps(rows: DataFrame, seeds: DataFrame) -> DataFrame:
             out = [*b.columns[:5], pa.array([sum(x[2] for x in t) for t in tiles], pa.int32()), pa.array([[dict(zip(("doc", "item", "tokens"), x)) for x in t] for t in tiles], kind)]
             yield pa.RecordBatch.from_arrays(out, ["_k1", "_k2", "item", "copy", "n_tokens", "covered", "tiles"])
 
-    item = ["item", "copy"]
-    named = seeds.groupBy(*item, "n_tokens", "size", "gram").agg(F.min("place").alias("name"))
-    spelled = (seeds.join(named, [*item, "n_tokens", "size", "gram"]).groupBy(*item, "n_tokens", "size")
-               .agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("p")).select(*item, "n_tokens", "size", F.col("p.name").alias("names")))
+    # an item is named by its key, as its id may be null
+    named = seeds.groupBy("item", "copy", "n_tokens", "size", "gram").agg(F.min("place").alias("name"))
+    spelled = (seeds.join(named.select("copy", "gram", "name"), ["copy", "gram"]).groupBy("copy", "n_tokens", "size")
+               .agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("p")).select("copy", "n_tokens", "size", F.col("p.name").alias("names")))
     met = (rows.filter("size(hits) > 0").select("_k1", "_k2", F.explode("hits").alias("h")).select("_k1", "_k2", "h.place", "h.gram")
-           .join(named, "gram").groupBy("_k1", "_k2", *item).agg(F.collect_set(F.struct("place", "name")).alias("hits")))
-    return (met.join(spelled, item).select("_k1", "_k2", *item, "n_tokens", "hits", "names", "size").mapInArrow(run, pairs_schema))
+           .join(named, "gram").groupBy("_k1", "_k2", "item", "copy").agg(F.collect_set(F.struct("place", "name")).alias("hits")))
+    return (met.join(spelled, "copy").select("_k1", "_k2", "item", "copy", "n_tokens", "hits", "names", "size").mapInArrow(run, pairs_schema))
 
 
 def contamination(docs: DataFrame, tests: DataFrame, width: int = 5, threshold: float = 0.5, bits: int = 22, id_col: str = "doc_id",
@@ -198,4 +198,5 @@ def contamination(docs: DataFrame, tests: DataFrame, width: int = 5, threshold:
 def decontaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows that no test item is found in."""
     bad = contamination(docs, tests, id_col=id_col, text_col=text_col, **how).filter("contaminated").select("_k1", "_k2").distinct()
-    return docs.select("*", *row_key([id_col, text_col])).join(bad, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+    own, of = numbered(docs)
+    return own.select("*", *row_key([of[id_col], of[text_col]])).join(bad, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2").toDF(*of)

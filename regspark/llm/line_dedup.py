@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regspark.llm.common import cut_lineage, row_key
+from regspark.llm.common import cut_lineage, numbered, row_key
 
 
 def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,10 +118,10 @@ def repeats(sequences: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows with later copies of repeated runs taken out of the text, and ``n_lines, n_deleted``."""
-    docs = docs.drop("n_lines", "n_deleted")
-    keyed = docs.select("*", *row_key([id_col, text_col]))
-    cuts = repeats(_sequences(keyed, id_col, text_col, min_words))
-    names, at = docs.columns, docs.columns.index(text_col)
+    own, of = numbered(docs.drop("n_lines", "n_deleted"))
+    keyed = own.select("*", *row_key([of[id_col], of[text_col]]))
+    cuts = repeats(_sequences(keyed, of[id_col], of[text_col], min_words))
+    names, at = own.columns, own.columns.index(of[text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,5 +144,5 @@ def deduplicated(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
             cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int32()), pa.array(gone, pa.int32())], [*names, "n_lines", "n_deleted"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_deleted", T.IntegerType())])
-    return keyed.join(cuts, ["_k1", "_k2"], "left").select(*names, "cuts").mapInArrow(run, schema)
+    schema = T.StructType([*own.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_deleted", T.IntegerType())])
+    return keyed.join(cuts, ["_k1", "_k2"], "left").select(*names, "cuts").mapInArrow(run, schema).toDF(*of, "n_lines", "n_deleted")

@@ -182,7 +182,7 @@ class _Checked(WordEncoder):
     """The word encoder on top of a codec, so that what it gives to the library is verified too."""
 
     def __init__(self, codec: Codec, marks: np.ndarray):
-        super().__init__(codec.t, marks, MARK, first_plain=False)
+        super().__init__(codec.t, marks, MARK, first_plain=False, keep=200_000)
         self._whole = codec.whole
 
 
@@ -200,42 +200,42 @@ def codec(path: str, data: bytes | None = None, threads: int = 2, verify: bool =
     return _codecs[key]
 
 
-def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])
-
-
-def _map(docs: DataFrame, read: str, write: str, kind: T.DataType, size, fn) -> DataFrame:
-    """Adds or replaces one column in Arrow batches of bounded size; ``size`` cuts a batch."""
-    names, at = [c for c in docs.columns if c != write], docs.columns.index(read)
+def _map(docs: DataFrame, read: str, made: dict[str, T.DataType], size, fn) -> DataFrame:
+    """Adds or replaces columns in Arrow batches of bounded size; ``size`` cuts a batch, ``fn`` gives the columns of a part."""
+    kept = [i for i, c in enumerate(docs.columns) if c not in made]
+    names, at = [docs.columns[i] for i in kept], docs.columns.index(read)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i, j in size(whole.column(at)):
                 b = whole.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], fn(b.column(at))], [*names, write])
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], *fn(b.column(at))], [*names, *made])
+            pa.default_memory_pool().release_unused()
 
-    kept = [docs.columns.index(c) for c in names]
-    return docs.mapInArrow(run, _with(docs.schema, write, kind))
+    return docs.mapInArrow(run, T.StructType([*[docs.schema.fields[i] for i in kept], *[T.StructField(c, t) for c, t in made.items()]]))
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", threads: int = 2, verify: bool = True) -> DataFrame:
-    """Adds the ids of each text as ``array<int>``."""
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", round_trip_col: str | None = None,
+           threads: int = 2, verify: bool = True) -> DataFrame:
+    """Adds the ids of each text as ``array<int>`` and, if a column is named for it, whether they decode to the text (null with the text)."""
 
-    def ids_of(texts: pa.Array) -> pa.Array:
-        ids, ends = codec(model_path, threads=threads, verify=verify).encode(texts)
+    def columns(texts: pa.Array) -> list[pa.Array]:
+        c = codec(model_path, threads=threads, verify=verify)
+        ids, ends = c.encode(texts)
         offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(np.asarray(texts.is_null()), False))
-        return pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
+        out = [pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))]
+        return out if round_trip_col is None else [*out, pc.equal(c.decode(ids, ends), texts)]
 
-    return _map(docs, text_col, ids_col, T.ArrayType(T.IntegerType()), text_cuts, ids_of)
+    made = {ids_col: T.ArrayType(T.IntegerType())} | ({} if round_trip_col is None else {round_trip_col: T.BooleanType()})
+    return _map(docs, text_col, made, lambda texts: text_cuts(texts, 4 << 20), columns)
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded", threads: int = 2) -> DataFrame:
     """Adds the text of each row's ids."""
 
-    def text_of(lists: pa.Array) -> pa.Array:
-        c = codec(model_path, threads=threads, verify=False)
-        n = pc.fill_null(pc.list_value_length(lists), 0)
-        texts = c.decode(np.asarray(lists.flatten()), np.cumsum(np.asarray(n), dtype=np.int64))
-        return pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+    def columns(lists: pa.Array) -> list[pa.Array]:
+        n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        texts = codec(model_path, threads=threads, verify=False).decode(np.asarray(lists.flatten()), np.cumsum(n, dtype=np.int64))
+        return [pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))]
 
-    return _map(rows, ids_col, text_col, T.StringType(), lambda lists: cuts(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64), 2 << 20), text_of)
+    return _map(rows, ids_col, {text_col: T.StringType()}, lambda lists: cuts(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64), 1 << 20), columns)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regspark.llm import boosting
+from regspark.llm.common import numbered
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -166,9 +167,8 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     of the base spans."""
     models = _models()
     made = ["base", "spans", *[f"n_{k}" for k in KINDS]]
-    docs = docs.drop(*made)
-    names = docs.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs, of = numbered(docs.drop(*made))
+    text = F.coalesce(F.col(of[text_col]), F.lit(""))
     sets = PATTERNS | {"mail_like": MAIL_LIKE, "number_like": NUMBER_LIKE}
     needs = {"email": text.contains("@"), "mail_like": text.rlike("@|[aA][tT]")}
     rows = docs.withColumn("_any", text.rlike("[0-9@]|[aA][tT][\\]) ]"))
@@ -195,7 +195,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     more = {"email": "_a_email", "card": clear.format("_a_card"), "phone": clear.format("_a_phone")}
     by_start = "(a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 else 0 end"
     spans = F.concat(*[F.expr(f"array_sort(concat(_b_{k}, {more[k]}), {by_start})") if k in more else F.col(f"_b_{k}") for k in KINDS])
-    return rows.select(*names, "base", spans.alias("spans"), *[F.size(f"_b_{k}").cast("long").alias(f"n_{k}") for k in KINDS])
+    return rows.select(*[F.col(c).alias(name) for name, c in of.items()], "base", spans.alias("spans"), *[F.size(f"_b_{k}").cast("long").alias(f"n_{k}") for k in KINDS])
 
 
 def joined(spans: str) -> Column:

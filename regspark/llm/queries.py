@@ -47,11 +47,10 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every whole text, verified, and whether they decode to the text again."""
-    from regspark.llm.piece_codec import decode, encode
+    from regspark.llm.piece_codec import encode
 
-    path = vocabulary("piece_bpe_32k.model")
-    rows = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), path), path)
-    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    rows = encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("piece_bpe_32k.model"), round_trip_col="round_trip")
+    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
 
 
 @query

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regspark.llm.common import prefix_bases, row_key
+from regspark.llm.common import numbered, prefix_bases, row_key
 
 #: A broadcast of two numbers a bucket stays below 32 MB up to here; more buckets are joined by a shuffle.
 BROADCAST_BUCKETS = 1 << 20
@@ -46,14 +46,14 @@ def _scattered(docs: DataFrame, seed: int, buckets: int, hot_rows: int) -> DataF
 def deal(docs: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = 32 << 20, least_buckets: int = 64,
          hot_rows: int = 20_000, text: str = "text") -> DataFrame:
     """All rows and columns, with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard)."""
-    docs = docs.drop("shard", "slot")
-    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(row_size(text)), F.lit(0))).first()
+    own, of = numbered(docs.drop("shard", "slot"))
+    n, size = own.agg(F.count("*"), F.coalesce(F.sum(row_size(of[text])), F.lit(0))).first()
     buckets = max(least_buckets, -(-size // bucket_bytes))
-    rows = _scattered(docs, seed, buckets, hot_rows)
+    rows = _scattered(own, seed, buckets, hot_rows)
     bases = prefix_bases(rows.groupBy("_bucket").agg(F.count("*").alias("_n")), "_bucket", "_n", "_base").drop("_n")
     placed = rows.join(F.broadcast(bases) if buckets <= BROADCAST_BUCKETS else bases, "_bucket")
     each, longer = divmod(n, shards)
-    names = docs.columns
+    names = own.columns
 
     def shuffled(bucket: pa.Table) -> pa.Table:
         if not bucket.num_rows:
@@ -69,8 +69,8 @@ def deal(docs: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = 32 <<
         out = bucket.select(names).take(order)
         return out.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(slot.astype(np.int64)))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return placed.groupBy("_bucket").applyInArrow(shuffled, schema)
+    schema = T.StructType([*own.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    return placed.groupBy("_bucket").applyInArrow(shuffled, schema).toDF(*of, "shard", "slot")
 
 
 def write_shards(dealt: DataFrame, folder: str) -> None:
