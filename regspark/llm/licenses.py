@@ -3,7 +3,8 @@
 A paragraph is a line with words. Its features are its distinct words and word pairs (lower case, ASCII letters and digits).
 A multinomial logistic regression with an L1 penalty keeps few features; a paragraph's score is a join of its words and
 pairs with the table of features and a sum. The probabilities are calibrated by a temperature on examples held out, with
-``unknown`` as a class of its own. A family is predicted if it is the most probable and reaches ``least``, and confirmed if
+``unknown`` as a class of its own. As the weights are few, a bound on what all weak features can add up to leaves a set of
+features of which a paragraph must have one; only these paragraphs are scored. A family is predicted if it is the most probable and reaches ``least``, and confirmed if
 the paragraph and a template of the family share ``alike`` of the word pairs of either one, three pairs at least.
 
 The model is fitted on the driver on examples made from the templates (words left out, cut, with words around them) and, for
@@ -148,14 +149,18 @@ def examples(negatives: list[str], each: int = 30, seed: int = 5) -> tuple[list[
     return sets, np.array(classes + [len(TEMPLATES)] * len(none))
 
 
-def fit(negatives: list[str], rounds: int = 250, penalty: float = 2e-4, seed: int = 5) -> tuple[dict[tuple[str, str | None], np.ndarray], np.ndarray, float]:
-    """Weights by feature, bias, temperature. Proximal gradient with momentum on a balanced multinomial loss."""
+def fit(negatives: list[str], rounds: int = 250, penalty: float = 3e-3, seed: int = 5) -> tuple[dict[tuple[str, str | None], np.ndarray], np.ndarray, float]:
+    """Weights by feature, bias, temperature. What stands in one of fifty other paragraphs tells nothing and is no feature. Proximal gradient with momentum on a balanced multinomial loss."""
     sets, y = examples(negatives, seed=seed)
     count: dict = {}
     for s in sets:
         for f in s:
             count[f] = count.get(f, 0) + 1
-    names = sorted((f for f, n in count.items() if n >= 4), key=lambda f: (f[0], f[1] or ""))
+    plain = [_features(_words(n)) for n in negatives]
+    common: dict = {}
+    for f in (f for s in plain for f in s):
+        common[f] = common.get(f, 0) + 1
+    names = sorted((f for f, n in count.items() if n >= 4 and common.get(f, 0) <= 0.02 * len(plain)), key=lambda f: (f[0], f[1] or ""))
     place = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(sets), len(names)), np.float32)
     for i, s in enumerate(sets):
@@ -188,6 +193,34 @@ def fit(negatives: list[str], rounds: int = 250, penalty: float = 2e-4, seed: in
     return {f: w[i].astype(float) for f, i in place.items() if np.abs(w[i]).max() > 1e-6}, b.astype(float), float(scale)
 
 
+def telling(weights: dict[tuple[str, str | None], np.ndarray], bias: np.ndarray, scale: float, least: float, negatives: list[str]) -> set[tuple[str, str | None]]:
+    """Features of which a paragraph must have one to be given any family with probability ``least``.
+
+    To reach it, a family's features must outweigh those of ``unknown`` by what the biases differ, and the odds of ``least``. All features
+    outside the set together do not. Those that are frequent in other paragraphs for their weight are left out first.
+    """
+    names = sorted(weights, key=lambda f: (f[0], f[1] or ""))
+    if not names:
+        return set()
+    w = np.array([weights[f] for f in names])
+    gain = np.maximum(w[:, :-1] - w[:, -1:], 0)
+    need = bias[-1] - bias[:-1] + np.log(least / (1 - least)) / scale
+    if (need <= 0).any():
+        return set(names)
+    seen: dict = {}
+    for n in negatives:
+        for f in _features(_words(n)):
+            seen[f] = seen.get(f, 0) + 1
+    order = sorted(range(len(names)), key=lambda i: -seen.get(names[i], 0) / (gain[i].max() + 1e-9))
+    room, out = need * 0.999, set()
+    for i in order:
+        if (gain[i] < room).all() and (seen.get(names[i]) or gain[i].max() == 0):
+            room = room - gain[i]
+        else:
+            out.add(names[i])
+    return out
+
+
 def _sample(docs: DataFrame, id_col: str, text_col: str, sample: int) -> list[str]:
     """Paragraphs of at most ``sample`` documents, 20 of each."""
     ids = docs.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -198,21 +231,29 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, sample: int) -> list[st
 def paragraphs(docs: DataFrame, least: float = 0.6, alike: float = 0.6, sample: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_k1, _k2, line, family, p, alike, confirmed``: the paragraphs for which a family is predicted."""
     spark = docs.sparkSession
-    weights, bias, scale = fit(_sample(docs, id_col, text_col, sample))
+    negatives = _sample(docs, id_col, text_col, sample)
+    weights, bias, scale = fit(negatives)
     shapes = [(f, _pairs(_words(t))) for f, ts in TEMPLATES.items() for t in ts]
+    needed = telling(weights, bias, scale, least, negatives)
     table: list[tuple] = []
     for f in sorted(set(weights) | set().union(*[s for _, s in shapes]), key=lambda f: (f[0], f[1] or "")):
-        table.append((len(table), f[0], f[1], [float(v) for v in weights.get(f, np.zeros(len(FAMILIES)))], [i for i, (_, s) in enumerate(shapes) if f in s]))
+        table.append((len(table), f[0], f[1], [float(v) for v in weights.get(f, np.zeros(len(FAMILIES)))], [i for i, (_, s) in enumerate(shapes) if f in s], f in needed))
     # a few thousand rows whatever the input: the templates and the bounded examples decide
-    features = spark.createDataFrame(table, "f int, w string, n string, weights array<double>, shapes array<int>")
-    ones = F.broadcast(features.filter("n is null").select(F.col("f").alias("f1"), "w"))
-    twos = F.broadcast(features.filter("n is not null").select(F.col("f").alias("f2"), "w", "n"))
+    features = spark.createDataFrame(table, "f int, w string, n string, weights array<double>, shapes array<int>, needed boolean")
+
+    def with_features(words: DataFrame, which: str) -> DataFrame:
+        """Words (w, next word n) with the features they are: f1 of the word, f2 of the pair; rows without any go."""
+        own = features.filter(which)
+        ones = own.filter("n is null").select(F.col("f").alias("f1"), "w")
+        twos = own.filter("n is not null").select(F.col("f").alias("f2"), "w", "n")
+        return words.join(F.broadcast(ones), "w", "left").join(F.broadcast(twos), ["w", "n"], "left").filter("f1 is not null or f2 is not null")
 
+    pairs = F.explode(F.arrays_zip(F.col("t").alias("w"), F.slice("t", 2, F.size("t")).alias("n"))).alias("x")
     lines = (docs.filter(F.col(text_col).isNotNull()).select(*row_key([id_col, text_col]), F.posexplode(F.split(text_col, "\n")).alias("line", "t"))
              .select("_k1", "_k2", "line", F.regexp_extract_all(F.lower("t"), F.lit(TOKEN), F.lit(0)).alias("t")).filter("size(t) > 0"))
-    words = (lines.select("_k1", "_k2", "line", F.size("t").alias("n_words"), F.explode(F.arrays_zip(F.col("t").alias("w"), F.slice("t", 2, F.size("t")).alias("n"))).alias("x"))
-             .select("_k1", "_k2", "line", "n_words", "x.w", "x.n"))
-    met = (words.join(ones, "w", "left").join(twos, ["w", "n"], "left").filter("f1 is not null or f2 is not null")
+    near_any = with_features(lines.select("_k1", "_k2", "line", "t", pairs).select("_k1", "_k2", "line", "t", "x.w", "x.n"), "needed")
+    few = near_any.select("_k1", "_k2", "line", "t").dropDuplicates(["_k1", "_k2", "line"])
+    met = (with_features(few.select("_k1", "_k2", "line", F.size("t").alias("n_words"), pairs).select("_k1", "_k2", "line", "n_words", "x.w", "x.n"), "true")
            .select("_k1", "_k2", "line", "n_words", F.explode(F.array("f1", "f2")).alias("f")).filter("f is not null").distinct())
     k = len(FAMILIES)
     sums = (met.join(F.broadcast(features.select("f", "weights", "shapes")), "f").groupBy("_k1", "_k2", "line", "n_words")
