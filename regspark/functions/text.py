@@ -44,6 +44,25 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def carried(values: Column, block: int = 256) -> Column:
+    """An array in which each element is the last one before it that is not NULL (NULL if there is none).
+
+    Only places are folded, in blocks, so that an array of many elements stays cheap.
+    """
+    def running(w: Column) -> Column:
+        start = F.struct(F.lit(-1).alias("m"), F.array().cast("array<int>").alias("o"))
+        return F.aggregate(w, start, lambda a, v: F.struct(F.greatest(a["m"], v).alias("m"), F.concat(a["o"], F.array(a["m"])).alias("o")), lambda a: a["o"])
+
+    def before(v: Column) -> Column:
+        places = F.transform(v, lambda x, i: F.when(x.isNotNull(), i).otherwise(-1))
+        return let(places, lambda m: let(
+            F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(m) - 1, F.lit(0)) / block).cast("int")), lambda b: F.slice(m, b * block + 1, block)),
+            lambda blocks: F.flatten(F.zip_with(F.transform(blocks, running), running(F.transform(blocks, F.array_max)),
+                                                lambda o, top: F.transform(o, lambda j: F.greatest(j, top))))))
+
+    return let(values, lambda v: F.transform(before(v), lambda j: F.when(j >= 0, F.get(v, j))))
+
+
 def matches(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 

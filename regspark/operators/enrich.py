@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from regspark.functions import features as FE
 from regspark.functions import fixed as X
 from regspark.functions import text as C
-from regspark.operators.ordered import salted_join
 from regspark.providers import TextProvider, add_completions
 
 # --- fixed values: request texts ---
@@ -109,7 +108,7 @@ def parse_parameters(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def joined_context(picked: DataFrame, chunks: DataFrame) -> DataFrame:
     """E5: texts of the picked chunks (code, rank, chunk_id) in rank order; at most eight per code."""
-    j = salted_join(picked, chunks.select("chunk_id", "text_with_header"), ["chunk_id"], ["code", "rank"])
+    j = picked.join(chunks.select("chunk_id", "text_with_header"), ["chunk_id"])
     return j.groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text_with_header"))),
                                                           lambda s: s["text_with_header"]), X.BLOCK_SEPARATOR).alias("context"))
 

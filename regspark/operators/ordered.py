@@ -3,17 +3,14 @@
 A window over ``PARTITION BY key ORDER BY pos`` puts a whole group into one task. Here the positions of a
 group are cut into blocks of ``width`` values; the window runs per (key, block), one summary row per
 block carries the state across block borders, and the two are joined back. Blocks depend only on the
-position value, so recomputed tasks after an executor loss give the same rows. A narrow pass over the
-positions tells first whether any group is longer than one block; if none is, the plain window is used.
+position value, so recomputed tasks after an executor loss give the same rows. The plan is the same for every
+input, and no job runs while it is built. Joins need no such help: Spark's adaptive skew join splits hot keys.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BLOCK = 65_536
 
@@ -22,26 +19,12 @@ def _blocked(df: DataFrame, pos: str, width: int) -> DataFrame:
     return df.withColumn("_blk", F.floor(F.col(pos) / F.lit(width)).cast("long"))
 
 
-def _one_block(df: DataFrame, pos: str, width: int) -> bool:
-    """No position lies outside the first block."""
-    return df.filter((F.col(pos) >= width) | (F.col(pos) < 0)).isEmpty()
-
-
-def carry_last(df: DataFrame, keys: list[str], pos: str, cols: list[str], width: int = BLOCK,
-               inclusive: bool = False, group_rows: str | None = None) -> DataFrame:
-    """Replace each of ``cols`` by its last non-null value before (or at) the row, per key.
-
-    ``group_rows`` names a column with the number of positions of the row's group: groups of one block then skip
-    the summary, which spares a second evaluation of everything before.
-    """
+def carry_last(df: DataFrame, keys: list[str], pos: str, cols: list[str], width: int = BLOCK, inclusive: bool = False) -> DataFrame:
+    """Replace each of ``cols`` by its last non-null value before (or at) the row, per key."""
     frame = (Window.unboundedPreceding, 0 if inclusive else -1)
-    if group_rows is None and _one_block(df, pos, width):
-        w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(*frame)
-        return df.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in cols else F.col(c) for c in df.columns])
     d = _blocked(df, pos, width)
     local = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(*frame)
-    long = d if group_rows is None else d.filter(F.col(group_rows) > width)
-    summary = long.groupBy(*keys, "_blk").agg(
+    summary = d.groupBy(*keys, "_blk").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in cols])
     across = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(*keys, "_blk", *[F.last(c, ignorenulls=True).over(across).alias("_in_" + c) for c in cols])
@@ -53,9 +36,6 @@ def carry_last(df: DataFrame, keys: list[str], pos: str, cols: list[str], width:
 
 def running_sum(df: DataFrame, keys: list[str], pos: str, value: Column, name: str, width: int = BLOCK) -> DataFrame:
     """Sum of ``value`` over all rows up to and including this one, per key."""
-    if _one_block(df, pos, width):
-        w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(value.cast("long")).over(w))
     d = _blocked(df.withColumn("_v", value.cast("long")), pos, width)
     local = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,9 +54,6 @@ def neighbour(df: DataFrame, keys: list[str], pos: str, cols: dict[str, str], st
               width: int = BLOCK) -> DataFrame:
     """Add the values of the next (``step=1``) or previous (``step=-1``) row of the same key; NULL at the ends."""
     assert step in (1, -1)
-    if _one_block(df, pos, width):
-        w = Window.partitionBy(*keys).orderBy(pos)
-        return df.select("*", *[F.lead(c, step).over(w).alias(name) for c, name in cols.items()])
     d = _blocked(df, pos, width).withColumn("_s", F.struct(*cols))
     local = Window.partitionBy(*keys, "_blk").orderBy(pos)
     edge = (F.min_by if step == 1 else F.max_by)("_s", F.col(pos)).alias("_e")
@@ -90,8 +67,6 @@ def neighbour(df: DataFrame, keys: list[str], pos: str, cols: dict[str, str], st
 def preceding(df: DataFrame, keys: list[str], pos: str, value: Column, n: int, name: str,
               width: int = BLOCK) -> DataFrame:
     """Array of ``value`` over the ``n`` rows before this one, oldest first, per key."""
-    if _one_block(df, pos, width):
-        return df.withColumn(name, F.collect_list(value).over(Window.partitionBy(*keys).orderBy(pos).rowsBetween(-n, -1)))
     d = _blocked(df.withColumn("_v", value), pos, width)
     local = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(-n, -1)
     newest = Window.partitionBy(*keys, "_blk").orderBy(F.desc(pos))
@@ -129,34 +104,3 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, nam
     """At most ``k`` rows per key (W7); Spark cuts each task's share to ``k`` before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
-
-
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int, max_hot: int = 2000) -> DataFrame:
-    """The heaviest keys and the number of salts each needs; never more than ``max_hot`` rows."""
-    return (
-        df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-        .orderBy(F.desc("count"), *keys).limit(max_hot)
-        .select(*keys, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_salts"))
-    )
-
-
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_by: list[str], how: str = "inner",
-                hot_rows: int = 1_000_000, max_hot: int = 2000) -> DataFrame:
-    """Equi join whose hot left keys are spread over several tasks.
-
-    One narrow pass counts the left keys; at most ``max_hot`` of them come back. Without a hot key this is the
-    plain join. Otherwise every left row keeps exactly one salt (a hash of ``salt_by``) and every right row of a
-    hot key is repeated once per salt, so the result equals the plain join for inner, left, semi and anti; lighter
-    keys stay unsalted. Rows with a NULL key match nothing and may take any salt.
-    """
-    found = hot_keys(left, keys, hot_rows, max_hot).collect()
-    if not found:
-        return left.join(right, keys, how)
-    schema = T.StructType([T.StructField(k, left.schema[k].dataType) for k in keys] + [T.StructField("_salts", T.IntegerType())])
-    hot = F.broadcast(left.sparkSession.createDataFrame(found, schema))
-    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salts = F.when(missing, F.lit(max(r["_salts"] for r in found))).otherwise(F.coalesce("_salts", F.lit(1)))
-    lft = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt_by), salts).cast("int")).drop("_salts")
-    rgt = right.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return lft.join(rgt, [*keys, "_salt"], how).drop("_salt")

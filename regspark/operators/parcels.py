@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from regspark.functions import features as FE
 from regspark.functions import text as C
-from regspark.operators.ordered import last_by, neighbour, salted_join
+from regspark.operators.ordered import last_by, neighbour
 
 
 def is_common(use: Column | str) -> Column:
@@ -71,7 +71,7 @@ def filter_units(requests: DataFrame, units: DataFrame) -> DataFrame:
     hit = F.lit(True)
     for c in ("stair", "floor", "door"):
         hit &= (F.coalesce("_" + c, F.lit("")) == "") | (C.unit_code(c) == C.unit_code("_" + c))
-    j = salted_join(units, r, ["building"], ["ref"]).withColumn("matched", hit).drop("_stair", "_floor", "_door")
+    j = units.join(r, ["building"]).withColumn("matched", hit).drop("_stair", "_floor", "_door")
     some = j.filter("matched").select("req_id").distinct()
     return j.filter("matched").unionByName(j.join(some, "req_id", "left_anti"))
 
@@ -87,8 +87,8 @@ def address_units(addresses: DataFrame, property_refs: DataFrame, units: DataFra
 
     ``addresses``: address_id. ``property_refs``: address_id, ref. ``units``: ref, pos, use, area.
     """
-    refs = salted_join(property_refs, addresses.select("address_id"), ["address_id"], ["ref"])
-    return salted_join(units, refs, ["ref"], ["pos"])
+    refs = property_refs.join(addresses.select("address_id"), ["address_id"])
+    return units.join(refs, ["ref"])
 
 
 def combined_record(addresses: DataFrame, property_refs: DataFrame, units: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def street_candidates(addresses: DataFrame, streets: DataFrame) -> DataFrame:
     tries = typed.select("address_id", F.col("s.name").alias("name"), F.posexplode("s.types").alias("priority", "street_type")) \
         .filter(F.col("name").isNotNull()) \
         .withColumn("street_name", C.cadastre_upper(C.drop_street_article("name"))).drop("name")
-    j = salted_join(tries, streets, ["street_type", "street_name"], ["address_id", "priority"])
+    j = tries.join(streets, ["street_type", "street_name"])
     return j.groupBy("address_id").agg(F.min_by(F.struct("via", "street_type", "street_name"), F.struct("priority", "via")).alias("v")) \
         .select("address_id", "v.*")
 
@@ -137,11 +137,9 @@ def cadastral_layers(parcels: DataFrame, buildings: DataFrame, blocks: DataFrame
     """Every building with its parcel, the block of the parcel and the street in front of it.
 
     ``parcels``: refcat, masa, via. ``buildings``: refcat, .... ``blocks``: masa, .... ``streets``: via, ....
-    A parcel, block or street that holds most buildings is spread by the other columns of the row.
     """
-    spread = [c for c in buildings.columns if c != "refcat"]
-    placed = salted_join(buildings, parcels, ["refcat"], spread)
-    return salted_join(salted_join(placed, blocks, ["masa"], ["refcat"] + spread, "left"), streets, ["via"], ["refcat"] + spread, "left")
+    placed = buildings.join(parcels, ["refcat"])
+    return placed.join(blocks, ["masa"], "left").join(streets, ["via"], "left")
 
 
 def zone_precedence(resolved: DataFrame) -> DataFrame:

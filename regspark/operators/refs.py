@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from regspark.functions import fixed as X
 from regspark.functions import text as C
 from regspark.functions.text import _col
-from regspark.operators.ordered import first_by, salted_join, top_per_key
+from regspark.operators.ordered import first_by, top_per_key
 
 
 def number_parts(number: Column | str) -> list[Column]:
@@ -65,7 +65,7 @@ def wikilinks(notes: DataFrame, slugs: DataFrame) -> DataFrame:
     cited = notes.select("source", "note_id", "ref", F.explode_outer(C.matches(F.col("ref"), pattern, 1)).alias("number")) \
         .withColumn("slug", C.article_slug("number"))
     known = slugs.select("source", "slug").distinct().withColumn("known", F.lit(True))
-    checked = salted_join(cited, known, ["source", "slug"], ["note_id", "number"], "left")
+    checked = cited.join(known, ["source", "slug"], "left")
     whole = checked.groupBy("source", "note_id").agg(
         F.first("ref").alias("ref"), F.bool_or(F.col("slug").isNotNull() & F.col("known").isNull()).alias("broken"))
     text = F.regexp_replace("ref", pattern, "[[art-$1]]")
@@ -110,7 +110,7 @@ def neighbourhood(edges: DataFrame, max_incoming: int = 15) -> DataFrame:
 def subsection(requests: DataFrame, articles: DataFrame) -> DataFrame:
     """``62.6`` -> article 62, item 6. ``articles``: number, item_no, item_text."""
     r = requests.withColumns({"number": F.split("request", r"\.")[0], "item": F.get(F.split("request", r"\."), F.lit(1))})
-    joined = salted_join(r, articles, ["number"], ["request"])
+    joined = r.join(articles, ["number"])
     return joined.filter(F.col("item").isNull() | (F.col("item") == F.col("item_no")))
 
 
@@ -119,7 +119,7 @@ def related_articles(edges: DataFrame, k: int = 5) -> DataFrame:
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     linked = both.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
     deg = degrees(edges).select(F.col("node").alias("dst"), "total")
-    scored = salted_join(linked, deg, ["dst"], ["src"])
+    scored = linked.join(deg, ["dst"])
     return top_per_key(scored, ["src"], [F.desc("links"), F.desc("total"), F.asc("dst")], k)
 
 

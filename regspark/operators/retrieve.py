@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 from regspark.functions import features as FE
 from regspark.functions import fixed as X
 from regspark.functions import text as C
-from regspark.operators.ordered import first_by, salted_join, top_per_key
+from regspark.operators.ordered import first_by, top_per_key
 
 VIEWS = {"text": "v_text", "summary": "v_summary", "questions": "v_questions"}
 QUERY_BYTES = 64 << 20  # largest query block that is sent to every task
+SIMILARITY_BYTES = 64 << 20  # largest block of similarities in one step
 
 
 def unit(c: Column | str) -> Column:
@@ -33,6 +34,9 @@ def unit(c: Column | str) -> Column:
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit rows of a list column and the positions of the rows that hold a vector."""
     valid = np.nonzero(column.is_valid().to_numpy(zero_copy_only=False))[0]
+    sizes = set(column.drop_null().value_lengths().unique().to_pylist()) - {dim}
+    if sizes:
+        raise ValueError(f"vectors of {dim} and of {min(sizes)} numbers")
     flat = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     m = flat.reshape(-1, dim)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
@@ -48,7 +52,8 @@ class _TopK:
         self.ids: list[np.ndarray | None] = [None] * n
 
     def add(self, sims: np.ndarray, ids: np.ndarray) -> None:
-        for q in range(sims.shape[0]):
+        bars = np.array([max(self.floor, s[-1]) if len(s) == self.k else self.floor for s in self.scores])
+        for q in np.flatnonzero(((sims >= bars[:, None]) & np.isfinite(sims)).any(axis=1)):  # queries that a row can enter
             row, held = sims[q], self.scores[q]
             bar = max(self.floor, held[-1]) if len(held) == self.k else self.floor
             idx = np.nonzero((row >= bar) & np.isfinite(row))[0]
@@ -84,10 +89,13 @@ def _search(batches: Iterator[pa.RecordBatch], qids: list, qmat: np.ndarray, qma
             mat, valid = _matrix(batch.column(batch.schema.get_field_index(col)), qmat.shape[1])
             if len(valid) == 0:
                 continue
-            sims = np.round(qmat @ mat.T, 9)
-            if allowed is not None:
-                sims = np.where(allowed[:, valid], sims, -np.inf)
-            tops[view].add(sims, ids[valid])
+            step = max(1, SIMILARITY_BYTES // (8 * max(1, len(qids))))
+            for at in range(0, len(valid), step):
+                rows = valid[at:at + step]
+                sims = np.round(qmat @ mat[at:at + step].T, 9)
+                if allowed is not None:
+                    sims = np.where(allowed[:, rows], sims, -np.inf)
+                tops[view].add(sims, ids[rows])
     return [(qids[q], view, i, float(s)) for view, top in tops.items() for q, ss, ii in top.rows() for s, i in zip(ss, ii)]
 
 
@@ -99,9 +107,11 @@ def similarity_hits(queries: DataFrame, chunks: DataFrame, k: int = X.TOP_K_VIEW
     ``queries``: query_id, vector; ``match=(query column, chunk column)`` restricts a query to chunks with an
     equal value (NULL on the query side: no restriction). Every task keeps at most k rows per query and view,
     so only those are shuffled. A query block below ``max_query_bytes`` is sent to all tasks; larger query
-    sets are tiled against blocks of chunks.
+    sets are tiled against blocks of chunks. Queries and chunks without a vector have no hits; vectors of different
+    lengths are an error.
     """
     views = views or VIEWS
+    queries = queries.filter("vector is not null")
     dim_row = queries.select(F.size("vector").alias("d")).limit(1).collect()
     dim = dim_row[0]["d"] if dim_row else 1
     cap = max(1, max_query_bytes // (8 * dim))
@@ -115,7 +125,7 @@ def similarity_hits(queries: DataFrame, chunks: DataFrame, k: int = X.TOP_K_VIEW
     data = chunks.select(*ccols)
     if len(block) <= cap:
         shared = data.sparkSession.sparkContext.broadcast(
-            ([r["query_id"] for r in block], [list(r["vector"]) for r in block],
+            ([r["query_id"] for r in block], np.array([r["vector"] for r in block], np.float64),
              [r[match[0]] for r in block] if match else None))
         arrow = pa.schema([("query_id", _arrow(schema[0].dataType)), ("view", pa.string()),
                            (id_col, _arrow(id_type)), ("score", pa.float64())])
@@ -124,7 +134,7 @@ def similarity_hits(queries: DataFrame, chunks: DataFrame, k: int = X.TOP_K_VIEW
             qids, vectors, wanted = shared.value
             if not qids:
                 return
-            qmat, _ = _matrix(pa.array(vectors, pa.list_(pa.float64())), dim)
+            qmat = vectors / np.where((norm := np.linalg.norm(vectors, axis=1, keepdims=True)) == 0, 1, norm)
             rows = _search(batches, qids, qmat, np.array(wanted, dtype=object) if match else None, id_col, views,
                            match[1] if match else None, k, floor)
             cols = list(zip(*rows)) if rows else [[], [], [], []]
@@ -309,7 +319,7 @@ def assemble_context(hits: DataFrame, style: str = "service") -> DataFrame:
 def attach_wiki(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """The wiki page of each hit by its path, NULL when there is none. ``pages``: wiki_path, body."""
     keyed = hits.withColumn("wiki_path", C.wiki_path("source", "article_no"))
-    return salted_join(keyed, pages.select("wiki_path", "body"), ["wiki_path"], ["query_id", "rank"], "left")
+    return keyed.join(pages.select("wiki_path", "body"), ["wiki_path"], "left")
 
 
 def article_card() -> Column:
@@ -348,7 +358,7 @@ def locate_article(pages: DataFrame, numbers: DataFrame, first_page: int = 7, wi
     """
     found = pages.filter(F.col("page") >= first_page).select(
         "doc", "page", "text", F.explode(F.array_distinct(C.matches(F.col("text"), r"Art(?:\. ?| )(\d+)\.", 1))).alias("number"))
-    best = first_by(salted_join(found, numbers, ["doc", "number"], ["page"], "left_semi"), ["doc", "number"], ["page"])
+    best = first_by(found.join(numbers, ["doc", "number"], "left_semi"), ["doc", "number"], ["page"])
     tries = [F.expr(f"locate(concat('{p}', number, '.'), text)") for p in ("Art. ", "Art.", "Art ")]
     at = F.coalesce(*[F.nullif(t, F.lit(0)) for t in tries])
     rest = F.expr("substr(text, at + 20)")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from regspark.functions import features as FE
 from regspark.functions import fixed as X
 from regspark.functions import text as C
-from regspark.operators.ordered import carry_last, first_by, neighbour, running_sum, salted_join
+from regspark.operators.ordered import carry_last, first_by, neighbour, running_sum
 
 J = "(?iu)"
 JM = "(?miud)"
@@ -42,14 +42,21 @@ def plain_pieces(docs: DataFrame) -> DataFrame:
     return cut.select("doc", F.size("_p").alias("pieces"), F.posexplode("_p").alias("pos", "piece"))
 
 
-def _levels(piece: str) -> dict[str, Column]:
-    """Last title, chapter and section heading of a piece as ``struct<number, name>``."""
-    out = {}
-    for name, pattern in (("title", X.PLAIN_TITLE), ("chapter", X.PLAIN_CHAPTER), ("section", X.PLAIN_SECTION)):
-        number = C.last_match(F.col(piece), pattern, 1)
-        out[name] = F.when(number.isNotNull(), F.struct(
-            number.alias("number"), F.trim(C.last_match(F.col(piece), pattern, 2)).alias("name")))
-    return out
+LEVELS = {"title": X.PLAIN_TITLE, "chapter": X.PLAIN_CHAPTER, "section": X.PLAIN_SECTION}
+
+
+def _level(piece: Column, pattern: str) -> Column:
+    """Last heading of a piece as ``struct<number, name>``."""
+    return F.when(C.last_match(piece, pattern, 1).isNotNull(), F.struct(
+        C.last_match(piece, pattern, 1).alias("number"), F.trim(C.last_match(piece, pattern, 2)).alias("name")))
+
+
+def _exploded_with_headings(cut: DataFrame, key: str, headings: dict) -> DataFrame:
+    """Pieces of the array ``_p`` as rows, each with the last headings of the pieces before it; inside the row, so nothing is shuffled."""
+    found = cut.withColumns({f"_l_{n}": F.transform("_p", of) for n, of in headings.items()})
+    found = found.withColumns({n: C.carried(F.col(f"_l_{n}")) for n in headings})
+    rows = found.select(key, F.size("_p").alias("pieces"), F.posexplode(F.arrays_zip(F.col("_p").alias("piece"), *headings)).alias("pos", "_z"))
+    return rows.select(key, "pieces", "pos", "_z.piece", *[F.col("_z")[n].alias(n) for n in headings])
 
 
 def _article_columns(piece: str) -> list[Column]:
@@ -65,35 +72,45 @@ def _article_columns(piece: str) -> list[Column]:
 
 def plain_articles(docs: DataFrame) -> DataFrame:
     """Articles of plain texts with the nearest title, chapter and section before each."""
-    p = plain_pieces(docs).withColumns(_levels("piece"))
-    p = carry_last(p, ["doc"], "pos", ["title", "chapter", "section"], group_rows="pieces")
-    return p.filter("pos > 0").select("doc", "pos", *_article_columns("piece"), "title", "chapter", "section")
+    cut = docs.select("doc", C.split_at(F.col("text"), J + PLAIN_ARTICLE).alias("_p"))
+
+    def heading(pattern: str):
+        return lambda piece: _level(piece, pattern)
+
+    p = _exploded_with_headings(cut, "doc", {n: heading(pattern) for n, pattern in LEVELS.items()})
+    return p.filter("pos > 0").select("doc", "pos", *_article_columns("piece"), *LEVELS)
+
+
+#: A heading of which the end may be on the next page, and a page that may lie inside one.
+OPEN_HEAD = J + r"(?:Art\.\s+(?:\d+[a-z]?(?:\.(?:\s+(?:[^.\n]+(?:\n[^.\n]+)*)?)?)?)?|Art\.)\n?\z"
+INSIDE_HEAD = J + r"\A\s*(?:\d+[a-z]?)?\s*\.?[^.]*\z"
 
 
 def plain_articles_of_pages(pages: DataFrame, first_page: int = 7) -> DataFrame:
     """T21 + T1, T2 without building whole documents: the same articles, cut page by page.
 
     A document that holds a large share of all pages stays spread over many tasks; only the pieces of one
-    article come together. A heading left open at the end of a page moves to the next page, so it may cross one
-    page border. ``pos`` counts up in document order.
+    article come together, and the pages that a heading may run over: a page that ends in an open heading, or that has
+    nothing but what can stand inside one, is joined to the next, over any number of pages. ``pos`` counts up in
+    document order.
     """
     kept = pages.filter((F.col("page") >= first_page) & (F.length("text") > 0)).select("doc", "page", "text")
-    open_head = J + r"(Art\.\s+(?:\d+[a-z]?(?:\.(?:\s+(?:[^.\n]+(?:\n[^.\n]+)*)?)?)?)?\n?)\z"
-    kept = kept.withColumn("_open", F.regexp_extract("text", open_head, 1))
-    kept = neighbour(kept, ["doc"], "page", {"_open": "_from"}, -1)
+    kept = kept.withColumn("_glued", F.col("text").rlike(OPEN_HEAD) | F.col("text").rlike(INSIDE_HEAD))
+    kept = neighbour(kept, ["doc"], "page", {"_glued": "_before"}, -1)
     kept = neighbour(kept, ["doc"], "page", {"page": "_next"}, 1)
-    moved = F.when(F.col("_next").isNull(), F.col("text")).when(F.col("_open") != "", F.regexp_replace("text", open_head, "")) \
-        .otherwise(F.concat("text", F.lit("\n")))
-    text = F.concat(F.when(F.coalesce("_from", F.lit("")) != "", F.concat(F.col("_from"), F.lit("\n"))).otherwise(F.lit("")), moved)
-    cut = kept.select("doc", "page", F.posexplode(C.split_at(text, J + PLAIN_ARTICLE)).alias("idx", "piece"))
+    kept = running_sum(kept, ["doc"], "page", F.when(F.col("_before"), 0).otherwise(1), "run")
+    own = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda s: s["text"])
+    runs = kept.groupBy("doc", "run").agg(F.min("page").alias("first"), F.max_by("_next", "page").alias("_next"), F.array_join(own, "\n").alias("text"))
+    text = F.concat("text", F.when(F.col("_next").isNotNull(), "\n").otherwise(""))
+    cut = runs.select("doc", F.col("first").alias("page"), F.posexplode(C.split_at(text, J + PLAIN_ARTICLE)).alias("idx", "piece"))
     # page and index in one ordered number; one block of the ordered operators spans many pages
-    p = cut.withColumn("at", F.col("page") + F.col("idx") / F.lit(float(1 << 20))).withColumns(_levels("piece"))
-    p = carry_last(p, ["doc"], "at", ["title", "chapter", "section"])
+    p = cut.withColumn("at", F.col("page") + F.col("idx") / F.lit(float(1 << 20))).withColumns({n: _level(F.col("piece"), pattern) for n, pattern in LEVELS.items()})
+    p = carry_last(p, ["doc"], "at", list(LEVELS))
     p = running_sum(p, ["doc"], "at", (F.col("idx") > 0).cast("int"), "article").filter("article > 0")
-    start = F.struct("title", "chapter", "section", (F.col("page") * (1 << 20) + F.col("idx")).cast("long").alias("pos"))
+    start = F.struct(*LEVELS, (F.col("page") * (1 << 20) + F.col("idx")).cast("long").alias("pos"))
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda s: s["piece"])
     g = p.groupBy("doc", "article").agg(F.array_join(pieces, "").alias("piece"), F.min_by(start, "at").alias("s"))
-    return g.select("doc", "s.pos", *_article_columns("piece"), "s.title", "s.chapter", "s.section")
+    return g.select("doc", "s.pos", *_article_columns("piece"), *[F.col("s")[n].alias(n) for n in LEVELS])
 
 
 def real_articles(articles: DataFrame, min_chars: int = 100) -> DataFrame:
@@ -130,12 +147,9 @@ def numbered_paragraphs(body: Column | str) -> Column:
 def markdown_pieces(docs: DataFrame, marker: Column | str) -> DataFrame:
     """Pieces of a markdown text with the ordinance and chapter headings before each piece."""
     cut = docs.select("source", C.split_at(F.col("md"), marker).alias("_p"))
-    p = cut.select("source", F.size("_p").alias("pieces"), F.posexplode("_p").alias("pos", "piece"))
-    p = p.withColumn("context_code", C.last_match(F.col("piece"), rf"(?md)^##\s+[Oo]rdenanza\s+({X.ORDINANCE_CODE})"))
-    p = p.withColumn("chapter", F.trim(C.last_match(F.col("piece"), JM + X.MD_CHAPTER)))
-    return carry_last(p, ["source"], "pos", ["context_code", "chapter"], group_rows="pieces") \
-        .withColumn("context_code", F.coalesce("context_code", F.lit(""))) \
-        .withColumn("chapter", F.coalesce("chapter", F.lit("")))
+    headings = {"context_code": lambda piece: C.last_match(piece, rf"(?md)^##\s+[Oo]rdenanza\s+({X.ORDINANCE_CODE})"),
+                "chapter": lambda piece: F.trim(C.last_match(piece, JM + X.MD_CHAPTER))}
+    return _exploded_with_headings(cut, "source", headings).withColumns({n: F.coalesce(n, F.lit("")) for n in headings})
 
 
 def _article_rows(pieces: DataFrame, head: str, number: Column, title: Column) -> DataFrame:
@@ -221,10 +235,10 @@ def useful_images(parts: DataFrame, image_map: DataFrame, max_frequency: int) ->
     ``image_map``: source, img_key, url.
     """
     rare = image_map.groupBy("source", "url").count().filter(F.col("count") <= max_frequency).select("source", "url")
-    usable = salted_join(image_map.filter(F.col("url") != ""), rare, ["source", "url"], ["img_key"], "left_semi")
+    usable = image_map.filter(F.col("url") != "").join(rare, ["source", "url"], "left_semi")
     tags = parts.select("source", "pos", F.posexplode("images").alias("img_pos", "tag")) \
         .withColumn("img_key", F.translate("tag", "[]", ""))
-    hits = salted_join(tags, usable, ["source", "img_key"], ["pos", "img_pos"])
+    hits = tags.join(usable, ["source", "img_key"])
     return hits.groupBy("source", "pos").agg(
         F.array_sort(F.collect_list(F.struct("img_pos", "tag", "url"))).alias("_i")).select(
         "source", "pos", F.col("_i.tag").alias("useful_images"), F.col("_i.url").alias("image_urls"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from regspark.functions import fixed as X
 from regspark.functions import geometry as G
-from regspark.operators.ordered import row_numbers, salted_join
+from regspark.operators.ordered import row_numbers
 from regspark.session import cut_lineage
 
 
@@ -48,10 +48,10 @@ def _pointed(points: DataFrame, cell: float, levels: list[int]) -> DataFrame:
     return points.select("*", F.inline(F.array(*[at(n) for n in levels])))
 
 
-def _candidates(points: DataFrame, polygons: DataFrame, cell: float, margin: int, salt_by: str, hot_rows: int = 1_000_000) -> DataFrame:
-    """Point-polygon pairs that share a cell; crowded cells are salted. The list of levels has at most 21 values."""
+def _candidates(points: DataFrame, polygons: DataFrame, cell: float, margin: int) -> DataFrame:
+    """Point-polygon pairs that share a cell; the list of levels has at most 21 values."""
     levels = sorted(r["_lv"] for r in _with_level(polygons, cell).select("_lv").distinct().collect()) or [0]
-    return salted_join(_pointed(points, cell, levels), _cells(polygons, cell, margin), CELL, [salt_by], hot_rows=hot_rows)
+    return _pointed(points, cell, levels).join(_cells(polygons, cell, margin), CELL)
 
 
 def _near_box(pad_lon=0.0, pad_lat=0.0):
@@ -60,26 +60,24 @@ def _near_box(pad_lon=0.0, pad_lat=0.0):
     return (lon >= b["xmin"] - pad_lon) & (lon <= b["xmax"] + pad_lon) & (lat >= b["ymin"] - pad_lat) & (lat <= b["ymax"] + pad_lat)
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, cell: float = 0.01,
-                     hot_rows: int = 1_000_000) -> DataFrame:
+def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, cell: float = 0.01) -> DataFrame:
     """The polygon of each point (smallest id when several). Points outside every polygon are left out.
 
     ``points``: point_id, lon, lat. ``polygons``: poly_id, rings. Returns point_id, poly_id.
     """
-    j = _candidates(points.select(point_id, "lon", "lat"), polygons.select(poly_id, "rings"), cell, 0, point_id, hot_rows)
+    j = _candidates(points.select(point_id, "lon", "lat"), polygons.select(poly_id, "rings"), cell, 0)
     inside = j.filter(_near_box() & G.contains_point(F.col("rings"), F.col("lon"), F.col("lat")))
     return inside.groupBy(point_id).agg(F.min(poly_id).alias(poly_id))
 
 
-def polygons_within(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, metres: float,
-                    hot_rows: int = 1_000_000) -> DataFrame:
+def polygons_within(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, metres: float) -> DataFrame:
     """The nearest polygon within ``metres`` of each point (0 inside), ties to the smaller id.
 
     The cell is at least ``metres`` wide in both directions up to latitude 80, so one ring of cells around a
     polygon holds every point in reach.
     """
     cell = metres / G.METRES_PER_DEGREE / 0.17
-    j = _candidates(points.select(point_id, "lon", "lat"), polygons.select(poly_id, "rings"), cell, 1, point_id, hot_rows)
+    j = _candidates(points.select(point_id, "lon", "lat"), polygons.select(poly_id, "rings"), cell, 1)
     d = F.when(G.contains_point(F.col("rings"), F.col("lon"), F.col("lat")), F.lit(0.0)) \
         .otherwise(G.distance_to_rings(F.col("rings"), F.col("lon"), F.col("lat")))
     reach = 1.001 * metres / G.METRES_PER_DEGREE
@@ -101,7 +99,7 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly_
     rest, found, size = points.select(point_id, "lon", "lat"), None, cell
     while True:
         last = size >= 360
-        j = _candidates(rest, shapes, size, 1, point_id)
+        j = _candidates(rest, shapes, size, 1)
         inside = G.contains_point(F.col("rings"), F.col("lon"), F.col("lat"))
         d = F.when(inside, F.lit(0.0)).otherwise(G.distance_to_rings(F.col("rings"), F.col("lon"), F.col("lat")))
         best = j.select(point_id, F.struct(F.round(d, 3).alias("metres"), F.col(poly_id)).alias("b")) \
@@ -142,13 +140,13 @@ def land_class_zone(points: DataFrame, classes: DataFrame, urban: DataFrame, rus
 
     Layers: class_id/land_class/rings and ord_id/ordinance/rings. Points outside every class are left out.
     """
-    base = salted_join(point_in_polygon(points, classes, point_id, "class_id", cell), classes.drop("rings"), ["class_id"], [point_id])
+    base = point_in_polygon(points, classes, point_id, "class_id", cell).join(classes.drop("rings"), ["class_id"])
     placed = points.join(base, point_id)
 
     def layer(kinds: list[str], polygons: DataFrame) -> DataFrame:
         hit = point_in_polygon(placed.filter(F.col("land_class").isin(kinds)).select(point_id, "lon", "lat"), polygons,
                                point_id, "ord_id", cell)
-        return salted_join(hit, polygons.drop("rings"), ["ord_id"], [point_id]).select(point_id, "ordinance")
+        return hit.join(polygons.drop("rings"), ["ord_id"]).select(point_id, "ordinance")
 
     ords = layer(X.URBAN_CLASSES, urban).unionByName(layer(X.RUSTIC_CLASSES, rustic))
     return base.join(ords, point_id, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regspark.operators.ordered import last_by, row_numbers, salted_join
+from regspark.operators.ordered import last_by, row_numbers
 
 
 def latest_state(log: DataFrame, key: str = "chunk_id", ts: str = "ts", tie: str | None = None) -> DataFrame:
@@ -67,8 +67,7 @@ def cache_aside(requests: DataFrame, cache: DataFrame, key: str, compute) -> tup
     """(answers, rows to add to the cache). ``compute`` maps the missing keys to cache rows."""
     keys = requests.select(key).distinct()
     added = compute(keys.join(cache.select(key), key, "left_anti")).select(*cache.columns)
-    rest = [c for c in requests.columns if c != key] or [key]
-    return salted_join(requests, cache.unionByName(added), [key], rest), added
+    return requests.join(cache.unionByName(added), [key]), added
 
 
 def fingerprint(df: DataFrame, name: str) -> DataFrame:
@@ -90,7 +89,7 @@ def totals(collections: dict[str, DataFrame]) -> DataFrame:
 def update_where(target: DataFrame, updates: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Replace ``cols`` of every target row whose key has an update (also by NULL)."""
     u = updates.select(key, F.lit(True).alias("_u"), *[F.col(c).alias("_u_" + c) for c in cols])
-    j = salted_join(target, u, [key], [c for c in target.columns if c != key], "left")
+    j = target.join(u, [key], "left")
     return j.select(*[F.when(F.col("_u"), F.col("_u_" + c)).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
                       for c in target.columns])
 

@@ -9,7 +9,6 @@ from regspark.functions import features as FE
 from regspark.functions import fixed as X
 from regspark.operators import chat
 from regspark.operators import retrieve as V
-from regspark.operators.ordered import salted_join
 from regspark.plans import derive as D
 from regspark.providers import EmbeddingProvider, add_embeddings
 from regspark.session import cut_lineage
@@ -21,7 +20,7 @@ def hits_with_payload(ranked: DataFrame, chunks: DataFrame, columns: list[str])
     The hits are few and dear, so they are written once before the join counts its keys; a chunk that most
     queries find is salted.
     """
-    return salted_join(cut_lineage(ranked), chunks.select("chunk_id", *columns), ["chunk_id"], ["query_id"])
+    return cut_lineage(ranked).join(chunks.select("chunk_id", *columns), ["chunk_id"])
 
 
 def answer_requests(questions: DataFrame, chunks: DataFrame, provider: EmbeddingProvider, dictionary: FE.Dictionary,

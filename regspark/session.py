@@ -35,14 +35,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared checkpoint folder. Only a local session without one gets a temporary folder."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    target = configured or tempfile.mkdtemp(prefix="regspark-checkpoint-")
+    target = spark.conf.get("spark.checkpoint.dir", None)
+    if not target:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        target = tempfile.mkdtemp(prefix="regspark-checkpoint-")
     spark.sparkContext.setCheckpointDir(target)
-    return target
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.functions import text as C
-from regspark.operators.ordered import salted_join
 from regspark.operators.state import upsert
 
 # filter columns of a collection: sorted or bloom-filtered on write
@@ -52,7 +51,7 @@ def upsert_collection(spark: SparkSession, path: str, staging: str, new: DataFra
     Nothing is read and overwritten in one job, so a lost executor or a failed write leaves the old rows in place.
     """
     old = spark.read.parquet(path)
-    touched = salted_join(old, new.select("source").distinct(), ["source"], [key], "left_semi").select(*old.columns)
+    touched = old.join(new.select("source").distinct(), ["source"], "left_semi").select(*old.columns)
     merged = upsert(touched.select(*new.columns), new, key, version)
     merged.write.mode("overwrite").partitionBy("source").parquet(staging)
     spark.read.schema(merged.schema).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \

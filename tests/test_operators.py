@@ -49,15 +49,6 @@ def test_blocked_windows_equal_plain_windows(skewed):
             last = h if h is not None else last
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, skewed, how):
-    df, _ = skewed
-    right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 40, 3)] + [(1, "r1"), (1, "r1b")], "k int, name string")
-    plain = sorted(map(tuple, df.join(right, "k", how).collect()), key=repr)
-    salted = ordered.salted_join(df, right, ["k"], ["pos"], how, hot_rows=100)
-    assert sorted(map(tuple, salted.select(*df.join(right, "k", how).columns).collect()), key=repr) == plain
-
-
 def test_first_last_and_top(skewed):
     df, rows = skewed
     groups = by_key(rows)
@@ -106,7 +97,7 @@ def test_nearest_polygon_equals_brute_force_with_a_crowded_cell(spark):
     got = {r["point_id"]: (r["zone_id"], r["metres"]) for r in SP.nearest_polygon(
         spark.createDataFrame(pts, "point_id int, lon double, lat double"), spark.createDataFrame(zones, RINGS), "point_id", "zone_id", cell=0.005).collect()}
     within = {r["point_id"]: r["metres"] for r in SP.polygons_within(
-        spark.createDataFrame(pts, "point_id int, lon double, lat double"), spark.createDataFrame(zones, RINGS), "point_id", "zone_id", 3000.0, hot_rows=5).collect()}
+        spark.createDataFrame(pts, "point_id int, lon double, lat double"), spark.createDataFrame(zones, RINGS), "point_id", "zone_id", 3000.0).collect()}
     assert len(got) == len(pts)
     for pid, lon, lat in pts:
         want = min((round(brute_distance(r, lon, lat), 3), z) for z, r in zones)
@@ -212,3 +203,31 @@ def test_unit_shapes(spark):
     req = spark.createDataFrame([(1, "b", "", "3", ""), (2, "b", "9", "", "")], "req_id int, building string, stair string, floor string, door string")
     got = P.filter_units(req, u).groupBy("req_id").count().collect()
     assert {r["req_id"]: r["count"] for r in got} == {1: 1, 2: 5}
+
+
+def test_queries_and_chunks_without_a_vector_have_no_hits(spark):
+    from regspark.operators import retrieve as V
+
+    chunks = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None)], "chunk_id string, v array<double>")
+    for rows in ([(1, None), (2, [1.0, 0.0]), (3, None)], [(1, [0.0, 2.0]), (2, None), (3, [3.0, 0.0])]):
+        queries = spark.createDataFrame(rows, "query_id int, vector array<double>")
+        want = {(q, "a" if v[0] else "b") for q, v in rows if v}
+        for most in (V.QUERY_BYTES, 16):
+            hits = V.similarity_hits(queries, chunks, 1, None, {"text": "v"}, max_query_bytes=most)
+            assert {(r.query_id, r.chunk_id) for r in hits.collect()} == want
+    mixed = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id int, vector array<double>")
+    with pytest.raises(Exception, match="vectors of 3 and of 2"):
+        V.similarity_hits(mixed, chunks, 1, None, {"text": "v"}).collect()
+
+
+def test_plans_are_built_without_jobs(spark, sf):
+    """Building a query runs no job but documented checkpoints."""
+    from regspark.plans import catalog
+
+    catalog.load_all()
+    tracker = spark.sparkContext.statusTracker()
+    for name in ("t01_plain_articles", "t05_markdown_articles", "t16_text_with_header", "r02_j07_wikilinks", "w02_session_history", "j15_cadastral_layers"):
+        spark.sparkContext.setJobGroup(name, name)
+        catalog.QUERIES[name](spark, sf)
+        assert len(tracker.getJobIdsForGroup(name)) <= 8, (name, len(tracker.getJobIdsForGroup(name)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

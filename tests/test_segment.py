@@ -1,6 +1,8 @@
 """Segmentation on texts with the known edge shapes, with and without the compatible behaviour."""
 
 
+from pyspark.sql import functions as F
+
 from regspark.functions import features as FE
 from regspark.functions import text as C
 from regspark.operators import refs as R
@@ -177,3 +179,40 @@ def test_corpus_routes_by_kind_of_source(spark):
     c = ingest.chunk_corpus(docs(spark, ("norma", MD), ("cte-si", code)))
     got = {(r["source"], r["article_no"]) for r in c.collect()}
     assert {("cte-si", "SI 1"), ("norma", "1"), ("norma", "3"), ("norma", "Anexo-I"), ("norma", "Anexo-II")} <= got
+
+
+def test_pages_equal_the_document_wherever_headings_are_cut(spark):
+    """Headings over any number of pages, blank pages and repeated open heads give the articles of the whole document."""
+    import random
+
+    rnd = random.Random(5)
+    lines = ["Art. 1. Titulo uno.", "cuerpo. con puntos.", "Art.", "2.", "Titulo que", "sigue en otra", "y acaba aqui. cuerpo dos", "Art. 3", ". Otro", "", "sin punto", "TITULO I. Cosas", "Art. 4b.", "fin."]
+    docs = {0: ["nada.", "Art. 1. Uno.", "cuerpo uno. Art. 2. Titulo que", "sigue en esta pagina entera", "y acaba aqui. cuerpo dos"]}
+    for d in range(1, 40):
+        docs[d] = ["\n".join(rnd.choice(lines) for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(1, 12))]
+    pages = spark.createDataFrame([(d, i, t) for d, ts in docs.items() for i, t in enumerate(ts)], "doc int, page int, text string")
+    whole = S.plain_articles(S.join_pages(pages, 0))
+    cols = ["doc", "number", "heading", "full_title", "body", "chars", "title", "chapter", "section"]
+
+    def in_order(df):
+        out = {}
+        for r in sorted(df.collect(), key=lambda r: (r.doc, r.pos)):
+            out.setdefault(r.doc, []).append(tuple(r[c] for c in cols))
+        return out
+
+    by_page = in_order(S.plain_articles_of_pages(pages, 0))
+    assert by_page == in_order(whole)
+    assert [r[1] for r in by_page[0]] == ["1", "2"]
+
+
+def test_headings_are_carried_inside_arrays(spark):
+    from regspark.functions import text as C
+
+    values = [None, "a", None, None, "b", "c", None] * 40
+    df = spark.createDataFrame([(values,), ([],), ([None],), (["x"],)], "v array<string>")
+    got = [r.c for r in df.select(C.carried(F.col("v"), 16).alias("c")).collect()]
+    want, last = [], None
+    for v in values:
+        want.append(last)
+        last = v or last
+    assert got == [want, [], [None], [None]]
