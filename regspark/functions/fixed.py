@@ -54,13 +54,14 @@ CONCEPTS = [
 ]
 
 # --- fixed values: keyword vocabulary ---
-VOCABULARY = (
-    "altura plantas metros edificabilidad ocupación ocupacion retranqueo retranqueos parcela solar fachada "
-    "alineación alineacion rasante cota volumen uso usos residencial comercial industrial dotacional "
-    "equipamiento vivienda local sótano sotano bajo cubierta ático atico vuelo voladizo medianera lindero "
-    "frente fondo separación separacion mínima minima máxima maxima consolidado urbanizable rústico rustico "
-    "núcleo nucleo rural urbano"
-).split()
+VOCABULARY = [
+    "altura", "plantas", "metros", "edificabilidad", "ocupación", "ocupacion", "retranqueo", "retranqueos", "parcela",
+    "solar", "fachada", "alineación", "alineacion", "rasante", "cota", "volumen", "uso", "usos", "residencial",
+    "comercial", "industrial", "dotacional", "equipamiento", "vivienda", "local", "sótano", "sotano", "bajo",
+    "cubierta", "ático", "atico", "vuelo", "voladizo", "medianera", "lindero", "frente", "fondo", "separación",
+    "separacion", "mínima", "minima", "máxima", "maxima", "consolidado", "urbanizable", "rústico", "rustico",
+    "núcleo", "nucleo", "rural", "urbano",
+]
 MEASURES = [
     r"(\d+(?:[,.]\d+)?)\s*(m²|m2|metros cuadrados)",
     r"(\d+(?:[,.]\d+)?)\s*(m\.?|metros?)\b",

@@ -349,14 +349,32 @@ def ocr_sections(docs: DataFrame, min_hits: int = 3, min_chars: int = 100) -> Da
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """Text runs directly under h1-h4, p and div, in page order. Columns page_id, url, pos, tag, text."""
+    """Text runs directly under h1-h4, p and div, in page order. Columns page_id, url, pos, tag, text.
+
+    A run after the end of a nested block belongs to the block around it; text outside all blocks is left out.
+    """
     clean = F.regexp_replace(C.remove_elements("html"), "[\u0001\u0002]", "")
     marked = F.regexp_replace(clean, r"(?is)<(/?)(h[1-4]|p|div)\b[^>]*>", "\u0001$1$2\u0002")
     runs = F.slice(F.split(marked, "\u0001", -1), 2, 1 << 30)
-    rows = pages.select("page_id", "url", F.posexplode(runs).alias("pos", "run"))
-    return rows.select("page_id", "url", "pos", F.lower(F.substring_index("run", "\u0002", 1)).alias("tag"),
-                       C.plain_text(F.substring_index("run", "\u0002", -1)).alias("text")) \
-        .filter(~F.col("tag").startswith("/") & (F.col("text") != ""))
+    rows = pages.select("page_id", "url", runs.alias("runs"))
+    names = F.transform("runs", lambda r: F.lower(F.substring_index(r, "\u0002", 1)))
+    rows = rows.select("page_id", "url", F.posexplode(F.arrays_zip("runs", _block_of_runs(names).alias("tags"))).alias("pos", "_r"))
+    return rows.select("page_id", "url", "pos", F.col("_r.tags").alias("tag"), C.plain_text(F.substring_index("_r.runs", "\u0002", -1)).alias("text")) \
+        .filter((F.col("tag") != "") & (F.col("text") != ""))
+
+
+def _block_of_runs(names: Column) -> Column:
+    """The innermost open block after each start (``p``) or end (``/p``) of one; empty outside all blocks."""
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, name: Column) -> Column:
+        own, opened = F.regexp_replace(name, "^/", ""), acc["opened"]
+        from_top = F.array_position(F.reverse(opened), own)
+        closed = F.when(from_top > 0, F.slice(opened, F.lit(1), (F.size(opened) - from_top).cast("int"))).otherwise(opened)
+        now = F.when(name.startswith("/"), closed).otherwise(F.concat(opened, F.array(own)))
+        return F.struct(now.alias("opened"), F.concat(acc["out"], F.array(F.coalesce(F.try_element_at(now, F.lit(-1)), F.lit("")))).alias("out"))
+
+    return F.aggregate(names, F.struct(none.alias("opened"), none.alias("out")), step, lambda acc: acc["out"])
 
 
 def html_articles(pages: DataFrame, keywords: list[str] | None = None, min_chars: int = 10) -> DataFrame:

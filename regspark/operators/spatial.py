@@ -1,12 +1,12 @@
 """Spatial joins on grid cells: equal cell first, exact geometry after.
 
 Polygons repeat once per cell they cover, in a cell size that fits them; points have one cell per size in use.
-A crowded cell is salted, so one city block with a third of all points does not become one task.
+A crowded cell is split by Spark's adaptive skew join, so one city block with a third of all points does not become one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions import fixed as X
@@ -28,14 +28,27 @@ def _with_level(polygons: DataFrame, cell: float) -> DataFrame:
     return p.withColumn("_lv", F.least(level, F.lit(MAX_LEVEL)).cast("int"))
 
 
-def _cells(polygons: DataFrame, cell: float, margin: int) -> DataFrame:
+def _cells(polygons: DataFrame, cell: float, margin: int, pad_lon: Column | None = None) -> DataFrame:
     """One row per (polygon, covered cell of its level); a large polygon gets large cells, never many small ones."""
     p, size = _with_level(polygons, cell), F.lit(cell) * F.pow(F.lit(2.0), F.col("_lv"))
+    p = _wrapped(p, margin * size if pad_lon is None else F.greatest(margin * size, pad_lon))
 
-    def span(lo: str, hi: str):
-        return F.sequence((F.floor(F.col("_box")[lo] / size) - margin).cast("long"), (F.floor(F.col("_box")[hi] / size) + margin).cast("long"))
+    def span(lo: str, hi: str, pad):
+        return F.sequence(F.floor((F.col("_box")[lo] - pad) / size).cast("long") - margin, F.floor((F.col("_box")[hi] + pad) / size).cast("long") + margin)
 
-    return p.withColumn("_cx", F.explode(span("xmin", "xmax"))).withColumn("_cy", F.explode(span("ymin", "ymax")))
+    wide = F.lit(0.0) if pad_lon is None else pad_lon
+    return p.withColumn("_cx", F.explode(span("xmin", "xmax", wide))).withColumn("_cy", F.explode(span("ymin", "ymax", F.lit(0.0))))
+
+
+def _wrapped(p: DataFrame, reach: Column) -> DataFrame:
+    """Polygons within ``reach`` degrees of longitude 180 also stand on the other side of it."""
+    box, none = F.col("_box"), F.array().cast("array<double>")
+    turns = F.concat(F.array(F.lit(0.0)), F.when(box["xmin"] - reach < -180, F.array(F.lit(360.0))).otherwise(none),
+                     F.when(box["xmax"] + reach > 180, F.array(F.lit(-360.0))).otherwise(none))
+    q, by = p.withColumn("_turn", F.explode(turns)), F.col("_turn")
+    moved = F.transform("rings", lambda r: F.transform(r, lambda x: F.struct((x["lon"] + by).alias("lon"), x["lat"].alias("lat"))))
+    shifted = F.struct((box["xmin"] + by).alias("xmin"), (box["xmax"] + by).alias("xmax"), box["ymin"].alias("ymin"), box["ymax"].alias("ymax"))
+    return q.withColumns({"rings": F.when(by == 0, F.col("rings")).otherwise(moved), "_box": shifted}).drop("_turn")
 
 
 def _pointed(points: DataFrame, cell: float, levels: list[int]) -> DataFrame:
@@ -48,10 +61,10 @@ def _pointed(points: DataFrame, cell: float, levels: list[int]) -> DataFrame:
     return points.select("*", F.inline(F.array(*[at(n) for n in levels])))
 
 
-def _candidates(points: DataFrame, polygons: DataFrame, cell: float, margin: int) -> DataFrame:
+def _candidates(points: DataFrame, polygons: DataFrame, cell: float, margin: int, pad_lon: Column | None = None) -> DataFrame:
     """Point-polygon pairs that share a cell; the list of levels has at most 21 values."""
     levels = sorted(r["_lv"] for r in _with_level(polygons, cell).select("_lv").distinct().collect()) or [0]
-    return _pointed(points, cell, levels).join(_cells(polygons, cell, margin), CELL)
+    return _pointed(points, cell, levels).join(_cells(polygons, cell, margin, pad_lon), CELL)
 
 
 def _near_box(pad_lon=0.0, pad_lat=0.0):
@@ -73,15 +86,16 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly
 def polygons_within(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, metres: float) -> DataFrame:
     """The nearest polygon within ``metres`` of each point (0 inside), ties to the smaller id.
 
-    The cell is at least ``metres`` wide in both directions up to latitude 80, so one ring of cells around a
-    polygon holds every point in reach.
+    One ring of cells around a polygon, wider in longitude towards the poles, holds every point in reach.
     """
     cell = metres / G.METRES_PER_DEGREE / 0.17
-    j = _candidates(points.select(point_id, "lon", "lat"), polygons.select(poly_id, "rings"), cell, 1)
+    north = F.greatest(F.abs(F.col("_box.ymin")), F.abs(F.col("_box.ymax"))) + 1.001 * metres / G.METRES_PER_DEGREE
+    pad_lon = F.least(F.lit(180.0), 1.001 * metres / G.METRES_PER_DEGREE / F.cos(F.radians(F.least(north, F.lit(89.9999)))))
+    j = _candidates(points.select(point_id, "lon", "lat"), polygons.select(poly_id, "rings"), cell, 1, pad_lon)
     d = F.when(G.contains_point(F.col("rings"), F.col("lon"), F.col("lat")), F.lit(0.0)) \
         .otherwise(G.distance_to_rings(F.col("rings"), F.col("lon"), F.col("lat")))
     reach = 1.001 * metres / G.METRES_PER_DEGREE
-    near = j.filter(_near_box(reach / F.cos(F.radians(F.least(F.abs("lat"), F.lit(80.0)))), reach))
+    near = j.filter(_near_box(reach / F.cos(F.radians(F.least(F.abs("lat"), F.lit(89.9999)))), reach))
     near = near.select(point_id, poly_id, F.round(d, 3).alias("metres")).filter(F.col("metres") <= metres)
     best = near.groupBy(point_id).agg(F.min(F.struct("metres", poly_id)).alias("b"))
     return best.select(point_id, f"b.{poly_id}", "b.metres")

@@ -276,12 +276,12 @@ def _(spark, sf):
 
 
 @register("j15_cadastral_layers", """SELECT l_orderkey AS building_id, l_linenumber, p_partkey AS refcat, p_brand AS masa, b.area AS block_area, n_name AS street_name
-FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN (SELECT p_brand AS masa, CAST(sum(p_size) AS BIGINT) AS area FROM part WHERE p_size > 10 GROUP BY p_brand) b ON b.masa = p_brand
+FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN (SELECT CASE WHEN p_size > 10 THEN p_brand ELSE 'small' END AS masa, CAST(sum(p_size) AS BIGINT) AS area FROM part GROUP BY 1) b ON b.masa = p_brand
 LEFT JOIN nation ON n_nationkey = p_partkey % 30""")
 def _(spark, sf):
     part = D.table(spark, sf, "part")
     layers = part.select(F.col("p_partkey").alias("refcat"), F.col("p_brand").alias("masa"), (F.col("p_partkey") % 30).alias("via"))
     buildings = D.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("refcat"), F.col("l_orderkey").alias("building_id"), "l_linenumber")
-    blocks = part.filter("p_size > 10").groupBy(F.col("p_brand").alias("masa")).agg(F.sum("p_size").alias("block_area"))
+    blocks = part.groupBy(F.when(F.col("p_size") > 10, F.col("p_brand")).otherwise("small").alias("masa")).agg(F.sum("p_size").alias("block_area"))
     streets = D.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("via"), F.col("n_name").alias("street_name"))
     return P.cadastral_layers(layers, buildings, blocks, streets).drop("via")

@@ -170,13 +170,13 @@ NO_NUMBER = r"regexp_replace(address, '\s+\d+', '', 'g')"
 TYPES = "CASE {k} % 4 WHEN 0 THEN 'AV' WHEN 1 THEN 'CL' WHEN 2 THEN 'CR' ELSE 'PZ' END"
 
 
-@register("f07_j15_street_candidates", f"""{D.with_shared('addresses')}, st AS (SELECT n_nationkey AS via, {TYPES.format(k='n_nationkey')} AS street_type, {NAMES.format(k='n_nationkey')} AS street_name FROM nation WHERE n_nationkey < 20),
+@register("f07_j15_street_candidates", f"""{D.with_shared('addresses')}, st AS (SELECT n_nationkey AS via, CASE WHEN n_nationkey < 20 THEN {TYPES.format(k='n_nationkey')} ELSE 'XX' END AS street_type, {NAMES.format(k='n_nationkey')} AS street_name FROM nation),
 ad AS (SELECT address_id, {strip(NO_NUMBER)} AS address FROM addresses), a AS (SELECT address_id, {street_sql('types')} AS types, strip_accents({street_sql('name')}) AS street_name FROM ad),
 t AS (SELECT address_id, street_name, unnest(range(len(string_split(types, ',')))) AS priority, unnest(string_split(types, ',')) AS street_type FROM a WHERE street_name <> '')
 SELECT address_id, via, street_type, street_name FROM t JOIN st USING (street_type, street_name) QUALIFY row_number() OVER (PARTITION BY address_id ORDER BY priority, via) = 1""")
 def _(spark, sf):
-    st = spark.sql("SELECT n_nationkey AS via, " + TYPES.format(k="n_nationkey") + " AS street_type, " + NAMES.format(k="n_nationkey")
-                   + " AS street_name FROM {t} WHERE n_nationkey < 20", t=D.table(spark, sf, "nation"))
+    st = spark.sql("SELECT n_nationkey AS via, CASE WHEN n_nationkey < 20 THEN " + TYPES.format(k="n_nationkey") + " ELSE 'XX' END AS street_type, " + NAMES.format(k="n_nationkey")
+                   + " AS street_name FROM {t}", t=D.table(spark, sf, "nation"))
     # the number stays part of a captured name, so it is taken off before the lookup
     a = D.shared(spark, sf, "addresses").select("address_id", C.strip(F.regexp_replace("address", r"\s+\d+", "")).alias("address"))
     return street_candidates(a, st)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from regspark.session import ensure_checkpoint_dir
 from regspark.functions import text as C
 from regspark.operators import chat, enrich
 from regspark.operators import retrieve as V
@@ -71,7 +74,9 @@ def _(spark, sf):
 @register("k05_copy_check", "SELECT 'orders' AS collection, count(*) AS \"rows\", true AS same FROM orders")
 def _(spark, sf):
     o = D.table(spark, sf, "orders")
-    a, b = ST.fingerprint(o, "orders"), ST.fingerprint(o.select(*reversed(o.columns)), "orders")
+    copy = f"{ensure_checkpoint_dir(spark)}/copy-{uuid.uuid4().hex}"
+    o.select(*reversed(o.columns)).write.parquet(copy)
+    a, b = ST.fingerprint(o, "orders"), ST.fingerprint(spark.read.parquet(copy), "orders")
     return a.join(b.select("collection", F.col("rows").alias("r"), F.col("hash").alias("h")), "collection").select(
         "collection", "rows", ((F.col("rows") == F.col("r")) & (F.col("hash") == F.col("h"))).alias("same"))
 
@@ -109,11 +114,11 @@ def _(spark, sf):
     return sinks.valid_annotations(d).select("doc_id", "user", "article_ref")
 
 
-@register("k10_cache_aside", """WITH req AS (SELECT o_orderkey AS req_id, 'K' || o_custkey AS key FROM orders), cache AS (SELECT 'K' || c_custkey AS key, c_name AS value FROM customer WHERE c_custkey % 3 <> 0)
+@register("k10_cache_aside", """WITH req AS (SELECT o_orderkey AS req_id, 'K' || o_custkey AS key FROM orders), cache AS (SELECT CASE WHEN c_custkey % 3 <> 0 THEN 'K' ELSE 'old' END || c_custkey AS key, c_name AS value FROM customer)
 SELECT req_id, req.key, coalesce(value, 'computed ' || req.key) AS value FROM req LEFT JOIN cache USING (key)""")
 def _(spark, sf):
     req = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("req_id"), F.concat(F.lit("K"), "o_custkey").alias("key"))
-    cache = D.table(spark, sf, "customer").filter("c_custkey % 3 <> 0").select(F.concat(F.lit("K"), "c_custkey").alias("key"), F.col("c_name").alias("value"))
+    cache = D.table(spark, sf, "customer").select(F.concat(F.when(F.col("c_custkey") % 3 != 0, "K").otherwise("old"), "c_custkey").alias("key"), F.col("c_name").alias("value"))
     out, _added = ST.cache_aside(req, cache, "key", lambda miss: miss.withColumn("value", F.concat(F.lit("computed "), "key")))
     return out.select("req_id", "key", "value")
 
@@ -155,12 +160,13 @@ def _(spark, sf):
 
 
 @register("j08_hits_with_wiki_pages", f"""{BASE}, {topk()}, {fused()}, {final(5)}, h AS (SELECT query_id, rank, chunk_id, 'wiki/' || source || '/art-' || article_no || '.md' AS wiki_path FROM fin JOIN vchunks USING (chunk_id)),
-pg AS (SELECT wiki_path, min(vec_id) AS v FROM (SELECT 'wiki/' || source || '/art-' || article_no || '.md' AS wiki_path, vec_id FROM vchunks WHERE vec_id % 2 = 0) GROUP BY wiki_path)
+pg AS (SELECT wiki_path, min(vec_id) AS v FROM (SELECT CASE WHEN vec_id % 2 = 0 THEN 'wiki/' ELSE 'old/' END || source || '/art-' || article_no || '.md' AS wiki_path, vec_id FROM vchunks) GROUP BY wiki_path)
 SELECT query_id, rank, chunk_id, wiki_path, 'page ' || v AS body FROM h LEFT JOIN pg USING (wiki_path)""")
 def _(spark, sf):
     c = D.vector_chunks(spark, sf)
     found = V.retrieve(D.benchmark_queries(spark, sf), c, 5).join(c.select("chunk_id", "source", "article_no"), "chunk_id")
-    pages = c.filter("vec_id % 2 = 0").groupBy(C.wiki_path("source", "article_no").alias("wiki_path")).agg(F.concat(F.lit("page "), F.min("vec_id")).alias("body"))
+    path = C.wiki_path("source", "article_no")
+    pages = c.groupBy(F.when(F.col("vec_id") % 2 == 0, path).otherwise(F.regexp_replace(path, "^wiki", "old")).alias("wiki_path")).agg(F.concat(F.lit("page "), F.min("vec_id")).alias("body"))
     return V.attach_wiki(found, pages).select("query_id", "rank", "chunk_id", "wiki_path", "body")
 
 

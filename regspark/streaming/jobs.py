@@ -1,7 +1,9 @@
 """Structured Streaming jobs of the ingest: enrich, embed, index, mark.
 
 The stored tables are append-only: each micro-batch overwrites its own ``batch=<id>`` folder, so a batch that
-is retried after a failure writes the same rows again instead of a second copy.
+is retried after a failure writes the same rows again instead of a second copy. All jobs on a state table take their
+sequence numbers from it, so the newest row is the one written last, whatever job wrote it. Chunks that a provider did
+not finish are kept in a table beside the state; the next batch or run takes them again.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from regspark.operators.enrich import embedding_texts, enrich_chunks
-from regspark.operators.ordered import last_by
+from regspark.operators.ordered import first_by, last_by
 from regspark.operators.state import latest_state, to_enrich, to_index
 from regspark.providers import EmbeddingProvider, TextProvider, add_embeddings
 from regspark.sources.sinks import path_exists
@@ -30,6 +32,44 @@ def read_state(spark: SparkSession, path: str, skip: str = "") -> DataFrame:
     return latest_state(log, ts="seq", tie="indexed").drop("batch", "seq")
 
 
+def next_seq(spark: SparkSession, path: str, *own: str) -> int:
+    """A number above all in the state table, without those of the batches named in ``own``, which may be a failed try of this one."""
+    if not path_exists(spark, path):
+        return 1
+    log = spark.read.schema(STATE_SCHEMA + ", batch string").parquet(path).filter(~F.col("batch").isin(*own))
+    return (log.agg(F.max("seq")).first()[0] or 0) + 1
+
+
+def compact_state(spark: SparkSession, path: str) -> None:
+    """Rewrites the state table as one batch with the newest row of each chunk, then removes the older ones.
+
+    Run it between batches. If it ends early, old rows stay beside the new copy, which changes no reader's result.
+    """
+    log = spark.read.schema(STATE_SCHEMA + ", batch string").parquet(path)
+    old = [r[0] for r in log.select("batch").distinct().collect()]  # one row a batch
+    name = f"c{next_seq(spark, path):012d}"
+    _write_batch(latest_state(log, ts="seq", tie="indexed").drop("batch"), path, name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for batch in old:
+        if batch != name:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}"), True)
+
+
+def one_row_a_chunk(chunks: DataFrame) -> DataFrame:
+    """A chunk that comes several times in a batch counts once."""
+    return first_by(chunks, ["chunk_id"], [F.xxhash64(*[c for c in chunks.columns if c != "chunk_id"])])
+
+
+def read_pending(spark: SparkSession, state_path: str, skip: str = "") -> DataFrame | None:
+    """Chunks that earlier batches left without a state; None if none ever were."""
+    path = f"{state_path}-pending"
+    if not path_exists(spark, path):
+        return None
+    left = spark.read.option("mergeSchema", "true").parquet(path).filter(F.col("batch") != skip).drop("batch")
+    return one_row_a_chunk(left).join(read_state(spark, state_path).select("chunk_id"), "chunk_id", "left_anti")
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Indexed chunks, the newest version of each."""
     return last_by(spark.read.parquet(path), ["chunk_id"], ["seq"]).drop("batch", "seq")
@@ -51,7 +91,7 @@ def index_batch(chunks: DataFrame, embedder: EmbeddingProvider, index_path: str,
 
 def enrich_batch(chunks: DataFrame, provider: TextProvider | None, state_path: str, name: str, seq: int) -> None:
     """M4: enrich the chunks of a batch that have no state yet; rows the provider did not finish stay pending (M3)."""
-    todo = to_enrich(chunks, read_state(chunks.sparkSession, state_path, skip=name))
+    todo = to_enrich(one_row_a_chunk(chunks), read_state(chunks.sparkSession, state_path, skip=name))
     done = enrich_chunks(todo, provider).filter(F.col("status").isin("ok", "empty"))
     _write_batch(done.select("chunk_id", "keywords", "questions", "summary", F.lit(False).alias("indexed"),
                              F.lit(seq).cast("long").alias("seq")), state_path, name)
@@ -62,7 +102,8 @@ def index_stream(source: DataFrame, embedder: EmbeddingProvider, index_path: str
     """M1: stream of enriched chunks into the index. With ``idle_seconds`` it keeps running on that trigger,
     without it drains what is there and stops. Batch size is the source's ``maxFilesPerTrigger``."""
     def write(df: DataFrame, batch_id: int) -> None:
-        index_batch(df, embedder, index_path, state_path, f"i{batch_id:09d}", 2 * batch_id + 1)
+        name = f"i{batch_id:09d}"
+        index_batch(one_row_a_chunk(df), embedder, index_path, state_path, name, next_seq(df.sparkSession, state_path, name))
 
     w = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if idle_seconds is None else w.trigger(processingTime=f"{idle_seconds} seconds")
@@ -71,15 +112,29 @@ def index_stream(source: DataFrame, embedder: EmbeddingProvider, index_path: str
 
 def ingest_stream(source: DataFrame, provider: TextProvider | None, embedder: EmbeddingProvider, index_path: str,
                   state_path: str, checkpoint: str) -> StreamingQuery:
-    """M4: stream of raw chunks: each micro-batch is enriched, its finished rows are indexed, chunks seen before are skipped."""
+    """M4: stream of raw chunks: each micro-batch is enriched, its finished rows are indexed, chunks seen before are skipped.
+
+    What the provider does not finish stays pending: the next batch takes it again, and so does the next run, before its stream.
+    """
+    def take(chunks: DataFrame, name: str) -> None:
+        spark, first, second = chunks.sparkSession, f"e{name}", f"i{name}"
+        seq = next_seq(spark, state_path, first, second)
+        chunks = one_row_a_chunk(chunks)
+        enrich_batch(chunks, provider, state_path, first, seq)
+        state = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/batch={first}")
+        _write_batch(chunks.join(read_state(spark, state_path).select("chunk_id"), "chunk_id", "left_anti"), f"{state_path}-pending", first)
+        rest = [c for c in chunks.columns if c not in ("keywords", "questions", "summary")]
+        fresh = chunks.select(*rest).join(state.select("chunk_id", "keywords", "questions", "summary"), "chunk_id")
+        index_batch(fresh, embedder, index_path, state_path, second, seq + 1)
+
     def write(df: DataFrame, batch_id: int) -> None:
-        enrich_batch(df, provider, state_path, f"e{batch_id:09d}", 2 * batch_id)
-        spark = df.sparkSession
-        state = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/batch=e{batch_id:09d}")
-        rest = [c for c in df.columns if c not in ("keywords", "questions", "summary")]
-        fresh = df.select(*rest).join(state.select("chunk_id", "keywords", "questions", "summary"), "chunk_id")
-        index_batch(fresh, embedder, index_path, state_path, f"i{batch_id:09d}", 2 * batch_id + 1)
+        left = read_pending(df.sparkSession, state_path, skip=f"e{batch_id:09d}")
+        take(df if left is None else df.unionByName(left, allowMissingColumns=True), f"{batch_id:09d}")
 
+    spark = source.sparkSession
+    left = read_pending(spark, state_path)
+    if left is not None and not left.isEmpty():
+        take(left, f"p{next_seq(spark, state_path):012d}")
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -89,16 +144,17 @@ def two_phase_run(chunks: DataFrame, provider: TextProvider | None, embedder: Em
     spark = chunks.sparkSession
     base = [c for c in chunks.columns if c not in ("keywords", "questions", "summary")]
 
-    def drain(step: str, seq: int) -> None:
+    def drain(step: str) -> None:
+        seq = next_seq(spark, state_path, f"r{run:06d}{step}")
         state = read_state(spark, state_path, skip=f"r{run:06d}{step}")
-        backlog = to_index(chunks.select(*base), state).join(
+        backlog = to_index(one_row_a_chunk(chunks.select(*base)), state).join(
             state.select("chunk_id", "keywords", "questions", "summary"), "chunk_id")
         index_batch(backlog, embedder, index_path, state_path, f"r{run:06d}{step}", seq)
 
     if path_exists(spark, state_path):
-        drain("a", 4 * run + 1)
-    enrich_batch(chunks.select(*base), provider, state_path, f"r{run:06d}b", 4 * run + 2)
-    drain("c", 4 * run + 3)
+        drain("a")
+    enrich_batch(chunks.select(*base), provider, state_path, f"r{run:06d}b", next_seq(spark, state_path, f"r{run:06d}b"))
+    drain("c")
 
 
 def state_stream(events: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:

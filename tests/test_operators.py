@@ -231,3 +231,17 @@ def test_plans_are_built_without_jobs(spark, sf):
         catalog.QUERIES[name](spark, sf)
         assert len(tracker.getJobIdsForGroup(name)) <= 8, (name, len(tracker.getJobIdsForGroup(name)))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def box(lon, lat, half=0.0001):
+    return [[(lon - half, lat - half), (lon + half, lat - half), (lon + half, lat + half), (lon - half, lat + half), (lon - half, lat - half)]]
+
+
+def test_polygons_near_the_poles_and_across_the_date_line(spark):
+    zones = spark.createDataFrame([(1, box(0.0, 86.0)), (2, box(-179.9999, 10.0)), (3, box(170.0, 10.0)), (4, box(20.0, -88.5))], RINGS)
+    near_pole = 0.0001 + 45 / (111_320 * 0.0697565)
+    points = spark.createDataFrame([(1, near_pole, 86.0), (2, 179.9997, 10.0), (3, 100.0, 0.0), (4, 20.0 + 0.0001 + 40 / (111_320 * 0.026177), -88.5)], "point_id int, lon double, lat double")
+    got = {r.point_id: (r.zone_id, r.metres) for r in SP.polygons_within(points, zones, "point_id", "zone_id", 50.0).collect()}
+    assert {p: z for p, (z, _) in got.items()} == {1: 1, 2: 2, 4: 4} and all(m <= 50 for _, m in got.values())
+    nearest = {r.point_id: (r.zone_id, r.metres) for r in SP.nearest_polygon(points, zones, "point_id", "zone_id").collect()}
+    assert nearest[2][0] == 2 and nearest[2][1] < 60 and nearest[3][0] == 3

@@ -216,3 +216,12 @@ def test_headings_are_carried_inside_arrays(spark):
         want.append(last)
         last = v or last
     assert got == [want, [], [None], [None]]
+
+
+def test_html_text_after_a_nested_block_stays_with_the_outer_block(spark):
+    html = "<div>art. 1<p>x y</p>COLA del bloque</div>fuera<p>art. 2</p><div><div>hondo de verdad</div> cola dos larga</div>"
+    rows = S.html_blocks(spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")).orderBy("pos").collect()
+    assert [(r.tag, r.text.strip()) for r in rows] == [("div", "art. 1"), ("p", "x y"), ("div", "COLA del bloque"), ("p", "art. 2"), ("div", "hondo de verdad"), ("div", "cola dos larga")]
+    got = S.html_articles(spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string"), ["art."]).orderBy("article").collect()
+    assert [(r.title.strip(), [c.strip() for c in r.content]) for r in got] == [("art. 1", ["COLA del bloque"]), ("art. 2", ["hondo de verdad", "cola dos larga"])]
+    assert S.html_articles(spark.createDataFrame([(1, "u", "<p>Artículo 5 de prueba</p><p>texto bastante largo</p>")], "page_id int, url string, html string")).count() == 1

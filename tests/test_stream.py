@@ -95,3 +95,27 @@ def test_state_stream_keeps_the_newest_row(spark, tmp_path):
     q = jobs.state_stream(spark.readStream.schema(jobs.STATE_SCHEMA).parquet(src), state, str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert {(r["chunk_id"], r["summary"], r["indexed"]) for r in jobs.read_state(spark, state).collect()} == {("a", "s2", True), ("b", "", False)}
+
+
+def test_stream_takes_pending_rows_again_and_duplicates_once(spark, tmp_path):
+    src, index, state = (str(tmp_path / n) for n in ("src", "index", "state"))
+    chunks(spark).union(chunks(spark)).coalesce(1).write.parquet(src)
+
+    def go(provider):
+        q = jobs.ingest_stream(spark.readStream.schema(CHUNKS).parquet(src), provider, HashingEmbedding(16), index, state, str(tmp_path / "ck"))
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    go(Quota())
+    assert {r["chunk_id"] for r in jobs.read_pending(spark, state).collect()} == {"c0", "c3", "c6", "c9"}
+    assert spark.read.parquet(index).count() == 8 == jobs.read_state(spark, state).count()
+    go(Echo())  # nothing new in the source
+    got = {r["chunk_id"]: r["indexed"] for r in jobs.read_state(spark, state).collect()}
+    assert len(got) == 12 and all(got.values()) and jobs.read_pending(spark, state).isEmpty()
+    assert spark.read.parquet(index).count() == 12
+    before = sorted(map(str, jobs.read_state(spark, state).collect()))
+    jobs.compact_state(spark, state)
+    assert sorted(map(str, jobs.read_state(spark, state).collect())) == before
+    assert spark.read.parquet(state).select("batch").distinct().count() == 1
+    jobs.two_phase_run(chunks(spark, 15), Echo(), HashingEmbedding(16), index, state, 0)
+    assert jobs.read_state(spark, state).filter("indexed").count() == 15
