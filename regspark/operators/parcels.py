@@ -35,12 +35,14 @@ def consolidate_units(paired: DataFrame) -> DataFrame:
 
 
 def unit_table(units: DataFrame) -> DataFrame:
-    """Total per unit plus one grand-total row per building (ref NULL), built by grouping sets."""
-    total = F.col("area") + F.col("common_area")
-    rows = units.withColumn("total", total)
-    return rows.select("building", "ref", "stair", "floor", "door", "use", "area", "common_area", "total").unionByName(
-        rows.groupBy("building").agg(F.sum("area").alias("area"), F.sum("common_area").alias("common_area"), F.sum("total").alias("total")),
-        allowMissingColumns=True)
+    """Total per unit plus one grand-total row per building (ref NULL), by grouping sets in one pass.
+
+    ``units`` has one row a reference (``consolidate_units``).
+    """
+    by_unit = ["building", "ref", "stair", "floor", "door", "use"]
+    rows = units.withColumn("total", F.col("area") + F.col("common_area"))
+    sums = [F.sum(c).alias(c) for c in ("area", "common_area", "total")]
+    return rows.groupingSets([by_unit, ["building"]], *by_unit).agg(*sums).select(*by_unit, "area", "common_area", "total")
 
 
 def by_stair_floor(units: DataFrame) -> DataFrame:
@@ -72,8 +74,8 @@ def filter_units(requests: DataFrame, units: DataFrame) -> DataFrame:
     for c in ("stair", "floor", "door"):
         hit &= (F.coalesce("_" + c, F.lit("")) == "") | (C.unit_code(c) == C.unit_code("_" + c))
     j = units.join(r, ["building"]).withColumn("matched", hit).drop("_stair", "_floor", "_door")
-    some = j.filter("matched").select("req_id").distinct()
-    return j.filter("matched").unionByName(j.join(some, "req_id", "left_anti"))
+    found = j.groupBy("req_id").agg(F.bool_or("matched").alias("_any"))
+    return j.join(found, "req_id").filter("matched or not coalesce(_any, false)").select(*j.columns)
 
 
 def all_known_units(own: DataFrame, additional: DataFrame) -> DataFrame:

@@ -254,9 +254,11 @@ def chunks(articles: DataFrame, image_map: DataFrame | None = None, max_frequenc
     """The canonical chunk table of a set of articles.
 
     Paragraphs below ``min_chars`` are left out but keep their index. Tables and images go to the first
-    chunk that is kept (``compat``: to paragraph 0, and are lost with it).
+    chunk that is kept (``compat``: to paragraph 0, and are lost with it). Where a source has an article number several
+    times, the ids of the later articles count them (``compat``: the ids repeat). ``source, pos`` names an article.
     """
-    parts = article_parts(articles)
+    nth = F.row_number().over(Window.partitionBy("source", "number").orderBy("pos"))
+    parts = article_parts(articles.withColumn("occurrence", F.lit(1) if compat else nth))
     none = F.array().cast("array<string>")
     if image_map is None:
         parts = parts.withColumns({"useful_images": none, "image_urls": none})
@@ -282,7 +284,7 @@ def chunks(articles: DataFrame, image_map: DataFrame | None = None, max_frequenc
         "image_urls": F.when(lead, F.col("image_urls")).otherwise(none),
         "chunk_kind": F.when(F.col("n_paragraphs") > 1, "parrafo").otherwise("articulo_completo"),
         "wiki_path": C.wiki_path("source", "number"),
-        "chunk_id": chunk_id("source", "number", "paragraph_no"),
+        "chunk_id": chunk_id("source", "number", "paragraph_no", "occurrence"),
         "chars": F.length("text"),
     })
     rows = rows.withColumn("header", structural_header())
@@ -294,9 +296,10 @@ def chunks(articles: DataFrame, image_map: DataFrame | None = None, max_frequenc
         *flags, "scope", "wiki_path", "image_urls", "raw_images", "has_tables", "tables_md", "chars", "chunk_kind")
 
 
-def chunk_id(source: str, number: str, paragraph: str) -> Column:
-    """12 hex characters of the md5 of the natural key."""
-    key = F.concat(F.col(source), F.lit("_art_"), F.col(number), F.lit("_p"), F.col(paragraph).cast("string"))
+def chunk_id(source: str, number: str, paragraph: str, occurrence: str) -> Column:
+    """12 hex characters of the md5 of the natural key; from the second article of a number on with its count."""
+    nth = F.when(F.col(occurrence) > 1, F.concat(F.lit("_n"), F.col(occurrence).cast("string"))).otherwise("")
+    key = F.concat(F.col(source), F.lit("_art_"), F.col(number), nth, F.lit("_p"), F.col(paragraph).cast("string"))
     return F.substring(F.md5(key), 1, 12)
 
 

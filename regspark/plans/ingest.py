@@ -18,10 +18,15 @@ def clean_markdown(docs: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def corpus_articles(docs: DataFrame, compat: bool = False) -> DataFrame:
-    """Building-code sources give coded sections, all others articles and annexes."""
+    """Building-code sources give coded sections, all others articles and annexes.
+
+    Each route counts its own pieces, so ``pos`` is spread to keep ``source, pos`` unique over the routes.
+    """
     is_code = F.col("source").startswith(CODE_PREFIX)
     rules = docs.filter(~is_code)
-    return S.markdown_articles(rules, compat).unionByName(S.markdown_annexes(rules)).unionByName(S.coded_sections(docs.filter(is_code)))
+    routes = [S.markdown_articles(rules, compat), S.markdown_annexes(rules), S.coded_sections(docs.filter(is_code))]
+    own = [r.withColumn("pos", F.col("pos") * len(routes) + k) for k, r in enumerate(routes)]
+    return own[0].unionByName(own[1]).unionByName(own[2])
 
 
 def chunk_corpus(docs: DataFrame, image_map: DataFrame | None = None, max_frequency: int = 3, compat: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.functions import text as C
@@ -10,8 +10,6 @@ from regspark.operators.state import upsert
 
 # filter columns of a collection: sorted or bloom-filtered on write
 KEYWORD_COLUMNS = ["ordinance", "ordinance_code", "article_no", "source", "wiki_path", "scope"]
-FLAG_COLUMNS = ["has_tables", "defines_height", "defines_occupation", "defines_buildability", "defines_setbacks",
-                "defines_min_plot", "defines_uses"]
 
 
 def write_articles(articles: DataFrame, path: str, source_label: str) -> None:
@@ -22,14 +20,21 @@ def write_articles(articles: DataFrame, path: str, source_label: str) -> None:
     meta.write.mode("overwrite").json(f"{path}/metadata")
 
 
-def write_collection(chunks: DataFrame, path: str, recreate: bool = False) -> None:
-    """K2, K3: chunk collection partitioned by source, sorted by ordinance code inside each file, with bloom
-    filters on the other keyword columns so that equality filters skip row groups."""
-    out = chunks.sortWithinPartitions("source", "ordinance_code").write.mode("overwrite" if recreate else "append")
+def _collection_writer(chunks: DataFrame, mode: str) -> DataFrameWriter:
+    """A few files a source (a source with very many rows is split), sorted by ordinance code, with bloom filters."""
+    rows = chunks.hint("rebalance", F.col("source")).sortWithinPartitions("source", *[c for c in ("ordinance_code",) if c in chunks.columns])
+    out = rows.write.mode(mode)
     for c in KEYWORD_COLUMNS:
         if c in chunks.columns and c != "source":
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
-    out.partitionBy("source").parquet(path)
+    return out.partitionBy("source")
+
+
+def write_collection(chunks: DataFrame, path: str, recreate: bool = False) -> None:
+    """K2, K3: chunk collection partitioned by source, sorted by ordinance code inside each file, with bloom
+    filters on the other keyword columns so that equality filters skip row groups. Flags are plain columns, which
+    Parquet's statistics and dictionaries serve."""
+    _collection_writer(chunks, "overwrite" if recreate else "append").parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -54,8 +59,7 @@ def upsert_collection(spark: SparkSession, path: str, staging: str, new: DataFra
     touched = old.join(new.select("source").distinct(), ["source"], "left_semi").select(*old.columns)
     merged = upsert(touched.select(*new.columns), new, key, version)
     merged.write.mode("overwrite").partitionBy("source").parquet(staging)
-    spark.read.schema(merged.schema).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("source").parquet(path)
+    _collection_writer(spark.read.schema(merged.schema).parquet(staging), "overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def copy_collection(spark: SparkSession, src: str, dst: str) -> dict:
