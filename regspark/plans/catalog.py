@@ -34,6 +34,7 @@ def load_all() -> None:
         catalog_reports,
         catalog_retrieve,
         catalog_segment,
+        catalog_sources,
         catalog_state,
         catalog_text,
     )

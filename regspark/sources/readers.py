@@ -39,6 +39,12 @@ def article_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ARTICLE_SCHEMA).json(path, multiLine=True).selectExpr("inline(articulos)")
 
 
+def article_rows(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Article documents in a string column, one row per article; the other columns stay."""
+    own = [c for c in df.columns if c != raw]
+    return df.select(*own, F.from_json(raw, ARTICLE_SCHEMA)["articulos"].alias("_a")).select(*own, F.inline("_a"))
+
+
 def converted_markdown(raw: Column | str) -> Column:
     """S3: markdown inside a converted document, else the first 2000 characters of the raw JSON."""
     raw = C._col(raw)
@@ -77,9 +83,22 @@ def links(page: DataFrame, base: Column | None = None, suffixes: tuple[str, str]
 
 def atom_entries(spark: SparkSession, path: str) -> DataFrame:
     """Entries of Atom files with one row per link."""
-    schema = "title string, link array<struct<_href string, _rel string, _type string>>"
-    e = spark.read.schema(schema).format("xml").option("rowTag", "entry").load(path)
-    return e.select("title", F.explode_outer("link").alias("l")).select("title", F.col("l._href").alias("href"), F.col("l._type").alias("type"))
+    e = spark.read.schema(ENTRY_SCHEMA).format("xml").option("rowTag", "entry").load(path)
+    return _entry_links(e)
+
+
+ENTRY_SCHEMA = "title string, link array<struct<_href string, _rel string, _type string>>"
+
+
+def _entry_links(e: DataFrame) -> DataFrame:
+    own = [c for c in e.columns if c not in ("title", "link")]
+    return e.select(*own, "title", F.explode_outer("link").alias("l")).select(*own, "title", F.col("l._href").alias("href"), F.col("l._type").alias("type"))
+
+
+def entry_rows(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Atom entries in a string column, one row per link; the other columns stay."""
+    own = [c for c in df.columns if c != raw]
+    return _entry_links(df.select(*own, F.from_xml(raw, ENTRY_SCHEMA).alias("_e")).select(*own, "_e.title", "_e.link"))
 
 
 FEATURE_SCHEMA = ("features array<struct<attributes struct<ordenanza string, nome string, clase string, clase_desc string, "
@@ -88,7 +107,15 @@ FEATURE_SCHEMA = ("features array<struct<attributes struct<ordenanza string, nom
 
 def feature_pages(spark: SparkSession, path: str) -> DataFrame:
     """Features of all page files of a layer; ``page_full`` is false on the last page."""
-    f = spark.read.schema(FEATURE_SCHEMA).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_name"))
+    return _features(spark.read.schema(FEATURE_SCHEMA).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_name")))
+
+
+def feature_rows(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Features of pages in a string column (file, raw)."""
+    return _features(df.select("file", F.from_json(raw, FEATURE_SCHEMA).alias("_p")).select("file", "_p.features"))
+
+
+def _features(f: DataFrame) -> DataFrame:
     f = f.select("file", (F.size("features") >= 1000).alias("page_full"), F.posexplode("features").alias("idx", "f"))
     return f.select("file", "page_full", "idx", F.col("f.attributes.ordenanza").alias("ordinance"), F.col("f.attributes.nome").alias("name"),
                     F.col("f.attributes.clase").alias("class"), F.col("f.attributes.clase_desc").alias("class_desc"),
@@ -118,6 +145,14 @@ def street_names(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return low.select(*LAYER_COLUMNS["streets"])
 
 
+def street_rows(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Lines of a street-name file as latin-1 bytes; the other columns stay."""
+    own = [c for c in df.columns if c != raw]
+    names = LAYER_COLUMNS["streets"]
+    parsed = F.from_csv(F.decode(raw, "ISO-8859-1"), ", ".join(f"{c} string" for c in names))
+    return df.select(*own, parsed.alias("_s")).select(*own, "_s.*")
+
+
 def front_matter(df: DataFrame, content: str = "content") -> DataFrame:
     """YAML fields and body of wiki pages."""
     parts = F.split(content, "---", 3)
