@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from regspark.llm import components, decontaminate, licenses, line_dedup, pii, preference, queries, simhash
+from regspark.llm import components, decontaminate, licenses, line_dedup, pii, preference, queries, shingles, simhash
 from regspark.llm.common import row_key
 
 ODD = [(-1, None), (None, ""), (None, "a  b \n c"), (5000, " lead"), (5001, "\n"), (5003, "\n"), (5003, "\n"), (6000, "A B")]
@@ -99,6 +99,37 @@ def test_index_loses_no_link(spark, bits):
     assert got.roots() == want.roots()
 
 
+def test_near_dedup_stage_equals_jaccard(spark):
+    """Near copies of the pipeline stage, with a group of many, against the similarity of all pairs."""
+    import corpus_pipeline
+
+    rnd = random.Random(6)
+    word = lambda: rnd.choice("abcdefghij") + str(rnd.randrange(500))
+    base = [[word() for _ in range(rnd.choice([40, 120, 400]))] for _ in range(40)]
+    texts = [" ".join(w) for w in base] + ["", None, "a b", "A  b"]
+    for k in range(360):
+        w = list(base[0] if k % 3 == 0 else rnd.choice(base))
+        for _ in range(rnd.randrange(0, max(2, len(w) // 25))):
+            w[rnd.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    same = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if same(sets[i], sets[j])]
+    want = Sets(len(texts))
+    for i, j in pairs:
+        want.tie(i, j)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    of = {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()}
+    roots = want.roots()
+    assert all(roots[i] == roots[c] for i, c in of.items())
+    assert sum(of[i] == of[j] for i, j in pairs) >= 0.99 * len(pairs) and len(pairs) > 1000
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {i for i, c in of.items() if i == c}
+
+
 def brute_lines(rows, least):
     """Text by (id, text): every run of lines with ``least`` words that stands earlier is deleted."""
     rows = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
