@@ -125,11 +125,16 @@ def _pairs(words: list[str]) -> set[tuple[str, str | None]]:
     return set(zip(words, words[1:]))
 
 
+def _plain(negatives: list[str]) -> list[list[str]]:
+    """Words of the paragraphs that resemble no template."""
+    shapes = [_pairs(_words(t)) for ts in TEMPLATES.values() for t in ts]
+    return [w for w in map(_words, negatives) if w and max(len(_pairs(w) & s) / max(len(s), 1) for s in shapes) < 0.3]
+
+
 def examples(negatives: list[str], each: int = 30, seed: int = 5) -> tuple[list[set], np.ndarray]:
     """Feature sets and class numbers."""
     rnd = random.Random(seed)
-    shapes = [_pairs(_words(t)) for ts in TEMPLATES.values() for t in ts]
-    plain = [w for w in map(_words, negatives) if w and max(len(_pairs(w) & s) / max(len(s), 1) for s in shapes) < 0.3]
+    plain = _plain(negatives)
     filler = [w for p in plain for w in p] or ["lorem"]
     sets, classes = [], []
     for k, family in enumerate(TEMPLATES):
@@ -150,17 +155,18 @@ def examples(negatives: list[str], each: int = 30, seed: int = 5) -> tuple[list[
 
 
 def fit(negatives: list[str], rounds: int = 250, penalty: float = 3e-3, seed: int = 5) -> tuple[dict[tuple[str, str | None], np.ndarray], np.ndarray, float]:
-    """Weights by feature, bias, temperature. What stands in one of fifty other paragraphs tells nothing and is no feature. Proximal gradient with momentum on a balanced multinomial loss."""
+    """Weights by feature, bias, temperature. What stands in one of fifty paragraphs that resemble no template tells nothing and is no feature, unless a template holds it. Proximal gradient with momentum on a balanced multinomial loss."""
     sets, y = examples(negatives, seed=seed)
     count: dict = {}
     for s in sets:
         for f in s:
             count[f] = count.get(f, 0) + 1
-    plain = [_features(_words(n)) for n in negatives]
+    plain = [_features(w) for w in _plain(negatives)]
+    held_by = set().union(*[_features(_words(t)) for ts in TEMPLATES.values() for t in ts])
     common: dict = {}
     for f in (f for s in plain for f in s):
         common[f] = common.get(f, 0) + 1
-    names = sorted((f for f, n in count.items() if n >= 4 and common.get(f, 0) <= 0.02 * len(plain)), key=lambda f: (f[0], f[1] or ""))
+    names = sorted((f for f, n in count.items() if n >= 4 and (f in held_by or common.get(f, 0) <= 0.02 * len(plain))), key=lambda f: (f[0], f[1] or ""))
     place = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(sets), len(names)), np.float32)
     for i, s in enumerate(sets):

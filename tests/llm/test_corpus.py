@@ -330,6 +330,19 @@ def test_licences(spark, docs):
     assert licenses.scan(d.limit(0)).collect() == []
 
 
+def test_a_notice_in_a_third_of_the_documents_keeps_its_family(docs):
+    """The footer of a hot source is in the sample, but its words still tell its family."""
+    lines = licenses._sample(docs, "doc_id", "text", 100)
+    for k, (family, templates) in enumerate(licenses.TEMPLATES.items()):
+        negatives = [*lines, *templates[:1] * (len(lines) // 24)]
+        weights, bias, scale = licenses.fit(negatives)
+        own = licenses._features(licenses._words(templates[0]))
+        z = scale * (bias + sum((weights[f] for f in own if f in weights), np.zeros(len(bias))))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert p.argmax() == k and p[k] >= 0.6, family
+        assert own & licenses.telling(weights, bias, scale, 0.6, negatives), family
+
+
 def test_pipeline_stages(spark, sf):
     """Each stage against what it must do to its own input."""
     import corpus_pipeline
