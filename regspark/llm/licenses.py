@@ -228,10 +228,11 @@ def telling(weights: dict[tuple[str, str | None], np.ndarray], bias: np.ndarray,
 
 
 def _sample(docs: DataFrame, id_col: str, text_col: str, sample: int) -> list[str]:
-    """Paragraphs of at most ``sample`` documents, 20 of each."""
+    """Paragraphs of at most ``sample`` documents, 20 of each; of rows with one id, one is taken."""
     ids = docs.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.slice(F.split(text_col, "\n"), 1, 20).alias("p")).filter("p is not null").join(F.broadcast(ids), "_id")
-    return [p[:2000] for r in rows.orderBy("_id").limit(2 * sample).collect() for p in r.p]
+    one = rows.groupBy("_id").agg(F.min(F.struct(F.xxhash64("p").alias("h"), "p")).alias("x"))
+    return [p[:2000] for r in one.orderBy("_id").select("x.p").collect() for p in r.p]
 
 
 def paragraphs(docs: DataFrame, least: float = 0.6, alike: float = 0.6, sample: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -172,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, label: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float32()))], ["y", "idx", "val"])
 
     known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("text is not null")
-    rows = known.join(F.broadcast(chosen), "_id").select("_id", "_y", "text")  # at most ``sample`` rows
+    one = known.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    rows = one.select("_id", "_y", "x.text")  # one row an id, so at most ``sample`` rows
     got = rows.select("_y", "text").mapInArrow(run, "y int, idx array<int>, val array<float>").toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got["idx"][i].values.slice(0, 8).to_pylist(), len(got["idx"][i])))
     return fit([(np.asarray(got["idx"][i].values), np.asarray(got["val"][i].values)) for i in order], np.asarray(got["y"])[order] > 0)

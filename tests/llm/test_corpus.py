@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from regspark.llm import components, decontaminate, licenses, line_dedup, pii, preference, queries, shingles, simhash
+from regspark.llm import components, decontaminate, licenses, line_dedup, pii, preference, quality, queries, shingles, simhash
 from regspark.llm.common import row_key
 
 ODD = [(-1, None), (None, ""), (None, "a  b \n c"), (5000, " lead"), (5001, "\n"), (5003, "\n"), (5003, "\n"), (6000, "A B")]
@@ -343,6 +343,17 @@ def test_a_notice_in_a_third_of_the_documents_keeps_its_family(docs):
         assert own & licenses.telling(weights, bias, scale, 0.6, negatives), family
 
 
+def test_samples_take_one_row_of_a_repeated_id(spark, monkeypatch):
+    rows = [(1, f"copy {i} of many") for i in range(400)] + [(i, f"text {i} alone") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((len(x), int(sum(y)))))
+    quality.train(docs, labels)
+    assert seen == [(11, 6)]
+    assert len(licenses._sample(docs, "doc_id", "text", 100)) == 11
+
+
 def test_pipeline_stages(spark, sf):
     """Each stage against what it must do to its own input."""
     import corpus_pipeline
