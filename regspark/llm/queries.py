@@ -153,3 +153,39 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regspark.llm.licenses import scan
 
     return scan(documents(spark, sf_dir))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first eight components of the corpus, whitened."""
+    from regspark.llm.whitening import whiten
+
+    w = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    explained = F.array(*map(F.lit, w.explained)).cast("array<double>")
+    rows = w.rows.select("id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    return rows.select(F.col("id").alias("vec_id"), (F.col("k") + 1).cast("int").alias("component"), F.lit(w.n).cast("long").alias("n"), "deviation", "whitened",
+                       F.get(explained, F.col("k")).alias("explained"), F.lit(w.identity_error).cast("double").alias("identity_error"))
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 13-word windows that a document with a smaller id has."""
+    from regspark.llm.passages import without_repeats
+
+    rows = without_repeats(documents(spark, sf_dir).select("doc_id", "text"), window=13, from_files=True)
+    removed = F.aggregate("cuts", F.lit(0).cast("long"), lambda s, c: s + c["to"] - c["from"])
+    return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, with one period of each kept."""
+    from regspark.llm.periods import periodic_runs, with_planted_period
+
+    rows = periodic_runs(with_planted_period(documents(spark, sf_dir).select("doc_id", "text")), least=12)
+    best = F.expr("array_max(transform(runs, r -> named_struct('length', r.length, 'start', -r.start, 'period', -r.period)))")
+    runs = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return rows.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").cast("long").alias("exponent_milli"), F.sha2(runs, 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"))
