@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regspark.llm.encoding import cuts
+
 BITS = 14
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -142,21 +144,35 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, rounds: int
     if min(good[~held].sum(), (~good[~held]).sum(), good[held].sum(), (~good[held]).sum()) == 0:
         return None
     size = np.array([len(i) for i, _ in rows])
-    idx, val = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]).astype(np.float64)
-    of = np.repeat(np.arange(len(rows)), size)
+    ends = np.cumsum(size)
+    idx, val = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows])
+    steps = cuts(size, 1 << 17)  # rows at a time, so that a round holds little beside the sample
     y, train = good.astype(np.float64), (~held).astype(np.float64)
     balance = train * np.where(good, 0.5 / (train * y).sum(), 0.5 / (train * (1 - y)).sum())
     w, bias = np.zeros(2 << BITS), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+
+    def places(i: int, j: int) -> tuple[slice, np.ndarray]:
+        return slice(ends[i] - size[i], ends[j - 1]), np.repeat(np.arange(j - i), size[i:j])
+
+    def scores() -> np.ndarray:
+        z = np.full(len(rows), bias)
+        for i, j in steps:
+            at, of = places(i, j)
+            z[i:j] += np.bincount(of, w[idx[at]] * val[at], j - i)
+        return z
+
     for t in range(1, rounds + 1):
-        z = np.bincount(of, w[idx] * val, len(rows)) + bias
-        d = balance * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        g, gb = np.bincount(idx, d[of] * val, len(w)) + decay * w, d.sum()
+        d = balance * (1 / (1 + np.exp(-np.clip(scores(), -500, 500))) - y)
+        g, gb = decay * w, d.sum()
+        for i, j in steps:
+            at, of = places(i, j)
+            g += np.bincount(idx[at], d[i:j][of] * val[at], len(w))
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
         bias -= 0.05 * (mb / (1 - 0.9 ** t)) / (np.sqrt(vb / (1 - 0.99 ** t)) + 1e-9)
     model = Model(w[:1 << BITS].astype(np.float32), w[1 << BITS:].astype(np.float32), float(bias))
-    z = np.bincount(of, w[idx] * val, len(rows)) + bias
+    z = scores()
     model.scale, model.shift = _platt(z[held], good[held])
     return model
 
