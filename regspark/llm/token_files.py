@@ -30,17 +30,16 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def byte_level_encoder(tokenizer_path: str, threads: int = 1) -> WordEncoder:
-    """One encoder a worker; strings of special tokens in a text are ordinary text."""
+    """One encoder a worker; as the library comes, the string of a special token in a text is that token."""
     if tokenizer_path not in _encoders:
         use_threads(threads)
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(tokenizer_path)
-        t.encode_special_tokens = True
         marks = np.zeros(t.get_vocab_size(), bool)
         for piece, i in t.get_vocab().items():
             marks[i] = piece.startswith("Ġ")
-        _encoders[tokenizer_path] = WordEncoder(t, marks, " ", first_plain=True)
+        _encoders[tokenizer_path] = WordEncoder(t, marks, " ", byte_level=True)
     return _encoders[tokenizer_path]
 
 
@@ -87,9 +86,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
-    order = [F.col(id_col), F.xxhash64(text_col)]
+    order = [F.col(id_col), F.xxhash64(text_col), F.monotonically_increasing_id()]  # the last only spreads rows that are equal
     parts = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[c.alias(f"_o{i}") for i, c in enumerate(order)])
-             .repartitionByRange("_o0", "_o1").sortWithinPartitions("_o0", "_o1").select("id", "text")
+             .repartitionByRange("_o0", "_o1", "_o2").sortWithinPartitions("_o0", "_o1", "_o2").select("id", "text")
              .mapInArrow(write, "part long, n_docs long, n_ids long"))
     parts.write.parquet(f"{folder}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file

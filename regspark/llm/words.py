@@ -53,9 +53,11 @@ def stretch_hashes(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.
 
 
 class Words:
-    """The words of some texts, one after the other: ``hash``, and ``first``: where each text's words begin (one entry more than texts)."""
+    """The words of some texts, one after the other: ``hash``, ``start`` and ``stop`` in the bytes ``data``, and ``first``: where each text's words begin
+    (one entry more than texts). ``separators``: a mark for each byte that stands between words. With ``kinds``, a number for each byte, words
+    are cut where two kinds meet, neither of which is 0; ``spaced`` tells which of the parts have a separator before them."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, separators: np.ndarray = _SEPARATOR, kinds: np.ndarray | None = None, uncut_after: int = -1):
         texts = pc.fill_null(texts, "").cast(pa.large_binary())
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
@@ -63,13 +65,19 @@ class Words:
         body = texts.buffers()[2]
         data = np.frombuffer(body, np.uint8)[offsets[0]:offsets[-1]] if body is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        inside = ~_SEPARATOR[data]
+        inside = ~separators[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         before = np.concatenate([[False], inside[:-1]])[:len(data)]
         after = np.concatenate([inside[1:], [False]])[:len(data)]
+        begins = edge[:-1].copy()
+        if kinds is not None and len(data):
+            kind = kinds[data]
+            edge[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (data[:-1] != uncut_after)
         start = np.flatnonzero(inside & (~before | edge[:-1]))
         stop = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        self.data, self.start, self.stop = data, start, stop
+        self.spaced = ~before[start] & ~begins[start]
         self.first = np.searchsorted(start, offsets)
         self.hash = np.zeros(len(start), np.uint64)
         i = 0

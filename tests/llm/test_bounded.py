@@ -117,7 +117,6 @@ def test_token_files_round_trip(spark, docs):
     token_files.write_token_files(docs, folder, path, 2)
     got = sorted(token_files.read_token_files(spark, folder).collect(), key=lambda r: r.start)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = Counter((r.doc_id, tuple([*t.encode(r.text or "", add_special_tokens=False).ids, 2])) for r in docs.collect())
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
     at = 0
@@ -171,3 +170,21 @@ def test_unigram_model_with_byte_fallback():
     texts = ["", "ab", "abab ba", "  a b", "xé", "c abba 🎉", "ab " * 40]
     ids, ends = codec.encode(pa.array(texts))
     assert [x.tolist() for x in np.split(ids, ends[:-1])] == [own.encode(t) for t in texts]
+
+
+def test_words_cut_into_parts_encode_as_the_library_does():
+    """Also special tokens: their strings are tokens, as the library comes."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, t = token_files.byte_level_encoder(path), Tokenizer.from_file(path)
+    assert t.encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
+    rnd = random.Random(4)
+    parts = ["it's", "we'll", "'", "''", "'s", "s", "ré", "é", "Ω", "12", "3", ",", ".", "!?", "(", "word", "Abc", "_", "-", "—", "\u00a0", "日本", "🎉", "x\ny", "\t", "ab1", "\x00", "\x7f", "<|endoftext|>", "<|", "٣", "²"]
+    texts = ["x <|endoftext|> y", "a<|endoftext|>b", "", None] + ["".join(rnd.choice(parts) + rnd.choice(["", "", " ", " ", "  "]) for _ in range(rnd.randint(1, 12))) for _ in range(4000)]
+    for _ in range(2):  # the second time all words are known
+        ids, ends = encoder.encode(pa.array(texts))
+        got = [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
