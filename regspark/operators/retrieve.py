@@ -15,6 +15,7 @@ from regspark.functions import features as FE
 from regspark.functions import fixed as X
 from regspark.functions import text as C
 from regspark.operators.ordered import first_by, top_per_key
+from regspark.session import cut_lineage
 
 VIEWS = {"text": "v_text", "summary": "v_summary", "questions": "v_questions"}
 QUERY_BYTES = 64 << 20  # largest query block that is sent to every task
@@ -112,21 +113,24 @@ def similarity_hits(queries: DataFrame, chunks: DataFrame, k: int = X.TOP_K_VIEW
     """
     views = views or VIEWS
     queries = queries.filter("vector is not null")
-    dim_row = queries.select(F.size("vector").alias("d")).limit(1).collect()
-    dim = dim_row[0]["d"] if dim_row else 1
-    cap = max(1, max_query_bytes // (8 * dim))
     qcols = ["query_id", "vector"] + ([match[0]] if match else [])
     ccols = list(dict.fromkeys([id_col, *views.values()] + ([match[1]] if match else [])))
-    block = queries.select(*qcols).limit(cap + 1).collect()
+    queries = cut_lineage(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), *qcols[2:]))  # evaluated once
+    dim_row = queries.select(F.size("vector").alias("d")).first()
+    dim = dim_row["d"] if dim_row else 1
+    cap = max(1, max_query_bytes // (8 * dim))
+    block = queries.limit(cap + 1).toArrow()
     id_type = chunks.schema[id_col].dataType
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("view", T.StringType()),
                            T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
     names = [f.name for f in schema]
     data = chunks.select(*ccols)
-    if len(block) <= cap:
+    if block.num_rows <= cap:
+        flat = block.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        if len(flat) != block.num_rows * dim:
+            raise ValueError("vectors of different lengths")
         shared = data.sparkSession.sparkContext.broadcast(
-            ([r["query_id"] for r in block], np.array([r["vector"] for r in block], np.float64),
-             [r[match[0]] for r in block] if match else None))
+            (block.column("query_id").to_pylist(), flat.reshape(-1, dim), block.column(match[0]).to_pylist() if match else None))
         arrow = pa.schema([("query_id", _arrow(schema[0].dataType)), ("view", pa.string()),
                            (id_col, _arrow(id_type)), ("score", pa.float64())])
 
@@ -142,7 +146,7 @@ def similarity_hits(queries: DataFrame, chunks: DataFrame, k: int = X.TOP_K_VIEW
 
         hits = data.mapInArrow(run, schema)
     else:
-        hits = _tiled_hits(queries.select(*qcols), data, schema, names, cap, dim, k, floor, views, id_col, match)
+        hits = _tiled_hits(queries, data, schema, names, cap, dim, k, floor, views, id_col, match)
     return top_per_key(hits, ["query_id", "view"], [F.desc("score"), F.asc(id_col)], k)
 
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from regspark.functions import fixed as X
-from regspark.operators import chat, enrich
+from regspark.operators import cells, chat, enrich, terms
 from regspark.operators import retrieve as V
 from regspark.operators import segment as S
 from regspark.operators.refs import number_parts, reference_list
 from regspark.plans import derive as D
 from regspark.plans import retrieval as P
-from regspark.plans.catalog import lit, register
+from regspark.plans.catalog import ORACLES, lit, register
 from regspark.plans.catalog_segment import CHUNKS, ITEMS, REFS, _chunks, _md, _real, _refs, MD_ART
 from regspark.plans.catalog_text import CLEAN_ANSWER, keywords_sql, strip
 from regspark.providers import HashingEmbedding, WordOverlapScore, add_embeddings, score_column
+from regspark.session import ensure_checkpoint_dir
 
 BASE = "WITH " + D.VECTOR_SQL
 
@@ -118,6 +121,23 @@ def _(spark, sf):
     return out.select("query_id", "chunk_id", "rank", "rrf_score", "used_fallback")
 
 
+def _cell_index(spark, sf):
+    """The collection laid out by cells below the checkpoint folder."""
+    return cells.build_index(D.vector_chunks(spark, sf), f"{ensure_checkpoint_dir(spark)}/cells-{uuid.uuid4().hex}", code=F.col("ordinance_code"))
+
+
+@register("v01_pruned_search", ORACLES["v01_j13_three_view_search"])
+def _(spark, sf):
+    h = cells.pruned_search(D.benchmark_queries(spark, sf), _cell_index(spark, sf)).hits
+    return h.select("query_id", "view", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@register("v10_pruned_zone_search", ORACLES["v10_zone_filter_with_fallback"])
+def _(spark, sf):
+    out = cells.zone_search(D.benchmark_queries(spark, sf), _cell_index(spark, sf))
+    return out.select("query_id", "chunk_id", "rank", "rrf_score", "used_fallback")
+
+
 BLOCKS = {
     "retriever": "'[Fuente ' || CAST(rank AS VARCHAR) || ' - ' || source || '] Artículo ' || article_no || ' - ' || ordinance_code || chr(10) || header || chr(10) || text",
     "service": "'### [Fuente ' || CAST(rank AS VARCHAR) || '] ' || source || ' | Art. ' || article_no || CASE WHEN ordinance_code <> '' THEN ' | Ordenanza: ' || ordinance_code ELSE '' END || CASE WHEN scope <> '' THEN chr(10) || 'Capítulo: ' || scope ELSE '' END || chr(10) || 'Título: ' || header || chr(10) || chr(10) || text",
@@ -160,6 +180,19 @@ def _(spark, sf):
     return V.keyword_search(D.table(spark, sf, "documents"), "tion", body="text").select("doc_id", "hits", "around")
 
 
+@register("v13_indexed_keyword_search", """WITH t AS (SELECT DISTINCT lower(substr(text, k, 9)) AS term FROM benchmark, (VALUES (1), (20), (41)) AS v(k) WHERE length(substr(text, k, 9)) > 0), d AS (SELECT doc_id, lower(text) AS low FROM documents)
+SELECT term, doc_id, CAST(len(string_split(low, term)) - 1 AS BIGINT) AS hits, strpos(low, term) AS first_at FROM t JOIN d ON contains(low, term)""")
+def _(spark, sf):
+    """Many terms at once against a stored index of every document."""
+    folder = f"{ensure_checkpoint_dir(spark)}/terms-{uuid.uuid4().hex}"
+    docs = D.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
+    terms.add_to_index(folder, docs.filter("doc_id % 2 = 0"), "0001", "doc_id", "low")
+    terms.add_to_index(folder, docs, "0002", "doc_id", "low")  # half of them again
+    asked = D.table(spark, sf, "benchmark").select(F.explode(F.array(*[F.lower(F.substring("text", k, 9)) for k in (1, 20, 41)])).alias("term")).distinct()
+    hits = terms.count_apart(F.col("places"), F.length("term")).cast("long")
+    return terms.search_index(spark, folder, asked).select("term", F.col("id").alias("doc_id"), hits.alias("hits"), F.col("places")[0].cast("long").alias("first_at"))
+
+
 @register("v13_keyword_search_title_and_body", f"""{MD_ART} SELECT source, pos, number, (len(string_split(lower(title), 'urgent')) - 1) + (len(string_split(lower(block), 'urgent')) - 1) AS hits FROM art WHERE contains(lower(title), 'urgent') OR contains(lower(block), 'urgent')""")
 def _(spark, sf):
     return V.keyword_search(_md(spark, sf), "urgent", "title", "block").select("source", "pos", "number", "hits")

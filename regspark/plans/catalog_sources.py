@@ -97,6 +97,6 @@ def _(spark, sf):
         name.alias("chunk_id"), F.concat(F.lit("altura de "), name).alias("text"), F.concat(F.lit("cab\n\n"), name).alias("text_with_header"),
         F.lit("cab").alias("header"), F.lit("U1").alias("ordinance_code"))
     index, state = _scratch(spark), _scratch(spark)
-    jobs.two_phase_run(users, _FixedQuestion(), HashingEmbedding(8), index, state, 0)
+    jobs.two_phase_run(users, _FixedQuestion(), HashingEmbedding(8), index, state)
     done = jobs.read_state(spark, state).join(jobs.read_index(spark, index).select("chunk_id"), "chunk_id")
     return done.select("chunk_id", "indexed", F.col("questions")[0].alias("question"))

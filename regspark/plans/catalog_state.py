@@ -13,10 +13,11 @@ from regspark.operators import retrieve as V
 from regspark.operators import segment as S
 from regspark.operators import state as ST
 from regspark.plans import derive as D
-from regspark.plans.catalog import register
+from regspark.plans.catalog import ORACLES, register
 from regspark.plans.catalog_retrieve import BASE, ERR, WAIT, final, fused, topk
 from regspark.plans.catalog_segment import MD_ART, _md
 from regspark.sources import sinks
+from regspark.sources.keyed import KeyedStore
 
 STATE = f"""{D.with_shared('state_log', 'state_chunks')},
 state AS (SELECT * FROM state_log QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ts DESC, seq DESC) = 1)"""
@@ -71,6 +72,29 @@ def _(spark, sf):
     return ST.upsert(old, new, "chunk_id", ["seq"])
 
 
+def _stored(spark, sf):
+    """The old rows, and the log merged in two batches, in a keyed store; chunks move between sources."""
+    store = KeyedStore(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}", "chunk_id string, source string, text string, seq long", version=("seq",))
+    store.merge(_chunks(spark, sf).select("chunk_id", "source", "text", F.lit(-1).cast("long").alias("seq")))
+    new = D.shared(spark, sf, "state_log").select("chunk_id", F.col("event_type").alias("source"), F.col("summary").alias("text"), "seq")
+    late = F.col("seq") % 2 == 0
+    store.merge(new.filter(~late))
+    store.merge(new.filter(late))
+    return store
+
+
+@register("k04_store_upsert", ORACLES["k04_upsert"])
+def _(spark, sf):
+    return _stored(spark, sf).read()
+
+
+@register("k04_store_look_up", f"""{D.with_shared('state_log', 'state_chunks')}, fresh AS (SELECT chunk_id, event_type AS source, summary AS text, seq FROM state_log QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY seq DESC) = 1),
+asked AS (SELECT chunk_id FROM state_log WHERE event_type = 'purchase' AND seq % 10 = 0)
+SELECT * FROM (SELECT chunk_id, source, text, CAST(-1 AS BIGINT) AS seq FROM state_chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM fresh) UNION ALL SELECT * FROM fresh) WHERE chunk_id IN (SELECT chunk_id FROM asked)""")
+def _(spark, sf):
+    return _stored(spark, sf).read(D.shared(spark, sf, "state_log").filter("event_type = 'purchase' and seq % 10 = 0"))
+
+
 @register("k05_copy_check", "SELECT 'orders' AS collection, count(*) AS \"rows\", true AS same FROM orders")
 def _(spark, sf):
     o = D.table(spark, sf, "orders")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from regspark.functions import features as FE
 from regspark.functions import fixed as X
 from regspark.functions import text as C
+from regspark.operators import terms
 from regspark.plans import derive as D
-from regspark.plans.catalog import lit, register
+from regspark.plans.catalog import ORACLES, lit, register
 from regspark.sources import readers as R
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -370,6 +371,13 @@ def _(spark, sf):
     return D.shared(spark, sf, "questions").select("query_id", FE.expand_query("text", D.DICTIONARY).alias("expanded"))
 
 
+@register("f10_j12_dictionary_join", ORACLES["f10_query_expansion"])
+def _(spark, sf):
+    """The dictionary as a table, met by anchors."""
+    q = D.shared(spark, sf, "questions").select("query_id", "text")
+    return terms.expand_questions(q, terms.dictionary_table(spark, D.DICTIONARY)).select("query_id", "expanded")
+
+
 DETECTED = "array_to_string(list_filter([" + ", ".join(
     f"CASE WHEN contains(lower(text), {lit(t)}) AND len(list_filter([{', '.join(lit(x) for x in s)}], lambda s: NOT contains(lower(text), s))) > 0 THEN {lit(t)} ELSE '' END"
     for t, s in D.DICTIONARY) + "], lambda x: x <> ''), ',')"

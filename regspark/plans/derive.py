@@ -232,12 +232,12 @@ def vector_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """One query per benchmark item; its vector is the embedding with the same number."""
+    """One query per benchmark item; its vector is the embedding with the same number. An item without one has no hits."""
     b, e = table(spark, sf, "benchmark"), table(spark, sf, "embeddings")
-    return b.join(e, b.item_id == e.vec_id).select(
+    return b.join(e, b.item_id == e.vec_id, "left").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").cast("array<double>").alias("vector"),
         F.when(F.col("item_id") % 4 == 0, "").when(F.col("item_id") % 4 == 1, "U99")
-        .otherwise(F.concat(F.lit("U"), (F.col("label") % 9 + 1).cast("string"))).alias("ordinance_code"))
+        .otherwise(F.concat(F.lit("U"), (F.coalesce("label", F.lit(0)) % 9 + 1).cast("string"))).alias("ordinance_code"))
 
 
 VECTOR_SQL = """
@@ -252,13 +252,13 @@ vchunks AS (SELECT substr(md5('v_' || CAST(vec_id AS VARCHAR)), 1, 12) AS chunk_
     lambda p: (p[1] + p[2]) * 5e-1) AS v_questions
   FROM embeddings LEFT JOIN documents d ON vec_id = doc_id),
 vqueries AS (SELECT item_id AS query_id, b.text AS query, CAST(embedding AS DOUBLE[]) AS vector,
-  CASE WHEN item_id % 4 = 0 THEN '' WHEN item_id % 4 = 1 THEN 'U99' ELSE 'U' || CAST(label % 9 + 1 AS VARCHAR) END AS ordinance_code
-  FROM benchmark b JOIN embeddings ON item_id = vec_id),
+  CASE WHEN item_id % 4 = 0 THEN '' WHEN item_id % 4 = 1 THEN 'U99' ELSE 'U' || CAST(coalesce(label, 0) % 9 + 1 AS VARCHAR) END AS ordinance_code
+  FROM benchmark b LEFT JOIN embeddings ON item_id = vec_id),
 sims AS (SELECT query_id, view, chunk_id, round(list_cosine_similarity(vector, v), 9) AS score, q.ordinance_code AS qcode,
   c.ordinance_code AS ccode, c.source, c.scope FROM vqueries q, (
   SELECT chunk_id, ordinance_code, source, scope, 'text' AS view, v_text AS v FROM vchunks
   UNION ALL SELECT chunk_id, ordinance_code, source, scope, 'summary', v_summary FROM vchunks
-  UNION ALL SELECT chunk_id, ordinance_code, source, scope, 'questions', v_questions FROM vchunks) c)"""
+  UNION ALL SELECT chunk_id, ordinance_code, source, scope, 'questions', v_questions FROM vchunks) c WHERE vector IS NOT NULL)"""
 
 
 def zones(spark: SparkSession, sf: str) -> DataFrame:

@@ -30,7 +30,7 @@ def answer_requests(questions: DataFrame, chunks: DataFrame, provider: Embedding
     ``questions``: query_id, text, code, language, history. ``chunks``: the chunk table with three vectors.
     """
     q = questions.withColumn("plain_q", FE.expand_query("text", dictionary)).withColumn("zoned_q", FE.enrich_with_zone("plain_q", "code"))
-    q = add_embeddings(q, {"vector": "zoned_q", "plain_vector": "plain_q"}, provider)
+    q = cut_lineage(add_embeddings(q, {"vector": "zoned_q", "plain_vector": "plain_q"}, provider))  # each question is embedded once
     final = V.with_fallback(q.withColumnRenamed("code", "ordinance_code"), chunks, k, fallback_vector="plain_vector")
     payload = [c for c in ("source", "article_no", "ordinance", "header", "text", "chapter") if c in chunks.columns]
     hits = hits_with_payload(final, chunks, payload)

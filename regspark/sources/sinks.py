@@ -51,15 +51,25 @@ def create_collection(spark: SparkSession, path: str, schema, recreate: bool = F
 
 
 def upsert_collection(spark: SparkSession, path: str, staging: str, new: DataFrame, version: list[str], key: str = "chunk_id") -> None:
-    """K4: rewrite only the source partitions that the new rows touch, through a staging folder.
+    """K4: rewrite only the source partitions that the new rows touch or leave, through a staging folder.
 
-    Nothing is read and overwritten in one job, so a lost executor or a failed write leaves the old rows in place.
+    A chunk whose source changes leaves the folder of its old source. Nothing is read and overwritten in one job, so a lost executor
+    or a failed write leaves the old rows in place. Sources are replaced one after the other; a collection that is read while it is
+    replaced is better held in a ``KeyedStore``, whose merges readers see whole or not at all.
     """
     old = spark.read.parquet(path)
-    touched = old.join(new.select("source").distinct(), ["source"], "left_semi").select(*old.columns)
+    left = old.join(new.select(key).distinct(), [key], "left_semi").select("source")
+    names = new.select("source").union(left).distinct()
+    touched = old.join(names, ["source"], "left_semi").select(*old.columns)
     merged = upsert(touched.select(*new.columns), new, key, version)
     merged.write.mode("overwrite").partitionBy("source").parquet(staging)
-    _collection_writer(spark.read.schema(merged.schema).parquet(staging), "overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    staged = spark.read.schema(merged.schema).parquet(staging)
+    empty = [r.source for r in names.join(staged.select("source").distinct(), ["source"], "left_anti").collect()]  # a row a source
+    _collection_writer(staged, "overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    for source in empty:
+        folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("source", source)
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def copy_collection(spark: SparkSession, src: str, dst: str) -> dict:

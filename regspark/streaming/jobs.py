@@ -1,9 +1,9 @@
 """Structured Streaming jobs of the ingest: enrich, embed, index, mark.
 
-The stored tables are append-only: each micro-batch overwrites its own ``batch=<id>`` folder, so a batch that
-is retried after a failure writes the same rows again instead of a second copy. All jobs on a state table take their
-sequence numbers from it, so the newest row is the one written last, whatever job wrote it. Chunks that a provider did
-not finish are kept in a table beside the state; the next batch or run takes them again.
+State, index and pending rows are keyed stores: one current row a chunk, and a batch reads the buckets of its own chunks, not the
+history. Every step is told by the stores what is left to do, so a batch that is tried again after a failure goes on where it stopped and
+changes nothing twice. Chunks that a provider did not finish are in the pending store; the next batch or run takes them again, and
+those that are finished leave it.
 """
 
 from __future__ import annotations
@@ -14,96 +14,82 @@ from pyspark.sql.streaming import StreamingQuery
 
 from regspark.operators.enrich import embedding_texts, enrich_chunks
 from regspark.operators.ordered import first_by, last_by
-from regspark.operators.state import latest_state, to_enrich, to_index
+from regspark.operators.state import to_enrich, to_index
 from regspark.providers import EmbeddingProvider, TextProvider, add_embeddings
-from regspark.sources.sinks import path_exists
+from regspark.session import cut_lineage
+from regspark.sources.keyed import KeyedStore
 
 STATE_SCHEMA = "chunk_id string, keywords array<string>, questions array<string>, summary string, indexed boolean, seq long"
+ENRICHED = ["keywords", "questions", "summary"]
 
 
-def read_state(spark: SparkSession, path: str, skip: str = "") -> DataFrame:
-    """M5: newest state row per chunk; an empty table before the first run.
-
-    ``skip`` leaves out the folder of one batch, so a retried batch never reads the rows it is about to replace.
-    """
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], STATE_SCHEMA).drop("seq")
-    log = spark.read.schema(STATE_SCHEMA + ", batch string").parquet(path).filter(F.col("batch") != skip)
-    return latest_state(log, ts="seq", tie="indexed").drop("batch", "seq")
+def state_store(spark: SparkSession, path: str) -> KeyedStore:
+    return KeyedStore(spark, path, STATE_SCHEMA)
 
 
-def next_seq(spark: SparkSession, path: str, *own: str) -> int:
-    """A number above all in the state table, without those of the batches named in ``own``, which may be a failed try of this one."""
-    if not path_exists(spark, path):
-        return 1
-    log = spark.read.schema(STATE_SCHEMA + ", batch string").parquet(path).filter(~F.col("batch").isin(*own))
-    return (log.agg(F.max("seq")).first()[0] or 0) + 1
+def index_store(spark: SparkSession, path: str) -> KeyedStore:
+    return KeyedStore(spark, path, "chunk_id string")
 
 
-def compact_state(spark: SparkSession, path: str) -> None:
-    """Rewrites the state table as one batch with the newest row of each chunk, then removes the older ones.
-
-    Run it between batches. If it ends early, old rows stay beside the new copy, which changes no reader's result.
-    """
-    log = spark.read.schema(STATE_SCHEMA + ", batch string").parquet(path)
-    old = [r[0] for r in log.select("batch").distinct().collect()]  # one row a batch
-    name = f"c{next_seq(spark, path):012d}"
-    _write_batch(latest_state(log, ts="seq", tie="indexed").drop("batch"), path, name)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for batch in old:
-        if batch != name:
-            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}"), True)
+def pending_store(spark: SparkSession, state_path: str) -> KeyedStore:
+    return KeyedStore(spark, f"{state_path.rstrip('/')}-pending", "chunk_id string")
 
 
-def one_row_a_chunk(chunks: DataFrame) -> DataFrame:
-    """A chunk that comes several times in a batch counts once."""
-    return first_by(chunks, ["chunk_id"], [F.xxhash64(*[c for c in chunks.columns if c != "chunk_id"])])
+def read_state(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
+    """M5: the state row of every chunk, or of the chunks in ``keys``; an empty table before the first run."""
+    return state_store(spark, path).read(keys).drop("seq")
 
 
-def read_pending(spark: SparkSession, state_path: str, skip: str = "") -> DataFrame | None:
-    """Chunks that earlier batches left without a state; None if none ever were."""
-    path = f"{state_path}-pending"
-    if not path_exists(spark, path):
-        return None
-    left = spark.read.option("mergeSchema", "true").parquet(path).filter(F.col("batch") != skip).drop("batch")
-    return one_row_a_chunk(left).join(read_state(spark, state_path).select("chunk_id"), "chunk_id", "left_anti")
+def read_pending(spark: SparkSession, state_path: str) -> DataFrame:
+    """M3: chunks that earlier batches left without a state."""
+    return pending_store(spark, state_path).read()
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Indexed chunks, the newest version of each."""
-    return last_by(spark.read.parquet(path), ["chunk_id"], ["seq"]).drop("batch", "seq")
+    return index_store(spark, path).read()
 
 
-def _write_batch(df: DataFrame, path: str, name: str) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={name}")
+def one_row_a_chunk(chunks: DataFrame) -> DataFrame:
+    """A chunk that comes several times in a batch counts once."""
+    return first_by(chunks, ["chunk_id"], [F.xxhash64(*[c for c in chunks.columns if c != "chunk_id"])])
 
 
-def index_batch(chunks: DataFrame, embedder: EmbeddingProvider, index_path: str, state_path: str, name: str, seq: int) -> None:
+def index_batch(chunks: DataFrame, embedder: EmbeddingProvider, index_path: str, state_path: str) -> None:
     """M1: embed, store and mark one batch of enriched chunks. The mark comes last, so a failure leaves it unmarked."""
+    spark = chunks.sparkSession
     views = {"v_text": "view_text", "v_summary": "view_summary", "v_questions": "view_questions"}
-    ready = chunks.withColumns(embedding_texts())
-    vectors = add_embeddings(ready, views, embedder).drop(*views.values()).withColumn("seq", F.lit(seq).cast("long"))
-    _write_batch(vectors, index_path, name)
-    marks = chunks.sparkSession.read.parquet(f"{index_path}/batch={name}")
-    _write_batch(marks.select("chunk_id", "keywords", "questions", "summary", F.lit(True).alias("indexed"), "seq"), state_path, name)
+    vectors = add_embeddings(chunks.withColumns(embedding_texts()), views, embedder).drop(*views.values())
+    index = index_store(spark, index_path)
+    index.merge(vectors)
+    stored = index.read(chunks.select("chunk_id"))
+    state_store(spark, state_path).merge(stored.select("chunk_id", *ENRICHED, F.lit(True).alias("indexed")))
 
 
-def enrich_batch(chunks: DataFrame, provider: TextProvider | None, state_path: str, name: str, seq: int) -> None:
-    """M4: enrich the chunks of a batch that have no state yet; rows the provider did not finish stay pending (M3)."""
-    todo = to_enrich(one_row_a_chunk(chunks), read_state(chunks.sparkSession, state_path, skip=name))
+def enrich_batch(chunks: DataFrame, provider: TextProvider | None, state_path: str) -> None:
+    """M4: enrich the chunks of a batch that have no state yet; rows the provider did not finish get none (M3)."""
+    spark, chunks = chunks.sparkSession, one_row_a_chunk(chunks)
+    todo = to_enrich(chunks, read_state(spark, state_path, chunks))
     done = enrich_chunks(todo, provider).filter(F.col("status").isin("ok", "empty"))
-    _write_batch(done.select("chunk_id", "keywords", "questions", "summary", F.lit(False).alias("indexed"),
-                             F.lit(seq).cast("long").alias("seq")), state_path, name)
+    state_store(spark, state_path).merge(done.select("chunk_id", *ENRICHED, F.lit(False).alias("indexed")))
+
+
+def _index_ready(chunks: DataFrame, embedder: EmbeddingProvider, index_path: str, state_path: str) -> None:
+    """Indexes the chunks whose state says that they are enriched and not indexed."""
+    state = read_state(chunks.sparkSession, state_path, chunks)
+    ready = to_index(chunks.drop(*ENRICHED), state).join(state.select("chunk_id", *ENRICHED), "chunk_id")
+    ready = cut_lineage(ready)
+    if not ready.isEmpty():
+        index_batch(ready, embedder, index_path, state_path)
 
 
 def index_stream(source: DataFrame, embedder: EmbeddingProvider, index_path: str, state_path: str, checkpoint: str,
                  idle_seconds: float | None = None) -> StreamingQuery:
     """M1: stream of enriched chunks into the index. With ``idle_seconds`` it keeps running on that trigger,
-    without it drains what is there and stops. Batch size is the source's ``maxFilesPerTrigger``."""
+    without it drains what is there and stops. Batch size is the source's ``maxFilesPerTrigger``; for batches by count or idle time a
+    source see ``streaming.flush``."""
     def write(df: DataFrame, batch_id: int) -> None:
-        name = f"i{batch_id:09d}"
-        index_batch(one_row_a_chunk(df), embedder, index_path, state_path, name, next_seq(df.sparkSession, state_path, name))
+        index_batch(cut_lineage(one_row_a_chunk(df)), embedder, index_path, state_path)
 
     w = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if idle_seconds is None else w.trigger(processingTime=f"{idle_seconds} seconds")
@@ -116,50 +102,41 @@ def ingest_stream(source: DataFrame, provider: TextProvider | None, embedder: Em
 
     What the provider does not finish stays pending: the next batch takes it again, and so does the next run, before its stream.
     """
-    def take(chunks: DataFrame, name: str) -> None:
-        spark, first, second = chunks.sparkSession, f"e{name}", f"i{name}"
-        seq = next_seq(spark, state_path, first, second)
-        chunks = one_row_a_chunk(chunks)
-        enrich_batch(chunks, provider, state_path, first, seq)
-        state = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/batch={first}")
-        _write_batch(chunks.join(read_state(spark, state_path).select("chunk_id"), "chunk_id", "left_anti"), f"{state_path}-pending", first)
-        rest = [c for c in chunks.columns if c not in ("keywords", "questions", "summary")]
-        fresh = chunks.select(*rest).join(state.select("chunk_id", "keywords", "questions", "summary"), "chunk_id")
-        index_batch(fresh, embedder, index_path, state_path, second, seq + 1)
+    def take(chunks: DataFrame) -> None:
+        spark, pending = chunks.sparkSession, pending_store(chunks.sparkSession, state_path)
+        chunks = cut_lineage(one_row_a_chunk(chunks))
+        enrich_batch(chunks, provider, state_path)
+        done = read_state(spark, state_path, chunks).select("chunk_id")
+        left = cut_lineage(chunks.join(done, "chunk_id", "left_anti"))
+        over = pending.read(done).select("chunk_id")
+        if not (left.isEmpty() and over.isEmpty()):
+            pending.merge(left, removed=over)
+        _index_ready(chunks, embedder, index_path, state_path)
 
     def write(df: DataFrame, batch_id: int) -> None:
-        left = read_pending(df.sparkSession, state_path, skip=f"e{batch_id:09d}")
-        take(df if left is None else df.unionByName(left, allowMissingColumns=True), f"{batch_id:09d}")
+        take(df.unionByName(read_pending(df.sparkSession, state_path), allowMissingColumns=True))
 
-    spark = source.sparkSession
-    left = read_pending(spark, state_path)
-    if left is not None and not left.isEmpty():
-        take(left, f"p{next_seq(spark, state_path):012d}")
+    left = read_pending(source.sparkSession, state_path)
+    if not left.isEmpty():
+        take(left)
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def two_phase_run(chunks: DataFrame, provider: TextProvider | None, embedder: EmbeddingProvider, index_path: str,
-                  state_path: str, run: int) -> None:
+def two_phase_run(chunks: DataFrame, provider: TextProvider | None, embedder: EmbeddingProvider, index_path: str, state_path: str) -> None:
     """M2: first index what is enriched but not indexed, then enrich the rest and index it."""
-    spark = chunks.sparkSession
-    base = [c for c in chunks.columns if c not in ("keywords", "questions", "summary")]
-
-    def drain(step: str) -> None:
-        seq = next_seq(spark, state_path, f"r{run:06d}{step}")
-        state = read_state(spark, state_path, skip=f"r{run:06d}{step}")
-        backlog = to_index(one_row_a_chunk(chunks.select(*base)), state).join(
-            state.select("chunk_id", "keywords", "questions", "summary"), "chunk_id")
-        index_batch(backlog, embedder, index_path, state_path, f"r{run:06d}{step}", seq)
-
-    if path_exists(spark, state_path):
-        drain("a")
-    enrich_batch(chunks.select(*base), provider, state_path, f"r{run:06d}b", next_seq(spark, state_path, f"r{run:06d}b"))
-    drain("c")
+    base = one_row_a_chunk(chunks.drop(*ENRICHED))
+    _index_ready(base, embedder, index_path, state_path)
+    enrich_batch(base, provider, state_path)
+    _index_ready(base, embedder, index_path, state_path)
 
 
 def state_stream(events: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """M5: stream of state transitions into the append-only state table; readers take the newest row per chunk."""
+    """M5: stream of state transitions into the state store; an event that is older (``seq``) than the chunk's last event changes nothing.
+    A micro-batch that runs again is applied once."""
     def write(df: DataFrame, batch_id: int) -> None:
-        _write_batch(last_by(df, ["chunk_id"], ["seq"]), state_path, f"s{batch_id:09d}")
+        store = state_store(df.sparkSession, state_path)
+        new = cut_lineage(last_by(df, ["chunk_id"], ["seq"]))
+        known = store.read(new).select("chunk_id", F.col("seq").alias("_seq"))
+        store.merge(new.join(known, "chunk_id", "left").filter("_seq is null or _seq < seq").drop("_seq"), writer=checkpoint, number=batch_id)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -56,7 +56,7 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     got = {r["chunk_id"]: r["indexed"] for r in jobs.read_state(spark, state).collect()}
     assert len(got) == 15 and all(got.values())
     batch_index, batch_state = str(tmp_path / "bi"), str(tmp_path / "bs")
-    jobs.two_phase_run(chunks(spark, 15), Echo(), HashingEmbedding(16), batch_index, batch_state, 0)
+    jobs.two_phase_run(chunks(spark, 15), Echo(), HashingEmbedding(16), batch_index, batch_state)
     pick = lambda p: sorted((r["chunk_id"], tuple(r["keywords"]), tuple(r["v_text"])) for r in jobs.read_index(spark, p).collect())
     assert pick(index) == pick(batch_index)
 
@@ -64,10 +64,10 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
 def test_rows_left_by_a_provider_are_taken_by_the_next_run(spark, tmp_path):
     index, state = str(tmp_path / "i"), str(tmp_path / "s")
     data = chunks(spark)
-    jobs.two_phase_run(data, Quota(), HashingEmbedding(16), index, state, 0)
+    jobs.two_phase_run(data, Quota(), HashingEmbedding(16), index, state)
     left = to_enrich(data, jobs.read_state(spark, state))
     assert {r["chunk_id"] for r in left.collect()} == {"c0", "c3", "c6", "c9"}
-    jobs.two_phase_run(data, Echo(), HashingEmbedding(16), index, state, 1)
+    jobs.two_phase_run(data, Echo(), HashingEmbedding(16), index, state)
     assert jobs.read_index(spark, index).count() == 12
     assert to_index(data, jobs.read_state(spark, state)).count() == 0
 
@@ -82,9 +82,9 @@ def test_index_failure_leaves_the_batch_unmarked(spark, tmp_path):
     index, state = str(tmp_path / "i"), str(tmp_path / "s")
     data = chunks(spark, 3)
     with pytest.raises(Exception):
-        jobs.two_phase_run(data, None, Broken(), index, state, 0)
+        jobs.two_phase_run(data, None, Broken(), index, state)
     assert {r["indexed"] for r in jobs.read_state(spark, state).collect()} == {False}
-    jobs.two_phase_run(data, None, HashingEmbedding(4), index, state, 1)
+    jobs.two_phase_run(data, None, HashingEmbedding(4), index, state)
     assert {r["indexed"] for r in jobs.read_state(spark, state).collect()} == {True}
 
 
@@ -108,14 +108,71 @@ def test_stream_takes_pending_rows_again_and_duplicates_once(spark, tmp_path):
 
     go(Quota())
     assert {r["chunk_id"] for r in jobs.read_pending(spark, state).collect()} == {"c0", "c3", "c6", "c9"}
-    assert spark.read.parquet(index).count() == 8 == jobs.read_state(spark, state).count()
+    assert jobs.read_index(spark, index).count() == 8 == jobs.read_state(spark, state).count()
     go(Echo())  # nothing new in the source
     got = {r["chunk_id"]: r["indexed"] for r in jobs.read_state(spark, state).collect()}
     assert len(got) == 12 and all(got.values()) and jobs.read_pending(spark, state).isEmpty()
-    assert spark.read.parquet(index).count() == 12
+    assert jobs.read_index(spark, index).count() == 12
     before = sorted(map(str, jobs.read_state(spark, state).collect()))
-    jobs.compact_state(spark, state)
+    store = jobs.state_store(spark, state)
+    store.compact()
     assert sorted(map(str, jobs.read_state(spark, state).collect())) == before
-    assert spark.read.parquet(state).select("batch").distinct().count() == 1
-    jobs.two_phase_run(chunks(spark, 15), Echo(), HashingEmbedding(16), index, state, 0)
+    assert len(store.pointer().folders) == 1
+    pending = jobs.pending_store(spark, state)
+    pending.compact()
+    assert spark.read.schema("chunk_id string").parquet(f"{state}-pending/data/{pending.pointer().folders[0]}").count() == 0  # it shrinks
+    jobs.two_phase_run(chunks(spark, 15), Echo(), HashingEmbedding(16), index, state)
     assert jobs.read_state(spark, state).filter("indexed").count() == 15
+
+
+def test_older_events_and_batches_that_run_again_change_nothing(spark, tmp_path):
+    src, state = str(tmp_path / "e"), str(tmp_path / "s")
+    go = lambda ck: jobs.state_stream(spark.readStream.schema(jobs.STATE_SCHEMA).parquet(src), state, str(tmp_path / ck)).awaitTermination(60)
+    row = lambda i, s, seq: (i, [], [], s, False, seq)
+    spark.createDataFrame([row("a", "new", 9), row("b", "one", 1)], jobs.STATE_SCHEMA).coalesce(1).write.parquet(src)
+    go("ck")
+    spark.createDataFrame([row("a", "late", 3), row("b", "two", 2)], jobs.STATE_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    go("ck")
+    assert {(r.chunk_id, r.summary) for r in jobs.read_state(spark, state).collect()} == {("a", "new"), ("b", "two")}
+    before = jobs.state_store(spark, state).pointer()
+    go("ck2")  # another query reads all again: nothing newer
+    assert {(r.chunk_id, r.summary) for r in jobs.read_state(spark, state).collect()} == {("a", "new"), ("b", "two")}
+    assert before.applied == {str(tmp_path / "ck"): 1}
+
+
+def test_flush_by_count_and_idle_time(spark, tmp_path):
+    """M1: ten rows or one idle second a source; a failed write and a restart lose and repeat nothing."""
+    from regspark.streaming import flush
+
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", flush.STATE_STORE)
+    try:
+        schema = "source string, n int"
+        put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        put([("a", i) for i in range(23)] + [("b", i) for i in range(4)])
+        failed = []
+
+        def write(df):
+            if not failed:
+                failed.append(1)
+                raise ValueError("store gone")
+            df.write.mode("append").parquet(out)
+
+        def go(seconds, write=write):
+            q = flush.flush_stream(spark.readStream.schema(schema).parquet(src), write, str(tmp_path / "ck"), most=10, idle_seconds=1)
+            try:
+                q.awaitTermination(seconds)
+            finally:
+                q.stop()
+
+        with pytest.raises(Exception, match="store gone"):
+            go(60)
+        go(25)
+        got = lambda: sorted((r.source, r.flush, r.reason, r.n) for r in spark.read.parquet(out).collect())
+        want = [("a", i // 10, "count" if i < 20 else "idle", i) for i in range(23)] + [("b", 0, "idle", i) for i in range(4)]
+        assert got() == sorted(want)
+        put([("a", 100)])  # the number of flushes is state, too
+        go(20)
+        assert got() == sorted([*want, ("a", 3, "idle", 100)])
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
