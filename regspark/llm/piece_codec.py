@@ -182,7 +182,7 @@ class _Checked(WordEncoder):
     """The word encoder on top of a codec, so that what it gives to the library is verified too."""
 
     def __init__(self, codec: Codec, marks: np.ndarray):
-        super().__init__(codec.t, marks, MARK, byte_level=False, keep=800_000)
+        super().__init__(codec.t, marks, MARK, byte_level=False, keep=400_000)
         self._whole = codec.whole
 
 
