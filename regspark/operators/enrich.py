@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions import features as FE
 from regspark.functions import fixed as X
 from regspark.functions import text as C
+from regspark.operators.state import run_summary, update_where
 from regspark.providers import TextProvider, add_completions
+from regspark.session import cut_lineage
 
 # --- fixed values: request texts ---
 QUESTION_PROMPT = ("Normativa urbanística. Fragmento:\n---\n", "\n---\nOrdenanza: ", "\nConceptos: ",
@@ -19,6 +23,9 @@ SUMMARY_PROMPT = ("Resume en 1 frase este fragmento de normativa. Incluye valore
 PARAMETER_SCHEMA = ("{\n  \"edificabilidad\": número m²/m² o null,\n  \"altura_maxima\": número entero (plantas) o null,\n"
                     "  \"ocupacion_maxima\": número porcentaje 0-100 o null,\n  \"retranqueo_frontal\": metros o null,\n"
                     "  \"retranqueo_lateral\": metros o null,\n  \"retranqueo_posterior\": metros o null\n}")
+PARAMETER_SYSTEM = ("Eres un extractor de parámetros urbanísticos del PXOM de Vigo. "
+                    "Devuelve ÚNICAMENTE un JSON válido, sin markdown, sin explicaciones. "
+                    "Si un valor no aparece explícitamente en el texto, usa null.")
 PARAMETER_FIELDS = ["edificabilidad", "altura_maxima", "ocupacion_maxima", "retranqueo_frontal", "retranqueo_lateral",
                     "retranqueo_posterior"]
 READERS = {
@@ -34,6 +41,21 @@ READERS = {
 OTHER_READER = "normativa técnica de edificación."
 PARTIAL_NOTICE = ("\nNOTA: El artículo es extenso. Solo se muestra la primera parte. Indica en notas_interpretacion que el "
                   "resumen es parcial y cubre solo la introducción.")
+WIKI_ANSWER = """El JSON debe tener EXACTAMENTE estas claves:
+{
+  "resumen": "2-3 frases claras sobre qué regula, qué exige y por qué importa.",
+  "notas_interpretacion": ["nota práctica 1", "nota práctica 2", "caso límite o excepción"],
+  "referencias_cruzadas": ["Art. X / Sección Y — motivo de la relación"],
+  "tags": ["tag1", "tag2", "tag3"]
+}
+
+Criterios:
+- resumen: directo, sin jerga innecesaria, orientado a aplicación práctica.
+- notas_interpretacion: advertencias reales, excepciones, casos frecuentes en proyecto.
+- referencias_cruzadas: SOLO artículos mencionados explícitamente en el texto proporcionado. No inventes referencias ni cites documentos externos que no aparezcan en el texto.
+- tags: conceptos técnicos clave (altura, retranqueo, resistencia al fuego, etc.).
+
+Solo JSON."""
 WIKI_SCHEMA = "resumen string, notas_interpretacion array<string>, referencias_cruzadas array<string>, tags array<string>"
 NO_NOTES, NO_REFS = "_Sin notas._", "_Sin referencias identificadas._"
 
@@ -113,6 +135,38 @@ def joined_context(picked: DataFrame, chunks: DataFrame) -> DataFrame:
                                                           lambda s: s["text_with_header"]), X.BLOCK_SEPARATOR).alias("context"))
 
 
+@dataclass
+class ParameterRun:
+    """``zones``: all zones with the extracted parameters; ``parameters``: one row a code; ``errors``: code, reason; ``summary``: codes by outcome."""
+
+    zones: DataFrame
+    parameters: DataFrame
+    errors: DataFrame
+    summary: DataFrame
+
+
+def parameter_flow(codes: DataFrame, chunks: DataFrame, zones: DataFrame, provider: TextProvider, search=None) -> ParameterRun:
+    """E5 as one flow: context of each ordinance (V9), request with the system text, answer, parameters into the zones (K8), errors.
+
+    ``codes``: code, vector. ``search``: what picks the chunks, ``ordinance_context`` if not given. A code without chunks is not asked. Each code is
+    asked once: the answers are written before they are used.
+    """
+    from regspark.operators.retrieve import ordinance_context
+
+    picked = (search or ordinance_context)(codes, chunks)
+    asked = codes.select("code").distinct().join(joined_context(picked, chunks), "code", "left")
+    empty = F.coalesce("context", F.lit("")) == ""
+    request = F.concat(F.lit(PARAMETER_SYSTEM + "\n\n"), parameter_prompt(F.col("code"), F.col("context")))
+    answered = add_completions(asked.filter(~empty).withColumn("_p", request), {"answer": "_p"}, provider).drop("_p")
+    none = F.lit(None).cast("string")
+    answers = cut_lineage(answered.select("code", "context", "answer", "error").unionByName(asked.filter(empty).select("code", "context", none.alias("answer"), none.alias("error"))))
+    good, bad = parse_parameters(answers)
+    named = good.withColumnRenamed("code", "ordinance")
+    held = zones.select(*zones.columns, *[F.lit(None).cast("double").alias(c) for c in X.PARAMETER_COLUMNS if c not in zones.columns])
+    outcome = good.select("code", F.lit(None).cast("string").alias("reason")).unionByName(bad)
+    return ParameterRun(update_where(held, named, "ordinance", X.PARAMETER_COLUMNS), good, bad, run_summary(outcome))
+
+
 def wiki_prompt() -> Column:
     """Metadata request of an article; columns kind, subkind, label, number, title, block, chapter, ordinance_code."""
     reader = F.lit(None).cast("string")
@@ -131,7 +185,7 @@ def wiki_prompt() -> Column:
         F.when(C.is_partial("block"), F.lit(PARTIAL_NOTICE)).otherwise(F.lit("")),
         F.lit("\nArtículo: "), "subkind", F.lit(" — Art. "), "number", F.lit(". "), "title", F.lit("\nTexto:\n"),
         F.substring("block", 1, X.WIKI_CHARS),
-        F.lit("\n\nEl JSON debe tener EXACTAMENTE estas claves: resumen, notas_interpretacion, referencias_cruzadas, tags.\n\nSolo JSON."))
+        F.lit("\n\n" + WIKI_ANSWER))
 
 
 def parse_wiki_answer(raw: Column | str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regspark.operators.ordered import last_by, row_numbers
+from regspark.session import cut_lineage
 
 
 def latest_state(log: DataFrame, key: str = "chunk_id", ts: str = "ts", tie: str | None = None) -> DataFrame:
@@ -70,6 +71,17 @@ def cache_aside(requests: DataFrame, cache: DataFrame, key: str, compute) -> tup
     return requests.join(cache.unionByName(added), [key]), added
 
 
+def stored_answers(requests: DataFrame, store, compute) -> DataFrame:
+    """K10 with a store (``KeyedStore``): the cached rows of the requests' keys, and of those that were missing; what is computed is stored
+    first, so a second run, or a run after a failure, finds it. ``compute`` maps the missing keys to rows."""
+    keys = requests.select(store.key).filter(F.col(store.key).isNotNull()).distinct()
+    missing = keys.join(store.read(keys).select(store.key), store.key, "left_anti")
+    missing = cut_lineage(missing)
+    if not missing.isEmpty():
+        store.merge(compute(missing))
+    return requests.join(store.read(keys), store.key)
+
+
 def fingerprint(df: DataFrame, name: str) -> DataFrame:
     """K5: row count and order-free content hash of a collection (one row)."""
     cols = sorted(df.columns)

@@ -18,6 +18,7 @@ from regspark.plans.catalog_segment import CHUNKS, ITEMS, REFS, _chunks, _md, _r
 from regspark.plans.catalog_text import CLEAN_ANSWER, keywords_sql, strip
 from regspark.providers import HashingEmbedding, WordOverlapScore, add_embeddings, score_column
 from regspark.session import ensure_checkpoint_dir
+from regspark.sources import files
 
 BASE = "WITH " + D.VECTOR_SQL
 
@@ -98,6 +99,13 @@ def _(spark, sf):
     return out.select("query_id", "chunk_id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+def _ordinance_vectors(spark, sf):
+    e = D.table(spark, sf, "embeddings")
+    family = F.concat(F.lit("U"), (F.col("label") + 1).cast("string"))
+    v = e.groupBy(family.alias("family")).agg(F.min_by("embedding", "vec_id").cast("array<double>").alias("vector"))
+    return v.select(F.explode(F.array(F.col("family"), F.concat("family", F.lit(".A")))).alias("code"), "vector")
+
+
 @register("v09_ordinance_context", f"""{BASE}, codes AS (SELECT DISTINCT 'U' || CAST(label + 1 AS VARCHAR) AS code FROM embeddings UNION SELECT 'U' || CAST(label + 1 AS VARCHAR) || '.A' FROM embeddings),
 cv AS (SELECT code, min(vec_id) AS vec FROM codes JOIN embeddings ON 'U' || CAST(label + 1 AS VARCHAR) = string_split(code, '.')[1] GROUP BY code),
 direct AS (SELECT ordinance_code AS code, row_number() OVER (PARTITION BY ordinance_code ORDER BY chunk_id) AS rank, chunk_id, 'filter' AS path FROM vchunks
@@ -106,10 +114,7 @@ sem AS (SELECT code, row_number() OVER (PARTITION BY code ORDER BY round(list_co
   FROM cv JOIN embeddings e ON e.vec_id = cv.vec, vchunks WHERE scope = 'urbano' AND code NOT IN (SELECT code FROM direct) QUALIFY rank <= 6)
 SELECT * FROM direct UNION ALL SELECT * FROM sem""")
 def _(spark, sf):
-    e = D.table(spark, sf, "embeddings")
-    family = F.concat(F.lit("U"), (F.col("label") + 1).cast("string"))
-    v = e.groupBy(family.alias("family")).agg(F.min_by("embedding", "vec_id").cast("array<double>").alias("vector"))
-    codes = v.select(F.explode(F.array(F.col("family"), F.concat("family", F.lit(".A")))).alias("code"), "vector")
+    codes = _ordinance_vectors(spark, sf)
     return V.ordinance_context(codes, D.vector_chunks(spark, sf))
 
 
@@ -289,6 +294,34 @@ def _(spark, sf):
     return ok.unionByName(bad.select(F.col("code").alias("id"), "reason", none.alias("buildability"), none.alias("max_height")))
 
 
+class _LengthAnswer:
+    """Answers that SQL can give, too: numbers from the length of the request."""
+
+    def complete(self, prompt: str) -> str:
+        n = len(prompt)
+        return "no lo sé" if n % 5 == 0 else f'```json\n{{"edificabilidad": {n}, "altura_maxima": {n % 9}, "retranqueo_frontal": null}}\n```'
+
+
+V9 = ORACLES["v09_ordinance_context"].rsplit("SELECT * FROM direct", 1)[0]
+
+
+@register("e05_parameter_flow", f"""{V9}, picked AS (SELECT * FROM direct UNION ALL SELECT * FROM sem),
+ctx AS (SELECT code, string_agg(header || chr(10) || chr(10) || text, {lit(X.BLOCK_SEPARATOR)} ORDER BY rank) AS context FROM picked JOIN vchunks USING (chunk_id) GROUP BY code),
+ask AS (SELECT code, length({lit(enrich.PARAMETER_SYSTEM)} || chr(10) || chr(10) || 'Ordenanza: ' || code || chr(10) || chr(10) || 'Normativa:' || chr(10) || context || chr(10) || chr(10) || {lit('Extrae exactamente este JSON:' + chr(10) + enrich.PARAMETER_SCHEMA)}) AS n FROM ctx),
+z AS (SELECT item_id AS zone, 'U' || CAST(item_id % 12 + 1 AS VARCHAR) || CASE WHEN item_id % 3 = 0 THEN '.A' ELSE '' END AS ordinance FROM benchmark)
+SELECT 'zone' AS kind, CAST(zone AS VARCHAR) AS name, CASE WHEN n % 5 <> 0 THEN CAST(n AS DOUBLE) ELSE -1 END AS buildability, CASE WHEN n % 5 <> 0 THEN CAST(n % 9 AS DOUBLE) ELSE -1 END AS max_height FROM (SELECT zone, coalesce(n, 0) AS n FROM z LEFT JOIN ask ON code = ordinance)
+UNION ALL SELECT 'json_error', code, -1, -1 FROM ask WHERE n % 5 = 0 UNION ALL SELECT 'sin_chunks', code, -1, -1 FROM codes WHERE code NOT IN (SELECT code FROM ask)""")
+def _(spark, sf):
+    codes = _ordinance_vectors(spark, sf)
+    chunks = D.vector_chunks(spark, sf).withColumn("text_with_header", F.concat("header", F.lit("\n\n"), "text"))
+    i = F.col("item_id")
+    name = F.concat(F.lit("U"), (i % 12 + 1).cast("string"), F.when(i % 3 == 0, ".A").otherwise(""))
+    run = enrich.parameter_flow(codes, chunks, D.table(spark, sf, "benchmark").select(i.alias("zone"), name.alias("ordinance")), _LengthAnswer())
+    none = F.lit(-1.0)
+    zones = run.zones.select(F.lit("zone").alias("kind"), F.col("zone").cast("string").alias("name"), F.coalesce("buildability", none).alias("buildability"), F.coalesce("max_height", none).alias("max_height"))
+    return zones.unionByName(run.errors.select(F.col("reason").alias("kind"), F.col("code").alias("name"), none.alias("buildability"), none.alias("max_height")))
+
+
 def _lines(label: str, col: str) -> str:
     return f"CASE WHEN coalesce({col}, '') <> '' THEN '{label}' || {col} || chr(10) ELSE '' END"
 
@@ -305,7 +338,7 @@ def _wiki_articles(spark, sf):
 @register("e06_wiki_prompts", f"""{MD_ART}, w AS ({KINDED}) SELECT source, pos, 'Eres un experto en ' || {READER} || chr(10) || chr(10) || 'Analiza el siguiente artículo y responde ÚNICAMENTE con un objeto JSON válido.' || chr(10)
 || 'Sin texto adicional, sin bloques markdown, sin ```json.' || chr(10) || chr(10) || 'Documento: ' || label || chr(10) || {_lines('Ordenanza: ', 'context_code')} || {_lines('Capítulo: ', 'chapter')}
 || CASE WHEN length(block) > 8000 THEN {lit(enrich.PARTIAL_NOTICE)} ELSE '' END || chr(10) || 'Artículo: ' || subkind || ' — Art. ' || number || '. ' || title || chr(10) || 'Texto:' || chr(10) || substr(block, 1, 8000)
-|| chr(10) || chr(10) || 'El JSON debe tener EXACTAMENTE estas claves: resumen, notas_interpretacion, referencias_cruzadas, tags.' || chr(10) || chr(10) || 'Solo JSON.' AS prompt FROM w""")
+|| chr(10) || chr(10) || {lit(enrich.WIKI_ANSWER)} AS prompt FROM w""")
 def _(spark, sf):
     return _wiki_articles(spark, sf).select("source", "pos", enrich.wiki_prompt().alias("prompt"))
 
@@ -349,13 +382,7 @@ def _(spark, sf):
     return j.select("query_id", chat.parcel_question_text(F.col("text"), F.concat(F.lit("ctx "), "language"), parcel).alias("user_text"))
 
 
-@register("e09_wiki_pages", f"""{MD_ART}, w AS ({KINDED}) SELECT source, pos, '---' || chr(10) || 'articulo: "' || number || '"' || chr(10) || 'titulo: "' || title || '"' || chr(10) || 'tipo_doc: "' || kind || '"' || chr(10) || 'subtipo: "Norma"' || chr(10)
-|| 'documento: "' || label || '"' || chr(10) || 'ordenanza: "' || context_code || '"' || chr(10) || 'capitulo: "' || chapter || '"' || chr(10) || 'generado: "2026-01-01"' || chr(10) || 'tags: [' || CASE WHEN pos % 2 = 0 THEN '"suelo urbano", "altura"' ELSE '' END || ']' || chr(10) || '---' || chr(10) || chr(10)
-|| '# Norma — Art. ' || number || '. ' || title || chr(10) || chr(10) || '> **Tipo:** `' || kind || '` | **Documento:** Norma | **Capítulo:** ' || chapter || ' | **Ordenanza:** ' || context_code || chr(10) || chr(10) || '## Resumen' || chr(10) || chr(10) || 'Resumen ' || number
-|| chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Texto Original' || chr(10) || chr(10) || block || chr(10) || chr(10) || CASE WHEN pos % 3 = 0 THEN '## Imágenes' || chr(10) || chr(10) || '![](http://a/1.png)' || chr(10) || chr(10) ELSE '' END
-|| '---' || chr(10) || chr(10) || '## Notas de Interpretación' || chr(10) || chr(10) || CASE WHEN pos % 2 = 0 THEN '- nota ' || number ELSE '_Sin notas._' END || chr(10) || chr(10) || '## Referencias Cruzadas' || chr(10) || chr(10) || '_Sin referencias identificadas._' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
-|| CASE WHEN pos % 2 = 0 THEN '#suelo_urbano #altura' ELSE '' END || chr(10) || '*Generado el 2026-01-01 con `offline`*' || chr(10) AS page FROM w""")
-def _(spark, sf):
+def _wiki_pages(spark, sf):
     none = F.array().cast("array<string>")
     even = F.col("pos") % 2 == 0
     a = _wiki_articles(spark, sf).withColumns({
@@ -365,6 +392,35 @@ def _(spark, sf):
     return a.select("source", "pos", enrich.wiki_page(F.lit("2026-01-01")).alias("page"))
 
 
+@register("e09_wiki_pages", f"""{MD_ART}, w AS ({KINDED}) SELECT source, pos, '---' || chr(10) || 'articulo: "' || number || '"' || chr(10) || 'titulo: "' || title || '"' || chr(10) || 'tipo_doc: "' || kind || '"' || chr(10) || 'subtipo: "Norma"' || chr(10)
+|| 'documento: "' || label || '"' || chr(10) || 'ordenanza: "' || context_code || '"' || chr(10) || 'capitulo: "' || chapter || '"' || chr(10) || 'generado: "2026-01-01"' || chr(10) || 'tags: [' || CASE WHEN pos % 2 = 0 THEN '"suelo urbano", "altura"' ELSE '' END || ']' || chr(10) || '---' || chr(10) || chr(10)
+|| '# Norma — Art. ' || number || '. ' || title || chr(10) || chr(10) || '> **Tipo:** `' || kind || '` | **Documento:** Norma | **Capítulo:** ' || chapter || ' | **Ordenanza:** ' || context_code || chr(10) || chr(10) || '## Resumen' || chr(10) || chr(10) || 'Resumen ' || number
+|| chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Texto Original' || chr(10) || chr(10) || block || chr(10) || chr(10) || CASE WHEN pos % 3 = 0 THEN '## Imágenes' || chr(10) || chr(10) || '![](http://a/1.png)' || chr(10) || chr(10) ELSE '' END
+|| '---' || chr(10) || chr(10) || '## Notas de Interpretación' || chr(10) || chr(10) || CASE WHEN pos % 2 = 0 THEN '- nota ' || number ELSE '_Sin notas._' END || chr(10) || chr(10) || '## Referencias Cruzadas' || chr(10) || chr(10) || '_Sin referencias identificadas._' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+|| CASE WHEN pos % 2 = 0 THEN '#suelo_urbano #altura' ELSE '' END || chr(10) || '*Generado el 2026-01-01 con `offline`*' || chr(10) AS page FROM w""")
+def _(spark, sf):
+    return _wiki_pages(spark, sf)
+
+
+@register("k11_page_files", f"SELECT source, CAST(pos AS VARCHAR) || '.md' AS name, md5(page) AS page_md5 FROM ({ORACLES['e09_wiki_pages']})")
+def _(spark, sf):
+    """Every page as a file of its own, written in two runs of which the second goes on where the first stopped, and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/wiki-{uuid.uuid4().hex}"
+    pages = _wiki_pages(spark, sf).select(F.concat("source", F.lit("/"), "pos", F.lit(".md")).alias("path"), F.col("page").alias("content"), "pos")
+    files.write_pages(pages.filter("pos % 2 = 0"), path)
+    files.write_pages(pages, path, header={"source": "articles"})
+    return spark.read.format("document_folder").load(path).select("source", "name", F.md5("text").alias("page_md5"))
+
+
+@register("s01_document_folder", """SELECT coalesce(nullif(source, ''), 'none') AS source, doc_id || '.txt' AS name, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, md5(coalesce(text, '')) AS text_md5 FROM documents""")
+def _(spark, sf):
+    """The documents as text files by source, read as a folder."""
+    path = f"{ensure_checkpoint_dir(spark)}/folder-{uuid.uuid4().hex}"
+    source = F.coalesce(F.nullif("source", F.lit("")), F.lit("none"))
+    files.write_pages(D.table(spark, sf, "documents").select(F.concat(source, F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content")), path, resume=False)
+    return spark.read.format("document_folder").option("suffix", ".txt").load(path).select("source", "name", "size", F.md5("text").alias("text_md5"))
+
+
 @register("w09_numeric_order", f"{REFS} SELECT ref_number, dense_rank() OVER (ORDER BY CAST(regexp_extract(ref_number, '^(\\d+)', 1) AS INT), TRY_CAST(regexp_extract(ref_number, '\\.(\\d+)$', 1) AS INT) NULLS FIRST) AS place FROM (SELECT DISTINCT ref_number FROM refs)")
 def _(spark, sf):
     # places come from counting smaller distinct sort keys per whole part, so no single global window is needed

@@ -147,6 +147,18 @@ def _(spark, sf):
     return out.select("req_id", "key", "value")
 
 
+@register("k10_stored_cache", ORACLES["k10_cache_aside"])
+def _(spark, sf):
+    """Three runs against one store: it is filled, half of the requests are answered, then all; each key is computed once."""
+    req = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("req_id"), F.concat(F.lit("K"), "o_custkey").alias("key"))
+    cache = D.table(spark, sf, "customer").select(F.concat(F.when(F.col("c_custkey") % 3 != 0, "K").otherwise("old"), "c_custkey").alias("key"), F.col("c_name").alias("value"))
+    store = KeyedStore(spark, f"{ensure_checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}", "key string, value string", key="key")
+    store.merge(cache)
+    compute = lambda miss: miss.withColumn("value", F.concat(F.lit("computed "), "key"))
+    ST.stored_answers(req.filter("req_id % 2 = 0"), store, compute)
+    return ST.stored_answers(req, store, compute).select("req_id", "key", "value")
+
+
 @register("k11_m04_pending_pages", f"{MD_ART} SELECT source, pos, number FROM art WHERE NOT (length(source) % 2 = 0 AND CAST(regexp_extract(number, '^(\\d+)', 1) AS INT) % 3 = 0)")
 def _(spark, sf):
     pages = _md(spark, sf).select("source", "pos", "number")
