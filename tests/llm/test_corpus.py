@@ -295,6 +295,50 @@ def test_spans_equal_brute_force_and_candidates_add(spark, docs):
     assert pii.find(d.limit(0)).collect() == []
 
 
+def test_numbers_side_by_side_are_found_one_by_one(spark):
+    cases = {
+        "call (212) 555-0187 (212) 555-0188 now": [("phone", "(212) 555-0187"), ("phone", "(212) 555-0188")],
+        "tel: 212-555-0187 / 212-555-0188": [("phone", "212-555-0187"), ("phone", "212-555-0188")],
+        "card 4111.1111.1111.1111 4111.1111.1111.1111 paid": [("card", "4111.1111.1111.1111"), ("card", "4111.1111.1111.1111")],
+        "call 10.1.2.3 212-555-0187 today": [("ip", "10.1.2.3"), ("phone", "212-555-0187")],
+        "phone 2024-01-15 212-555-0187 ok": [("phone", "212-555-0187")],
+        "version 1.2.3.4.5.6.7.8.9.10.11.12 and isbn 978-3-1234-5678-5": [],
+        "": [],
+    }
+    rows = pii.find(spark.createDataFrame([(t,) for t in cases], "text string")).collect()
+    got = {r.text: [(s.kind, r.text[s.start:s.end]) for s in r.spans if s.kind != "ip" or "10.1.2.3" in r.text] for r in rows}
+    assert got == cases
+    many = " ".join(f"({200 + i % 700}) 555-{1000 + i}" for i in range(400))
+    r = pii.find(spark.createDataFrame([("call " + many,)], "text string")).first()
+    assert sum(s.kind == "phone" for s in r.spans) >= 390
+
+
+def test_digit_runs_in_sql_equal_python(spark):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("0123456789" * 3 + " -./()+ab") for _ in range(rnd.randint(0, 90))) for _ in range(300)]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    m, g = pii._matches(F.col("text"), pii.NUMBER_LIKE)
+    placed = d.withColumn("m", m).withColumn("g", g).withColumn("p", pii._placed("m", "g"))
+    for r in placed.withColumn("r", F.expr(f"if(size(p) = 0, p, {pii._number_runs('p')})")).collect():
+        want = [(s, e, r.text[s:e], r.text[max(s - 24, 0):s], r.text[e:e + 24]) for s, e in pii.digit_runs(r.text)]
+        # the text beside a stretch goes back to the stretch before it only
+        assert [(c.start, c.end, c.m) for c in r.r] == [w[:3] for w in want], r.text
+        assert all(w[3].endswith(c.before) and w[4].startswith(c.after) for c, w in zip(r.r, want)), r.text
+
+
+def test_candidates_of_unseen_examples(spark):
+    """Trees fitted on one seed against examples of another: hardly a false span, most true ones."""
+    models = pii._models()
+    rows = spark.createDataFrame(pii.examples(600, seed=99), "kind string, m string, before string, after string")
+    got = rows.select("kind", F.struct("m", "before", "after").alias("x")).select("kind", *[F.expr(e).cast("double").alias(k) for k, e in pii.FEATURES.items()]).collect()
+    x, kinds = np.array([[float(v) for v in r[1:]] for r in got]), np.array([r[0] for r in got])
+    for k, model in models.items():
+        hit = model.p(x) >= model.threshold
+        assert (kinds[hit] == k).mean() >= 0.95, k
+        assert hit[kinds == k].mean() >= 0.6, (k, hit[kinds == k].mean())
+        print(k, (kinds[hit] == k).mean(), hit[kinds == k].mean())
+
+
 def test_boosted_trees_in_sql_equal_numpy(spark):
     from regspark.llm import boosting
 
