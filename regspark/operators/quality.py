@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 
-def extraction_report(articles: DataFrame) -> DataFrame:
-    """A1: articles, characters, mean, longest and shortest article (ties: smaller number)."""
+def extraction_report(articles: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A1: articles, characters, mean, longest and shortest article (ties: smaller number), of all or for each value of ``by``, such as the document."""
     longest = F.min_by("number", F.struct(-F.col("chars"), F.col("number")))
     shortest = F.min_by("number", F.struct(F.col("chars"), F.col("number")))
-    return articles.agg(F.count("*").alias("articles"), F.sum("chars").alias("chars"),
+    return articles.groupBy(*by or []).agg(F.count("*").alias("articles"), F.sum("chars").alias("chars"),
                         F.round(F.avg("chars"), 2).alias("mean_chars"), longest.alias("longest"), shortest.alias("shortest"))
 
 
@@ -34,10 +34,18 @@ def missing_numbers(present: DataFrame, last: int, first: int = 1) -> DataFrame:
     return wanted.join(present.select(F.col("number").try_cast("long").alias("number")).distinct(), "number", "left_anti")
 
 
-def paragraph_report(articles: DataFrame) -> DataFrame:
-    """A4: numbered and simple articles, their shares, total and mean paragraphs. ``articles``: kind, paragraphs (int)."""
+def missing_per_document(present: DataFrame, last: int, first: int = 1) -> DataFrame:
+    """(doc, number) of the numbers of a range that a document lacks; at most ``last - first + 1`` numbers are held for each."""
+    n = F.col("number").try_cast("long")
+    held = present.groupBy("doc").agg(F.collect_set(F.when(n.between(first, last), n)).alias("held"))
+    return held.select("doc", F.explode(F.array_except(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")), "held")).alias("number"))
+
+
+def paragraph_report(articles: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A4: numbered and simple articles, their shares, total and mean paragraphs, of all or for each value of ``by``. ``articles``: kind,
+    n_paragraphs."""
     n, numbered = F.count("*"), F.count_if(F.col("kind") == "numbered")
-    return articles.agg(n.alias("articles"), numbered.alias("numbered"), (n - numbered).alias("simple"),
+    return articles.groupBy(*by or []).agg(n.alias("articles"), numbered.alias("numbered"), (n - numbered).alias("simple"),
                         F.round(numbered * 100.0 / n, 1).alias("numbered_share"),
                         F.sum("n_paragraphs").cast("long").alias("paragraphs"),
                         F.round(F.sum("n_paragraphs") / F.nullif(numbered, F.lit(0)), 2).alias("mean_paragraphs"))

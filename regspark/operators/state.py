@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regspark.operators.ordered import last_by, row_numbers
+from regspark.operators.ordered import last_by
 from regspark.session import cut_lineage
 
 
@@ -55,13 +55,18 @@ def upsert(old: DataFrame, new: DataFrame, key: str, version: list[str]) -> Data
 
 
 def point_ids(existing_max: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """Ids that continue after the current count (the natural key is the better choice).
+    """Ids that continue after the current count (the natural key is the better choice), by rank, however sparse the order column is.
 
-    ``existing_max`` is one row: next_id. The order column is a unique whole number.
+    ``existing_max`` is one row: next_id. Rows are put into ranges of the order column and written once, so that a partition's rows stay
+    its rows; the sizes of the partitions before (a row a partition) are a row's base.
     """
-    numbered = row_numbers(new.withColumn("_all", F.lit(1)), ["_all"], order, "_n").drop("_all")
+    ranged = new.repartitionByRange(order).sortWithinPartitions(order)
+    placed = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id()))  # partition in the upper bits, row in the lower 33
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     base = existing_max.agg(F.coalesce(F.max("next_id"), F.lit(0)).cast("long").alias("base")).scalar()
-    return numbered.withColumn("point_id", base + F.col("_n") - 1).drop("_n")
+    return placed.withColumn("_part", part).join(sizes, "_part").select(*new.columns, (base + F.col("_before") + row).cast("long").alias("point_id"))
 
 
 def cache_aside(requests: DataFrame, cache: DataFrame, key: str, compute) -> tuple[DataFrame, DataFrame]:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from regspark.functions import fixed as X
 from regspark.functions import text as C
+from regspark.operators import partials as PS
 from regspark.operators import quality as Q
 from regspark.operators import segment as S
+from regspark.operators import streets as ST
 from regspark.operators.parcels import street_candidates
 from regspark.plans import derive as D
-from regspark.plans.catalog import lit, register
+from regspark.plans.catalog import ORACLES, lit, register
 from regspark.plans.catalog_segment import ARTICLES, CHUNKS, ITEMS, REAL, _arts, _chunks, _real
 from regspark.plans.catalog_text import street_sql, strip
+from regspark.session import ensure_checkpoint_dir
 from regspark.sources import cadastre, readers
 
 
@@ -22,6 +27,12 @@ def _(spark, sf):
     return Q.extraction_report(_real(spark, sf))
 
 
+@register("a01_extraction_report_per_document", f"""{REAL} SELECT doc, count(*) AS articles, sum(chars)::BIGINT AS chars, round(avg(chars), 2) AS mean_chars,
+first(number ORDER BY chars DESC, number) AS longest, first(number ORDER BY chars, number) AS shortest FROM real GROUP BY doc""")
+def _(spark, sf):
+    return Q.extraction_report(_real(spark, sf), ["doc"])
+
+
 @register("a02_duplicate_numbers", f"""{ARTICLES} SELECT doc, number, pos, heading, copies FROM (SELECT *, count(*) OVER (PARTITION BY doc, number) AS copies FROM arts) WHERE copies > 1""")
 def _(spark, sf):
     return Q.duplicate_numbers(_arts(spark, sf))
@@ -37,6 +48,19 @@ def _(spark, sf):
     return Q.missing_numbers(_arts(spark, sf), 182)
 
 
+@register("a03_missing_numbers_per_document", f"""{ARTICLES} SELECT doc, n AS number FROM (SELECT DISTINCT doc FROM arts) d, range(1, 183) t(n) WHERE NOT EXISTS (SELECT 1 FROM arts a WHERE a.doc = d.doc AND TRY_CAST(a.number AS BIGINT) = n)""")
+def _(spark, sf):
+    return Q.missing_per_document(_arts(spark, sf), 182)
+
+
+@register("a04_paragraph_report_per_document", f"""{REAL}, {ITEMS}, k AS (SELECT doc, len(ps) >= 2 AS num, CASE WHEN len(ps) >= 2 THEN len(its) ELSE 0 END AS n FROM items)
+SELECT doc, count(*) AS articles, count(*) FILTER (num) AS numbered, count(*) FILTER (NOT num) AS simple, round(count(*) FILTER (num) * 1e2 / count(*), 1) AS numbered_share,
+sum(n)::BIGINT AS paragraphs, round(sum(n)::DOUBLE / nullif(count(*) FILTER (num), 0), 2) AS mean_paragraphs FROM k GROUP BY doc""")
+def _(spark, sf):
+    s = _real(spark, sf).select("doc", S.numbered_paragraphs("body").alias("s"))
+    return Q.paragraph_report(s.select("doc", "s.kind", F.size("s.paragraphs").alias("n_paragraphs")), ["doc"])
+
+
 @register("a04_paragraph_report", f"""{REAL}, {ITEMS}, k AS (SELECT len(ps) >= 2 AS num, CASE WHEN len(ps) >= 2 THEN len(its) ELSE 0 END AS n FROM items)
 SELECT count(*) AS articles, count(*) FILTER (num) AS numbered, count(*) FILTER (NOT num) AS simple, round(count(*) FILTER (num) * 1e2 / count(*), 1) AS numbered_share,
 sum(n)::BIGINT AS paragraphs, round(sum(n)::DOUBLE / count(*) FILTER (num), 2) AS mean_paragraphs FROM k""")
@@ -83,6 +107,27 @@ def _(spark, sf):
     return Q.value_frequency(D.shared(spark, sf, "image_map"), "url")
 
 
+def _batches(spark, sf, rows, add, name):
+    """Three ingest batches of a table, the second of them twice, in a folder of partial states."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for k in (0, 1, 1, 2):
+        add(rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(3)) == k), folder, f"{k:04d}")
+    return folder
+
+
+@register("a09_merged_frequency", ORACLES["a09_url_frequency"])
+def _(spark, sf):
+    folder = _batches(spark, sf, D.shared(spark, sf, "image_map"), lambda d, f, b: PS.add_counts(d, ["url"], f, b), "urls")
+    return PS.merged_counts(spark, folder, ["url"])
+
+
+@register("a15_merged_progress", """SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars, count(*) FILTER (lang = 'en') AS english FROM documents GROUP BY source""")
+def _(spark, sf):
+    rows = D.table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    folder = _batches(spark, sf, rows, lambda d, f, b: PS.add_counts(d, ["source"], f, b, chars=F.col("n_chars"), english=F.when(F.col("lang") == "en", 1).otherwise(0)), "progress")
+    return PS.merged_counts(spark, folder, ["source"])
+
+
 @register("a13_most_frequent_value", "SELECT p_type, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, p_type LIMIT 1")
 def _(spark, sf):
     return Q.most_frequent(D.table(spark, sf, "part"), "p_type")
@@ -101,6 +146,26 @@ def _(spark, sf):
     return Q.image_totals(readers.deduplicated_images(docs))
 
 
+@register("a16_merged_image_totals", ORACLES["a16_image_totals"])
+def _(spark, sf):
+    docs = D._joined(D.shared(spark, sf, "image_parts"), "source", "ord", "part", "md")
+    rows = readers.deduplicated_images(docs).select("source", "hash")
+    folder = _batches(spark, sf, rows, lambda d, f, b: PS.add_distinct(d, "source", "hash", f, b), "images")
+    return PS.merged_distinct(spark, folder, "source", "hash").select("source", F.col("n").alias("images"), F.col("different").alias("unique_images"))
+
+
+FIRST_WORDS = "list_distinct(list_filter(string_split(lower(substr(text, 1, 60)), ' '), lambda x: x <> ''))"
+
+
+@register("c17_j15_shared_words", f"""WITH w AS (SELECT doc_id, {FIRST_WORDS} AS ws FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS id_a, b.doc_id AS id_b, len(list_intersect(a.ws, b.ws)) AS common FROM w a JOIN w b ON b.doc_id % 10 = 0 AND len(list_intersect(a.ws, b.ws)) >= 2""")
+def _(spark, sf):
+    """Pairs that share two of their first words; every tenth document stands for a street."""
+    ws = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 60)), " "), lambda x: x != ""))
+    rows = D.table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), ws.alias("tokens"))
+    return ST.sharing(rows, rows.filter("id % 10 = 0")).withColumn("common", F.col("common").cast("long"))
+
+
 @register("s11_layer_profile", f"""{D.with_shared('zone_boxes')} SELECT count(*) AS "rows", string_agg(DISTINCT CASE WHEN zone_id % 4 = 0 THEN 'Polygon' ELSE 'MultiPolygon' END, ',' ORDER BY CASE WHEN zone_id % 4 = 0 THEN 'Polygon' ELSE 'MultiPolygon' END) AS geometry_types FROM zone_boxes""")
 def _(spark, sf):
     z = D.shared(spark, sf, "zone_boxes").select(F.when(F.col("zone_id") % 4 == 0, "Polygon").otherwise("MultiPolygon").alias("kind"))

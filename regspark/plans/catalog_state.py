@@ -172,6 +172,12 @@ def _(spark, sf):
     return ST.point_ids(have, D.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 
 
+@register("w05_sparse_point_ids", "SELECT o_orderkey * 1000000007 AS sparse_key, (SELECT count(*) FROM customer) + row_number() OVER (ORDER BY o_orderkey) - 1 AS point_id FROM orders")
+def _(spark, sf):
+    have = D.table(spark, sf, "customer").agg(F.count("*").alias("next_id"))
+    return ST.point_ids(have, D.table(spark, sf, "orders").select((F.col("o_orderkey").cast("long") * 1000000007).alias("sparse_key")), "sparse_key")
+
+
 @register("s13_collection_page", "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND doc_id > 100 ORDER BY doc_id LIMIT 50")
 def _(spark, sf):
     return ST.scroll(D.table(spark, sf, "documents"), "doc_id", 100, 50, F.col("lang") == "en", ["doc_id", "source", "n_chars"])
