@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regspark.functions import fixed as X
-from regspark.functions.text import _col
+from regspark.functions.text import _col, let
 
 DEG = math.pi / 180.0
 METRES_PER_DEGREE = X.MEAN_EARTH_RADIUS * DEG
@@ -168,6 +168,69 @@ def ring_area(rings: Column | str) -> Column:
     return F.abs(twice) / 2.0 * F.lit(METRES_PER_DEGREE) * F.lit(METRES_PER_DEGREE) * F.cos(F.radians(y0))
 
 
+def _depths(rings: Column) -> Column:
+    """How many other rings hold the first point of each ring: even for an outer ring, odd for a hole."""
+    def depth(ring: Column, i: Column) -> Column:
+        inside = F.transform(rings, lambda other, j: F.when((j != i) & contains_point(F.array(other), ring[0]["lon"], ring[0]["lat"]), 1).otherwise(0))
+        return F.aggregate(inside, F.lit(0), lambda a, x: a + x)
+
+    return F.transform(rings, depth)
+
+
+def parts(rings: Column | str) -> Column:
+    """The polygons of a shape as ``array<array<ring>>``: each outer ring with its holes behind it, in order of the outer rings.
+
+    A shape of one ring is a shape of one part. Rings are told apart by what holds them, not by their direction; rings of a shape must not
+    cross. An island in a hole is a part of its own. Null stays null.
+    """
+    rings = _col(rings)
+
+    def grouped(d: Column) -> Column:
+        marked = F.zip_with(rings, d, lambda r, k: F.struct(r.alias("ring"), k.alias("depth")))
+        own = lambda o: F.filter(marked, lambda h: (h["depth"] == o["depth"] + 1) & contains_point(F.array(o["ring"]), h["ring"][0]["lon"], h["ring"][0]["lat"]))
+        return F.transform(F.filter(marked, lambda o: o["depth"] % 2 == 0), lambda o: F.concat(F.array(o["ring"]), F.transform(own(o), lambda h: h["ring"])))
+
+    return let(_depths(rings), grouped)
+
+
+def _moments(ring: Column) -> Column:
+    """``struct<a, x, y>``: unsigned area of a ring in square degrees, and its centroid (its first point if the area is zero)."""
+    x0, y0 = ring[0]["lon"], ring[0]["lat"]
+
+    def part(p: Column, q: Column) -> Column:
+        px, py, qx, qy = p["lon"] - x0, p["lat"] - y0, q["lon"] - x0, q["lat"] - y0
+        w = px * qy - qx * py
+        return F.struct(w.alias("w"), ((px + qx) * w).alias("x"), ((py + qy) * w).alias("y"))
+
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    total = F.aggregate(_edges(ring, part), zero, lambda a, e: F.struct((a["w"] + e["w"]).alias("w"), (a["x"] + e["x"]).alias("x"), (a["y"] + e["y"]).alias("y")))
+    return let(total, lambda t: F.struct((F.abs(t["w"]) / 2).alias("a"), (x0 + F.coalesce(t["x"] / F.nullif(t["w"] * 3.0, F.lit(0.0)), F.lit(0.0))).alias("x"),
+                                           (y0 + F.coalesce(t["y"] / F.nullif(t["w"] * 3.0, F.lit(0.0)), F.lit(0.0))).alias("y")))
+
+
+def parts_centroid(shape: Column | str) -> Column:
+    """``struct<lon, lat>`` of all parts (``array<array<ring>>``) without their holes; of the first outer ring where the area is zero."""
+    weighed = F.flatten(F.transform(_col(shape), lambda p: F.transform(p, lambda r, i: let(_moments(r), lambda m: F.struct(F.when(i == 0, m["a"]).otherwise(-m["a"]).alias("a"), m["x"].alias("x"), m["y"].alias("y"))))))
+
+    def mean(w: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        total = F.aggregate(w, zero, lambda s, m: F.struct((s["a"] + m["a"]).alias("a"), (s["x"] + m["a"] * m["x"]).alias("x"), (s["y"] + m["a"] * m["y"]).alias("y")))
+        return let(total, lambda t: F.struct(F.coalesce(t["x"] / F.nullif(t["a"], F.lit(0.0)), w[0]["x"]).alias("lon"), F.coalesce(t["y"] / F.nullif(t["a"], F.lit(0.0)), w[0]["y"]).alias("lat")))
+
+    return let(weighed, mean)
+
+
+def parts_area(shape: Column | str) -> Column:
+    """Square metres of all parts (``array<array<ring>>``) without their holes, each ring in its local plane."""
+    signed = F.flatten(F.transform(_col(shape), lambda p: F.transform(p, lambda r, i: F.when(i == 0, ring_area(F.array(r))).otherwise(-ring_area(F.array(r))))))
+    return F.aggregate(signed, F.lit(0.0), lambda a, x: a + x)
+
+
+def parts_contain(shape: Column, lon: Column, lat: Column) -> Column:
+    """Whether a point lies in some part and in none of its holes."""
+    return F.exists(shape, lambda p: contains_point(p, lon, lat))
+
+
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Closed rectangle as rings."""
     def pt(x: Column, y: Column) -> Column:

@@ -93,6 +93,22 @@ def _(spark, sf):
     return c.select("parcel_ref", F.round("c.lon", 9).alias("lon"), F.round("c.lat", 9).alias("lat"))
 
 
+MULTI = f"""{D.with_shared('parcel_boxes')}, m AS (SELECT parcel_ref, x0, y0, x1, y1, x1 - x0 AS w, y1 - y0 AS h FROM parcel_boxes)"""
+
+
+@register("g05_s09_multi_part_centroids", f"""{MULTI} SELECT parcel_ref, 3 AS parts, 4 AS rings, round((w * h * (x0 + w / 2) - w * h / 4 * (x0 + w / 2) + w * h / 100 * (x0 + w / 2) + w * h * (x0 + w * 3 / 2 + 1e-3)) / (w * h * 1.76e0), 9) AS lon,
+round(y0 + h / 2, 9) AS lat FROM m""")
+def _(spark, sf):
+    """A box with a hole, an island in the hole and a second box beside it, in any order of rings."""
+    p = D.shared(spark, sf, "parcel_boxes").withColumns({"w": F.col("x1") - F.col("x0"), "h": F.col("y1") - F.col("y0")})
+    at = lambda c, size, k: F.col(c) + F.col(size) * k
+    square = lambda a, b, shift=0.0: G.box(at("x0", "w", a) + shift, at("y0", "h", a), at("x0", "w", b) + shift, at("y0", "h", b))[0]
+    beside = G.box(at("x0", "w", 1.0) + 1e-3, F.col("y0"), at("x0", "w", 2.0) + 1e-3, F.col("y1"))[0]
+    shape = p.select("parcel_ref", G.parts(F.array(square(0.25, 0.75), square(0.0, 1.0), beside, square(0.45, 0.55))).alias("s"))
+    c = shape.select("parcel_ref", F.size("s").alias("parts"), F.aggregate("s", F.lit(0), lambda a, x: a + F.size(x)).alias("rings"), G.parts_centroid("s").alias("c"))
+    return c.select("parcel_ref", "parts", "rings", F.round("c.lon", 9).alias("lon"), F.round("c.lat", 9).alias("lat"))
+
+
 LOOKUP = f"""exact AS (SELECT point_id, min(parcel_ref) AS parcel_ref FROM points JOIN parcel_boxes ON {inside()} GROUP BY point_id),
 near AS (SELECT point_id, parcel_ref, {box_metres()} AS metres FROM points, parcel_boxes WHERE point_id NOT IN (SELECT point_id FROM exact) AND metres <= 50
   QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY metres, parcel_ref) = 1),

@@ -122,15 +122,17 @@ def _features(f: DataFrame) -> DataFrame:
                     F.col("f.attributes.cod").alias("cod"), F.col("f.geometry.rings").alias("rings"))
 
 
-def layer(df: DataFrame, name: str, x: str | None = None) -> DataFrame:
-    """The known columns of a cadastral layer, lower-case names, NaN to NULL, rings (Web Mercator) to WGS84."""
+def layer(df: DataFrame, name: str, x: str | None = None, multi: bool = False) -> DataFrame:
+    """The known columns of a cadastral layer, lower-case names, NaN to NULL, rings (Web Mercator) to WGS84; with ``multi`` also the shape as
+    ``parts``, where a single polygon is promoted to a shape of one part."""
     low = df.toDF(*[c.lower() for c in df.columns])
     keep = [c for c in LAYER_COLUMNS[name] if c in low.columns]
     doubles = {f.name for f in low.schema if f.dataType.simpleString() in ("double", "float")}
     cols = [F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) if c in doubles else F.col(c) for c in keep]
     if x and x.lower() in low.columns:
         cols.append(G.rings_to_wgs84(x.lower()).alias("rings"))
-    return low.select(*cols)
+    out = low.select(*cols)
+    return out.withColumn("parts", G.parts("rings")) if multi and "rings" in out.columns else out
 
 
 def load_layer(df: DataFrame, name: str, path: str, replace: bool = False, rings: str | None = None) -> None:

@@ -31,6 +31,24 @@ def test_same_streets_are_those_that_are_not_different(spark):
     assert got == want and (0, 1) in got and (2, 0) not in got
 
 
+def test_shapes_of_several_parts(spark):
+    from regspark.functions import geometry as G
+
+    ring = lambda x0, y0, x1, y1, turn=False: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)][:: -1 if turn else 1]
+    outer, hole, island, other = ring(0.0, 0.0, 4.0, 4.0), ring(1.0, 1.0, 3.0, 3.0), ring(1.5, 1.5, 2.5, 2.5, True), ring(10.0, 0.0, 12.0, 1.0, True)
+    rows = [(1, [outer]), (2, [hole, other, outer, island]), (3, None), (4, [outer, hole]), (5, [ring(1.0, 1.0, 1.0, 1.0)])]
+    d = spark.createDataFrame(rows, "id int, rings array<array<struct<lon:double,lat:double>>>").withColumn("s", G.parts("rings"))
+    got = {r.id: r for r in d.select("id", "s", G.parts_centroid("s").alias("c"), G.parts_area("s").alias("a"), *[G.parts_contain(F.col("s"), F.lit(x), F.lit(y)).alias(k) for k, x, y in (("edge", 0.5, 0.5), ("hole", 1.2, 1.2), ("island", 2.0, 2.0), ("far", 11.0, 0.5))]).collect()}
+    plain = lambda s: [[[tuple(p) for p in r] for r in part] for part in s]
+    assert plain(got[1].s) == [[outer]] and plain(got[2].s) == [[other], [outer, hole], [island]] and got[3].s is None and plain(got[4].s) == [[outer, hole]]
+    assert (got[1].c.lon, got[1].c.lat) == (2.0, 2.0)
+    area = 16 - 4 + 1 + 2
+    assert abs(got[2].c.lon - (13 * 2 + 2 * 11) / area) < 1e-12 and abs(got[2].c.lat - (13 * 2 + 2 * 0.5) / area) < 1e-12
+    assert (got[5].c.lon, got[5].c.lat, got[5].a) == (1.0, 1.0, 0.0)
+    assert [(got[i].edge, got[i].hole, got[i].island, got[i].far) for i in (1, 2, 4)] == [(True, True, True, False), (True, False, True, True), (True, False, False, False)]
+    assert abs(got[4].a / (12 * G.METRES_PER_DEGREE ** 2) - 1) < 0.01
+
+
 def test_sketches_merge_within_their_error(spark, tmp_path):
     rows = spark.range(60_000).select(F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"), F.sha2((F.col("id") % 20_000).cast("string"), 256).alias("hash"))
     for k in range(4):
