@@ -90,7 +90,14 @@ def _(spark, sf):
     return V.rerank(f, 12).select("query_id", "chunk_id", "rank", "rrf_score", "rerank_score")
 
 
-@register("v07_v08_rerank_on_with_floor")
+WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+RERANKED = f"CASE WHEN {' OR '.join(f'contains(lower(query), {lit(t)})' for t in X.RERANK_TERMS)} THEN {lit(X.RERANK_PREFIX)} || query ELSE query END"
+
+
+@register("v07_v08_rerank_on_with_floor", f"""{BASE}, {topk()}, {fused()}, w AS (SELECT query_id, list_distinct({WORDS.format(RERANKED)}) AS asked FROM vqueries),
+t AS (SELECT chunk_id, {WORDS.format('text')} AS held FROM vchunks),
+s AS (SELECT query_id, chunk_id, CASE WHEN len(asked) > 0 THEN CAST(len(list_intersect(asked, held)) AS DOUBLE) / len(asked) ELSE 0 END AS score FROM fused JOIN w USING (query_id) JOIN t USING (chunk_id))
+SELECT query_id, chunk_id, rank, round(score, 6) AS rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 12) WHERE score >= 5e-2""")
 def _(spark, sf):
     q, c = D.benchmark_queries(spark, sf), D.vector_chunks(spark, sf)
     f = V.rank_fusion(V.similarity_hits(q, c)).join(q.select("query_id", "query"), "query_id").join(
@@ -245,7 +252,7 @@ def _(spark, sf):
     return c.select("chunk_id", "paragraph_no", t["view_summary"].alias("view_summary"), t["view_questions"].alias("view_questions"))
 
 
-@register("e02_hashing_vectors")
+@register("e02_hashing_vectors", r"SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[\p{L}\p{N}_]') THEN 1e0 ELSE 0e0 END AS norm FROM documents")
 def _(spark, sf):
     d = D.table(spark, sf, "documents").select("doc_id", "text")
     v = add_embeddings(d, {"vector": "text"}, HashingEmbedding(64))
