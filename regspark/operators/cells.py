@@ -87,10 +87,11 @@ def _sample(chunks: DataFrame, col: str, id_col: str, sample: int) -> np.ndarray
 
 
 def build_index(chunks: DataFrame, folder: str, views: dict[str, str] | None = None, id_col: str = "chunk_id", code: Column | None = None,
-                cells: int = 64, sample: int = 20_000, block_rows: int = 1024) -> CellIndex:
-    """Writes the index of a collection. ``code``: what queries may be restricted to."""
+                cells: int | None = None, sample: int = 20_000, block_rows: int = 1024) -> CellIndex:
+    """Writes the index of a collection. ``code``: what queries may be restricted to. ``cells``: 64, or one for each 256 sampled vectors if that is less."""
     views = views or V.VIEWS
-    centres = {v: fit_centres(_sample(chunks, c, id_col, sample), cells) for v, c in views.items()}
+    samples = {v: _sample(chunks, c, id_col, sample) for v, c in views.items()}
+    centres = {v: fit_centres(x, cells or max(1, min(64, len(x) // 256))) for v, x in samples.items()}
     id_type = chunks.schema[id_col].dataType
     flat = chunks.select(F.col(id_col).alias("id"), (F.lit("") if code is None else F.coalesce(code.cast("string"), F.lit(""))).alias("code"), *[F.col(c).cast("array<double>").alias(v) for v, c in views.items()])
     names = ["view", "cell", "angle", "code", "id", "vector"]
