@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions import fixed as X
-from regspark.operators.ordered import neighbour, preceding, running_sum
+from regspark.operators.segscan import scan
 
 # --- fixed values: answer request texts ---
 LANGUAGE_SUFFIX = {
@@ -27,21 +27,19 @@ PARCEL_TAIL = ("\n\nResponde siguiendo esta estructura:\n1. Datos de la parcela
 RULE = "═" * 40
 
 
-def history(messages: DataFrame, n: int = X.HISTORY_MESSAGES, keys: list[str] | None = None) -> DataFrame:
+def history(messages: DataFrame, n: int = X.HISTORY_MESSAGES) -> DataFrame:
     """The ``n`` messages before each one, oldest first. ``messages``: conv_id, turn, role, text."""
-    return preceding(messages, keys or ["conv_id"], "turn", F.struct("role", "text"), n, "history")
+    return scan(messages, ["conv_id"], "turn", tails={"history": (F.struct("role", "text"), n)})
 
 
 def sessions(messages: DataFrame) -> DataFrame:
     """Session number per conversation; it goes up when the active parcel ``rc`` changes."""
-    prev = neighbour(messages, ["conv_id"], "turn", {"rc": "_rc"}, step=-1)
-    changed = (F.col("_rc").isNotNull() & (F.col("_rc") != F.col("rc"))).cast("int")
-    return running_sum(prev, ["conv_id"], "turn", changed, "session").drop("_rc")
+    return scan(messages, ["conv_id"], "turn", run=("session", F.col("rc")))
 
 
 def session_history(messages: DataFrame, n: int = X.HISTORY_MESSAGES) -> DataFrame:
-    """W1 + W2: history that starts again when the parcel changes."""
-    return history(sessions(messages), n, ["conv_id", "session"])
+    """W1 + W2: history that starts again when the parcel changes, in the same scan as the session numbers."""
+    return scan(messages, ["conv_id"], "turn", tails={"history": (F.struct("role", "text"), n)}, run=("session", F.col("rc")))
 
 
 def system_text(base: Column, language: Column) -> Column:

@@ -11,6 +11,7 @@ from regspark.operators import segment as S
 from regspark.plans import derive as D
 from regspark.plans.catalog import lit, register
 from regspark.plans.catalog_text import FOOT, TIDY, chain, flag_sql, scope_sql, strip
+from regspark.session import cut_lineage
 
 PLAIN = f"{D.with_shared('page_texts')}, plain_docs AS ({D.DOC_SQL['plain_docs']})"
 
@@ -334,10 +335,11 @@ bad AS (SELECT DISTINCT source, note_id FROM cited WHERE (source, slug) NOT IN (
 SELECT source, note_id, regexp_replace(regexp_replace(ref, {lit(WIKI)}, '[[art-\1]]', 'g'), '(\[\[art-\d+)\.(\d+\]\])', '\1-\2', 'g') AS linked FROM notes
 WHERE (source, note_id) NOT IN (SELECT (source, note_id) FROM bad)""")
 def _(spark, sf):
-    refs = _refs(spark, sf)
+    real = cut_lineage(_real(spark, sf).select("doc", "number", "body"))  # written once: references and slugs both read it
+    refs = R.extract_references(real, ["doc", "number"], "body")
     notes = refs.select(F.col("doc").alias("source"), F.concat("number", F.lit("/"), "ref_number").alias("note_id"), F.concat(
         F.lit("Véase Art. "), "ref_number", F.lit(" y artículo "), "number", F.lit(" — "), "ref_source").alias("ref"))
-    slugs = _real(spark, sf).select(F.col("doc").alias("source"), C.article_slug("number").alias("slug"))
+    slugs = real.select(F.col("doc").alias("source"), C.article_slug("number").alias("slug"))
     return R.wikilinks(notes, slugs).select("source", "note_id", "linked")
 
 

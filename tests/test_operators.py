@@ -13,6 +13,7 @@ from regspark.operators import parcels as P
 from regspark.operators import retrieve as V
 from regspark.operators import spatial as SP
 from regspark.operators import state as ST
+from regspark.operators.segscan import scan
 from regspark.providers import HashingEmbedding, WordOverlapScore, add_embeddings, score_column
 
 
@@ -49,6 +50,50 @@ def test_blocked_windows_equal_plain_windows(skewed):
             last = h if h is not None else last
 
 
+@pytest.mark.parametrize("ranges", [1, 40])
+def test_scan_equals_plain_loops(spark, skewed, ranges):
+    """Sums, runs and tails over range borders: a hot key over many ranges, ranges of few rows, sparse positions, null keys and values."""
+    _, rows = skewed
+    rows = [(None if k == 7 else k, pos * 1_000_000_007, v, h) for k, pos, v, h in rows]
+    df = spark.createDataFrame(rows, "k int, pos long, v int, h string").repartition(5)
+    value = F.when(F.col("v") != 2, F.col("v") > 0)  # null, true or false
+    with_runs = scan(df, ["k"], "pos", {"t": (F.struct("h", "v"), 3)}, {"s": F.when(F.col("v") < 4, F.col("v"))}, ("r", value), ranges)
+    plain = scan(df, ["k"], "pos", {"t": (F.col("h"), 6)}, {"s": F.lit(1)}, ranges=ranges)
+    got, numbered = [{r["pos"]: r for r in d.collect()} for d in (with_runs, plain)]
+    assert len(got) == len(numbered) == len(rows)
+    for group in by_key(rows).values():
+        total, run, since = 0, 0, 0
+        for i, (_, pos, v, h) in enumerate(group):
+            known = [None if g[2] == 2 else g[2] > 0 for g in group[max(i - 1, 0):i + 1]]
+            if i and None not in known and known[0] != known[1]:
+                run, since = run + 1, i
+            total += v if v < 4 else 0
+            assert (got[pos]["r"], got[pos]["s"]) == (run, total)
+            assert [tuple(x) for x in got[pos]["t"]] == [(g[3], g[2]) for g in group[max(since, i - 3):i]]
+            assert numbered[pos]["s"] == i + 1 and numbered[pos]["t"] == [g[3] for g in group[max(0, i - 6):i]]
+
+
+def test_scan_of_nothing_and_clashing_names(spark):
+    empty = spark.createDataFrame([], "k int, pos long, v int")
+    out = scan(empty, ["k"], "pos", {"t": (F.col("v"), 2)}, {"s": F.col("v")}, ("r", F.col("v")))
+    assert out.columns == ["k", "pos", "v", "s", "r", "t"] and out.count() == 0
+    with pytest.raises(ValueError):
+        scan(empty, ["k"], "pos", sums={"v": F.col("v")})
+
+
+def test_scan_evaluates_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(1000).selectExpr("id % 3 k", "id pos").mapInArrow(count, "k long, pos long")
+    assert scan(df, ["k"], "pos", {"t": (F.col("pos"), 2)}, {"s": F.lit(1)}).count() == 1000
+    assert seen.value == 1000
+
+
 def test_first_last_and_top(skewed):
     df, rows = skewed
     groups = by_key(rows)
