@@ -6,7 +6,7 @@ A crowded cell is split by Spark's adaptive skew join, so one city block with a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regspark.functions import fixed as X
@@ -102,30 +102,75 @@ def polygons_within(points: DataFrame, polygons: DataFrame, point_id: str, poly_
 
 
 def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, cell: float = 0.01,
-                    growth: int = 4) -> DataFrame:
-    """The nearest polygon of every point, at any distance. Returns point_id, poly_id, metres.
+                    growth: int = 8) -> DataFrame:
+    """The nearest polygon of every point, at any distance, ties to the smaller id. Returns point_id, poly_id, metres.
 
-    Cells grow until every point has an answer that no polygon outside the searched ring can beat; only points
-    without one go to the next level, with one checkpoint per level. At the last level a cell is wider than the globe.
+    Points with an answer in the ring of cells around them that no polygon outside can beat are done; the others go down a
+    pyramid of occupied cells (``nearest_by_pyramid``). Polygons without an edge and points without a place have no answer.
     """
     kx = G.METRES_PER_DEGREE * F.cos(F.radians(F.least(F.abs("lat"), F.lit(89.0))))
-    shapes = polygons.select(poly_id, "rings")
-    rest, found, size = points.select(point_id, "lon", "lat"), None, cell
-    while True:
-        last = size >= 360
-        j = _candidates(rest, shapes, size, 1)
-        inside = G.contains_point(F.col("rings"), F.col("lon"), F.col("lat"))
-        d = F.when(inside, F.lit(0.0)).otherwise(G.distance_to_rings(F.col("rings"), F.col("lon"), F.col("lat")))
-        best = j.select(point_id, F.struct(F.round(d, 3).alias("metres"), F.col(poly_id)).alias("b")) \
-            .groupBy(point_id).agg(F.min("b").alias("b"))
-        sure = F.coalesce(F.col("b.metres") <= kx * size, F.lit(False)) | F.lit(last)
-        level = cut_lineage(rest.join(best, point_id, "left").withColumn("sure", sure))
-        done = level.filter(F.col("sure") & F.col("b").isNotNull()).select(point_id, f"b.{poly_id}", "b.metres")
-        found = done if found is None else found.unionByName(done)
-        rest = level.filter(~F.col("sure")).select(point_id, "lon", "lat")
-        if last or rest.isEmpty():
-            return found
-        size *= growth
+    shapes = polygons.select(poly_id, "rings").filter(F.exists("rings", lambda r: F.size(r) > 1))
+    rest = points.select(point_id, "lon", "lat")
+    best = _candidates(rest, shapes, cell, 1).select(point_id, F.struct(_metres().alias("metres"), F.col(poly_id)).alias("b")) \
+        .groupBy(point_id).agg(F.min("b").alias("b"))
+    near = cut_lineage(rest.join(best, point_id, "left").withColumn("sure", F.coalesce(F.col("b.metres") <= kx * cell, F.lit(False))))
+    found = near.filter("sure").select(point_id, f"b.{poly_id}", "b.metres")
+    rest = near.filter("not sure").select(point_id, "lon", "lat")
+    return found if rest.isEmpty() else found.unionByName(nearest_by_pyramid(rest, shapes, point_id, poly_id, cell, growth))
+
+
+def _metres() -> Column:
+    inside = G.contains_point(F.col("rings"), F.col("lon"), F.col("lat"))
+    return F.round(F.when(inside, F.lit(0.0)).otherwise(G.distance_to_rings(F.col("rings"), F.col("lon"), F.col("lat"))), 3)
+
+
+def nearest_by_pyramid(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, cell: float, growth: int = 8) -> DataFrame:
+    """The nearest polygon at any distance, by exact geometry on ``pyramid_pairs``."""
+    pairs = pyramid_pairs(points, polygons, point_id, poly_id, cell, growth)
+    best = pairs.select(point_id, F.struct(_metres().alias("metres"), F.col(poly_id)).alias("b")).groupBy(point_id).agg(F.min("b").alias("b"))
+    return best.select(point_id, f"b.{poly_id}", "b.metres")
+
+
+def pyramid_pairs(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, cell: float, growth: int = 8) -> DataFrame:
+    """Each point with the polygons that may be its nearest, best bounds first. Polygons have at least one edge.
+
+    Each polygon stands in one cell of each level, that of the middle of its box; a cell knows the box around what it holds. A point
+    starts with the few cells of a level wider than the globe. At each level the farthest corner of the best box bounds the answer, boxes
+    that begin beyond it go, and the others give way to their cells of the next finer level, at last to the boxes of polygons. Equal
+    shapes are one, under their smallest id.
+    """
+    own = polygons.groupBy("rings").agg(F.min(poly_id).alias(poly_id))
+    box = F.struct(*[c.alias(n) for n, c in G.bbox("rings").items()])
+    size, levels = cell / growth, 0
+    while size * growth**levels < 360:
+        levels += 1
+    own = own.withColumn("_box", box)
+    own = cut_lineage(own.withColumns({"_cx": F.floor((F.col("_box.xmin") + F.col("_box.xmax")) / (2 * size)).cast("long"),
+                                       "_cy": F.floor((F.col("_box.ymin") + F.col("_box.ymax")) / (2 * size)).cast("long")}))
+    at = lambda n: F.struct(F.lit(n).alias("_lv"), *[F.floor(F.col(c) / F.lit(float(growth**n))).cast("long").alias(c) for c in ("_cx", "_cy")])
+    cells = cut_lineage(own.select("_box", F.inline(F.array(*[at(n) for n in range(levels + 1)]))).groupBy(*CELL).agg(F.struct(
+        *[f(F.col("_box")[c]).alias(c) for c, f in (("xmin", F.min), ("xmax", F.max), ("ymin", F.min), ("ymax", F.max))]).alias("_box")))
+
+    # a point is also seen from the other side of longitude 180
+    seen = points.select(point_id, "lat", F.explode(F.array(*[F.col("lon") + turn for turn in (0.0, 360.0, -360.0)])).alias("lon"))
+    front = _in_bounds(seen.withColumn("_lv", F.lit(levels)).join(F.broadcast(cells.filter(F.col("_lv") == levels)), "_lv"), point_id)
+    for n in reversed(range(levels)):
+        parent = [F.floor(F.col(c) / F.lit(growth)).cast("long").alias(c) for c in ("_cx", "_cy")]
+        finer = cells.filter(F.col("_lv") == n).select(*parent, F.struct("_cx", "_cy", "_box").alias("_c"))
+        front = front.select(point_id, "lon", "lat", "_cx", "_cy").join(finer, ["_cx", "_cy"])
+        front = _in_bounds(front.select(point_id, "lon", "lat", "_c.*"), point_id)
+    last = front.select(point_id, "lon", "lat", "_cx", "_cy").join(own.select(poly_id, "_box", "_cx", "_cy"), ["_cx", "_cy"])
+    return _in_bounds(last, point_id).select(point_id, "lon", "lat", poly_id).join(own.select(poly_id, "rings"), poly_id)
+
+
+def _in_bounds(front: DataFrame, point_id: str) -> DataFrame:
+    """Rows of which the box may hold the nearest polygon of the point; two millimetres more, as distances are rounded."""
+    b, lon, lat, none = F.col("_box"), F.col("lon"), F.col("lat"), F.lit(0.0)
+    kx, ky = F.cos(F.radians(lat)) * F.lit(G.METRES_PER_DEGREE), F.lit(G.METRES_PER_DEGREE)
+    least = F.hypot(F.greatest(b["xmin"] - lon, lon - b["xmax"], none) * kx, F.greatest(b["ymin"] - lat, lat - b["ymax"], none) * ky)
+    most = F.hypot(F.greatest(F.abs(b["xmin"] - lon), F.abs(b["xmax"] - lon)) * kx, F.greatest(F.abs(b["ymin"] - lat), F.abs(b["ymax"] - lat)) * ky)
+    bound = F.min(most).over(Window.partitionBy(point_id))
+    return front.withColumns({"_least": least, "_bound": bound}).filter(F.col("_least") <= F.col("_bound") + 0.002).drop("_least", "_bound")
 
 
 def zone_of_parcels(parcels: DataFrame, zones: DataFrame, parcel_id: str = "parcel_ref", zone_id: str = "zone_id",

@@ -150,6 +150,30 @@ def test_nearest_polygon_equals_brute_force_with_a_crowded_cell(spark):
         assert (pid in within) == (want[0] <= 3000.0)
 
 
+def test_nearest_polygon_far_away_compares_few_pairs(spark):
+    """Points far from all polygons: the answers of brute force, with exact geometry for a small part of the pairs; copies and empty shapes."""
+    rng = random.Random(8)
+    zones = []
+    for i in range(300):
+        x, y = rng.choice([(-8.7, 42.2), (3.0, 40.0), (-60.0, -30.0)])
+        x, y = x + rng.random() * 0.5, y + rng.random() * 0.5
+        zones.append((i, [[(x, y), (x + 3e-4, y), (x + 1e-4, y + 4e-4), (x, y)]]))
+    zones += [(1000 + i, zones[7][1]) for i in range(50)] + [(2000, []), (2001, None), (2002, [[(0.0, 0.0)]])]
+    pts = [(i, rng.uniform(-170, 170), rng.uniform(-80, 80)) for i in range(40)] + [(90, None, 1.0)]
+    shapes, points = spark.createDataFrame(zones, RINGS), spark.createDataFrame(pts, "point_id int, lon double, lat double")
+    got = {r["point_id"]: (r["metres"], r["zone_id"]) for r in SP.nearest_polygon(points, shapes, "point_id", "zone_id").collect()}
+    turned = [(z, [[(x + t, y) for x, y in ring] for ring in r]) for z, r in zones[:300] for t in (0, 360, -360)]
+    for pid, lon, lat in pts[:-1]:
+        want = min((round(brute_distance(r, lon, lat), 3), z) for z, r in turned)
+        assert got[pid][0] == pytest.approx(want[0], abs=0.002) and got[pid][1] == want[1]
+    assert got.keys() == {p[0] for p in pts[:-1]}
+    assert SP.nearest_polygon(points, shapes.filter("zone_id >= 2000"), "point_id", "zone_id").count() == 0
+    places = points.filter("lon is not null")
+    pairs = SP.pyramid_pairs(places, shapes.filter("zone_id < 2000"), "point_id", "zone_id", 0.01)
+    assert 40 <= pairs.count() < 0.05 * 40 * 300  # all others are ruled out by bounds; the 51 copies are one shape
+    assert "Cartesian" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_huge_polygon_stays_a_few_cells(spark):
     big = [[(-180.0, -80.0), (180.0, -80.0), (180.0, 80.0), (-180.0, 80.0), (-180.0, -80.0)]]
     small = [[(0.0, 0.0), (0.001, 0.0), (0.001, 0.001), (0.0, 0.001), (0.0, 0.0)]]
