@@ -28,7 +28,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``node, root``: a row for each node that has a link; root is the smallest node of its component. ``links``: columns a, b."""
+    """``node, root``: a row for each node that has a link, but for the roots themselves; root is the smallest node of its component. ``links``: columns a, b."""
     links = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(most_rounds):

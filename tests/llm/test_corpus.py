@@ -76,6 +76,28 @@ def test_simhash_groups_equal_brute_force(docs):
     assert simhash.near_duplicates(d.limit(0)).collect() == [] and simhash.without_near_duplicates(d.limit(0)).collect() == []
 
 
+def test_simhash_smallest_id_at_the_root(spark):
+    """The row with the smallest id may hold the smallest fingerprint of its component."""
+    rnd = random.Random(3)
+    words = [f"w{rnd.randrange(300)}" for _ in range(300)]
+    texts = {}
+    for k in range(40):
+        own = list(words)
+        own[rnd.randrange(300)] = f"x{k}"
+        texts[" ".join(own)] = np.int64(np.uint64(brute_fingerprint(" ".join(own))).view(np.int64))
+    rows = [(i, t) for i, t in enumerate(sorted(texts, key=texts.get))]
+    fps = np.array([brute_fingerprint(t) for _, t in rows], np.uint64)
+    sets = Sets(len(rows))
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2):
+            sets.tie(i, int(j))
+    least = {}
+    for i, _ in rows:
+        least[sets.find(i)] = min(least.get(sets.find(i), i), i)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(fps.tolist())) > len(least) and got == {i: least[sets.find(i)] for i, _ in rows}
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3])
 def test_index_loses_no_link(spark, bits):
     rng = np.random.default_rng(1)
