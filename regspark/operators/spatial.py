@@ -46,9 +46,15 @@ def _wrapped(p: DataFrame, reach: Column) -> DataFrame:
     turns = F.concat(F.array(F.lit(0.0)), F.when(box["xmin"] - reach < -180, F.array(F.lit(360.0))).otherwise(none),
                      F.when(box["xmax"] + reach > 180, F.array(F.lit(-360.0))).otherwise(none))
     q, by = p.withColumn("_turn", F.explode(turns)), F.col("_turn")
-    moved = F.transform("rings", lambda r: F.transform(r, lambda x: F.struct((x["lon"] + by).alias("lon"), x["lat"].alias("lat"))))
     shifted = F.struct((box["xmin"] + by).alias("xmin"), (box["xmax"] + by).alias("xmax"), box["ymin"].alias("ymin"), box["ymax"].alias("ymax"))
-    return q.withColumns({"rings": F.when(by == 0, F.col("rings")).otherwise(moved), "_box": shifted}).drop("_turn")
+    return q.withColumn("_box", shifted)
+
+
+def _turned(p: DataFrame) -> DataFrame:
+    """Rings moved by ``_turn`` degrees of longitude, as their box is."""
+    by = F.col("_turn")
+    moved = F.transform("rings", lambda r: F.transform(r, lambda x: F.struct((x["lon"] + by).alias("lon"), x["lat"].alias("lat"))))
+    return p.withColumn("rings", F.when(by == 0, F.col("rings")).otherwise(moved)).drop("_turn")
 
 
 def _pointed(points: DataFrame, cell: float, levels: list[int]) -> DataFrame:
@@ -61,10 +67,14 @@ def _pointed(points: DataFrame, cell: float, levels: list[int]) -> DataFrame:
     return points.select("*", F.inline(F.array(*[at(n) for n in levels])))
 
 
-def _candidates(points: DataFrame, polygons: DataFrame, cell: float, margin: int, pad_lon: Column | None = None) -> DataFrame:
-    """Point-polygon pairs that share a cell; the list of levels has at most 21 values."""
+def _candidates(points: DataFrame, polygons: DataFrame, poly_id: str, cell: float, margin: int, pad_lon: Column | None = None) -> DataFrame:
+    """Point-polygon pairs that share a cell; the list of levels has at most 21 values. Only boxes are copied to the cells, the
+    rings join the pairs that callers leave after a test of the box. Sizes are guessed before cells are exploded and rings are
+    built, so both joins are merges: no side goes whole through the driver."""
     levels = sorted(r["_lv"] for r in _with_level(polygons, cell).select("_lv").distinct().collect()) or [0]
-    return _pointed(points, cell, levels).join(_cells(polygons, cell, margin, pad_lon), CELL)
+    boxes = _cells(polygons, cell, margin, pad_lon).select(poly_id, "_box", "_turn", *CELL)
+    met = _pointed(points, cell, levels).join(boxes.hint("merge"), CELL)
+    return _turned(met.join(polygons.select(poly_id, "rings").hint("merge"), poly_id))
 
 
 def _near_box(pad_lon=0.0, pad_lat=0.0):
@@ -78,7 +88,7 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly
 
     ``points``: point_id, lon, lat. ``polygons``: poly_id, rings. Returns point_id, poly_id.
     """
-    j = _candidates(points.select(point_id, "lon", "lat"), polygons.select(poly_id, "rings"), cell, 0)
+    j = _candidates(points.select(point_id, "lon", "lat"), polygons.select(poly_id, "rings"), poly_id, cell, 0)
     inside = j.filter(_near_box() & G.contains_point(F.col("rings"), F.col("lon"), F.col("lat")))
     return inside.groupBy(point_id).agg(F.min(poly_id).alias(poly_id))
 
@@ -91,7 +101,7 @@ def polygons_within(points: DataFrame, polygons: DataFrame, point_id: str, poly_
     cell = metres / G.METRES_PER_DEGREE / 0.17
     north = F.greatest(F.abs(F.col("_box.ymin")), F.abs(F.col("_box.ymax"))) + 1.001 * metres / G.METRES_PER_DEGREE
     pad_lon = F.least(F.lit(180.0), 1.001 * metres / G.METRES_PER_DEGREE / F.cos(F.radians(F.least(north, F.lit(89.9999)))))
-    j = _candidates(points.select(point_id, "lon", "lat"), polygons.select(poly_id, "rings"), cell, 1, pad_lon)
+    j = _candidates(points.select(point_id, "lon", "lat"), polygons.select(poly_id, "rings"), poly_id, cell, 1, pad_lon)
     d = F.when(G.contains_point(F.col("rings"), F.col("lon"), F.col("lat")), F.lit(0.0)) \
         .otherwise(G.distance_to_rings(F.col("rings"), F.col("lon"), F.col("lat")))
     reach = 1.001 * metres / G.METRES_PER_DEGREE
@@ -111,7 +121,7 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly_
     kx = G.METRES_PER_DEGREE * F.cos(F.radians(F.least(F.abs("lat"), F.lit(89.0))))
     shapes = polygons.select(poly_id, "rings").filter(F.exists("rings", lambda r: F.size(r) > 1))
     rest = points.select(point_id, "lon", "lat")
-    best = _candidates(rest, shapes, cell, 1).select(point_id, F.struct(_metres().alias("metres"), F.col(poly_id)).alias("b")) \
+    best = _candidates(rest, shapes, poly_id, cell, 1).select(point_id, F.struct(_metres().alias("metres"), F.col(poly_id)).alias("b")) \
         .groupBy(point_id).agg(F.min("b").alias("b"))
     near = cut_lineage(rest.join(best, point_id, "left").withColumn("sure", F.coalesce(F.col("b.metres") <= kx * cell, F.lit(False))))
     found = near.filter("sure").select(point_id, f"b.{poly_id}", "b.metres")

@@ -314,3 +314,14 @@ def test_polygons_near_the_poles_and_across_the_date_line(spark):
     assert {p: z for p, (z, _) in got.items()} == {1: 1, 2: 2, 4: 4} and all(m <= 50 for _, m in got.values())
     nearest = {r.point_id: (r.zone_id, r.metres) for r in SP.nearest_polygon(points, zones, "point_id", "zone_id").collect()}
     assert nearest[2][0] == 2 and nearest[2][1] < 60 and nearest[3][0] == 3
+
+
+@pytest.mark.parametrize("name", ["g06_nearby_parcel", "g09_resolution_chain"])
+def test_no_side_of_the_cell_join_is_broadcast(spark, sf, name):
+    """Sizes are guessed before cells are exploded, so a broadcast would send millions of cells through the driver."""
+    from regspark.plans import catalog, derive
+
+    catalog.load_all()
+    met = SP.lookup_parcel(derive.shared(spark, sf, "points"), derive.parcels(spark, sf), "point_id")
+    assert "BroadcastExchange" not in met._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in catalog.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
