@@ -205,3 +205,10 @@ def test_questions_are_embedded_once(spark):
     q = spark.range(20).select(F.col("id").alias("query_id"), F.concat(F.lit("altura "), "id").alias("text"), F.lit("U1").alias("code"), F.lit("es").alias("language"), F.expr("cast(array() as array<struct<role:string,text:string>>)").alias("history"))
     retrieval.answer_requests(q, chunks, Counting(8), [("altura", ["alto"])], "system").collect()
     assert seen.value == 40
+
+
+def test_only_postings_of_the_terms_are_kept(spark):
+    texts = spark.createDataFrame([(1, "abcdef xyz"), (2, "zb")], "id int, text string")
+    asked = spark.createDataFrame([("bcde",), ("z",), (None,), ("",)], "term string")
+    kept = terms._of_terms(terms.postings(texts, "id", "text"), asked, "term", 3)
+    assert sorted((r.gram, r.id, r.place) for r in kept.collect()) == [("bcd", 1, 2), ("cde", 1, 3), ("z" + terms.END * 2, 1, 10), ("zb" + terms.END, 2, 1)]
