@@ -37,8 +37,8 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h * _ODD) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def pieces(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Slices of a batch of some MB (a longer text is a slice alone): first row, bytes, offsets of the slice's texts."""
+def pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Slices of a batch of 1 MB (a longer text is a slice alone), as n-grams take some 100 bytes a byte of text: first row, bytes, offsets of the slice's texts."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None and offsets[-1] else np.zeros(0, np.uint8)

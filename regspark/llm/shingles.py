@@ -32,6 +32,7 @@ from regspark.llm.words import whole_groups
 
 POSITIONS, IN_SET, LEAST_EQUAL = 192, 6, 134
 SETS = POSITIONS // IN_SET
+_COMPARED = 4 << 20  # bytes of signatures compared at once; where nearly all pairs reach the minimum, four such arrays are held
 _MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, POSITIONS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -150,7 +151,7 @@ def apart(entries: DataFrame, tied: DataFrame, sigs: DataFrame, slice_rows: int
             out: list[np.ndarray] = []
             for s, e in zip(edge[:-1], edge[1:]):
                 asks = s + np.flatnonzero(few[s:e])
-                step = max(1, (32 << 20) // (POSITIONS * (e - s)))
+                step = max(1, _COMPARED // (POSITIONS * (e - s)))
                 for i in range(0, len(asks), step):
                     q = asks[i:i + step]
                     equal = (sig[q, None] == sig[None, s:e]).sum(axis=2, dtype=np.int16)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from regspark.llm import periods
+from regspark.llm import periods, quality
 from regspark.llm.passages import without_repeats
 from regspark.llm.periods import Catcher, periodic_runs, runs_of
 from regspark.llm.queries import QUERIES
@@ -255,3 +255,16 @@ def test_a_very_long_text(spark):
     assert found[2].n_words == 7_000_001 and [tuple(r) for r in found[2].runs] == [(600, 800, 400)]
     got = {r.doc_id: r for r in without_repeats(docs).select("doc_id", "n_words", "cuts").collect()}
     assert [tuple(c) for c in got[2].cuts] == [(500, 700), (1000, 1100)]
+
+
+def test_scoring_a_batch_holds_little_beside_its_text():
+    import tracemalloc
+
+    text = " ".join(random.Random(1).choices(["alpha", "beta", "gamma9"], k=700))
+    model = quality.Model(np.zeros(1 << quality.BITS, np.float32), np.zeros(1 << quality.BITS, np.float32))
+    batch = pa.array([text] * 1200)  # 4.5 MB
+    tracemalloc.start()
+    scored = sum(len(model.z(data, offsets)) for _, data, offsets in quality.pieces(batch))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scored == len(batch) and most < 120e6
