@@ -325,3 +325,23 @@ def test_no_side_of_the_cell_join_is_broadcast(spark, sf, name):
     met = SP.lookup_parcel(derive.shared(spark, sf, "points"), derive.parcels(spark, sf), "point_id")
     assert "BroadcastExchange" not in met._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in catalog.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_shared_steps_of_an_expression_are_computed_once(spark):
+    """A lambda computes what it refers to again for each element, so a step that several refer to stands in the plan once."""
+    from regspark.functions import features as FE
+
+    def plan(column):
+        return spark.range(1).select(F.concat(F.lit("Rúa "), F.col("id")).alias("a"), "id").select(column.alias("x"))._jdf.queryExecution().analyzed().toString()
+
+    assert plan(FE.address_variants("a")).count("regexp_replace(") == 1
+    point = F.struct(F.sin("id").alias("lon"), F.lit(1.0).alias("lat"))
+    assert plan(G.parts(F.array(F.array(point, point, point, point)))).count("SIN(") == 4
+    rows = spark.createDataFrame([("Rúa do Príncipe 12",), ("Urzáiz",), ("",), (None,), ("  rúa  7 ",)], "a string").select(FE.address_variants("a").alias("v")).collect()
+    assert all(r.v is None or len({x.lower() for x in r.v}) == len(r.v) for r in rows) and rows[3].v == [] and rows[2].v == []
+
+
+def test_a_table_in_one_file_is_spread_before_heavy_rows(spark):
+    from regspark.plans import derive
+
+    assert all(derive.shared(spark, "/root/testdata/sf0.001", n).rdd.getNumPartitions() >= 8 for n in ("addresses", "parcel_boxes"))
