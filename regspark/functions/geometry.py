@@ -183,14 +183,12 @@ def parts(rings: Column | str) -> Column:
     A shape of one ring is a shape of one part. Rings are told apart by what holds them, not by their direction; rings of a shape must not
     cross. An island in a hole is a part of its own. Null stays null.
     """
-    rings = _col(rings)
-
-    def grouped(d: Column) -> Column:
-        marked = F.zip_with(rings, d, lambda r, k: F.struct(r.alias("ring"), k.alias("depth")))
+    def grouped(marked: Column) -> Column:
         own = lambda o: F.filter(marked, lambda h: (h["depth"] == o["depth"] + 1) & contains_point(F.array(o["ring"]), h["ring"][0]["lon"], h["ring"][0]["lat"]))
         return F.transform(F.filter(marked, lambda o: o["depth"] % 2 == 0), lambda o: F.concat(F.array(o["ring"]), F.transform(own(o), lambda h: h["ring"])))
 
-    return let(_depths(rings), grouped)
+    # the rings are computed once, as is what each ring is compared with
+    return let(_col(rings), lambda rings: let(F.zip_with(rings, _depths(rings), lambda r, k: F.struct(r.alias("ring"), k.alias("depth"))), grouped))
 
 
 def _moments(ring: Column) -> Column:
