@@ -212,3 +212,22 @@ def test_only_postings_of_the_terms_are_kept(spark):
     asked = spark.createDataFrame([("bcde",), ("z",), (None,), ("",)], "term string")
     kept = terms._of_terms(terms.postings(texts, "id", "text"), asked, "term", 3)
     assert sorted((r.gram, r.id, r.place) for r in kept.collect()) == [("bcd", 1, 2), ("cde", 1, 3), ("z" + terms.END * 2, 1, 10), ("zb" + terms.END, 2, 1)]
+
+
+@pytest.mark.parametrize("q", [1, 3, 4])
+def test_places_of_a_text_are_a_row_a_gram(spark, q):
+    """A text of n characters gives a row for each different q-gram, not for each place; long texts are cut into stretches."""
+    rows = [(1, "abcabc ñ😀abc" * 9), (2, ""), (3, None), (4, "a"), (5, "ab" * 40)]
+    data = spark.createDataFrame(rows, "id int, text string")
+    want = sorted((r.gram, r.id, r.place) for r in terms.postings(data, "id", "text", q).collect())
+    for most in (1 << 20, 7):
+        got = terms.places(data, "id", "text", q, most).collect()
+        assert sorted((r.gram, r.id, p) for r in got for p in r.places) == want
+    assert len([r for r in terms.places(data, "id", "text", q).collect() if r.id == 5]) <= 2 * q + 2
+
+
+def test_the_stored_index_has_no_row_a_place(spark, tmp_path):
+    folder = str(tmp_path / "i")
+    terms.add_to_index(folder, spark.createDataFrame([(1, "abc" * 1000)], "id int, text string"), "0001", "id", "text")
+    kept = [f for f in tmp_path.rglob("batch=0001") if f.parent.name not in ("texts", "grams")]
+    assert len(kept) == 1 and spark.read.parquet(str(kept[0])).count() == 5
