@@ -6,7 +6,7 @@ gives one edge row for each range (its last group so far), the edges are carried
 what the ranges before leave them. Edges are as many as ranges, each with at most ``n`` values a column, whatever the number of rows.
 
 The input is evaluated once (``cut_lineage``); sampling the bounds and both passes read what was written. Both passes share one exchange
-with a fixed number of ranges, so they see the same rows in a range, also after a lost executor.
+with one number of ranges, which grows with the rows, so they see the same rows in a range, also after a lost executor.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 
 from regspark.session import cut_lineage
 
+RANGE_ROWS = 20_000  # a range holds about so many rows, so what a task sorts does not grow with the input
+
 
 def _differs(col: pa.Array, before: pa.Array) -> np.ndarray:
     """Whether each value differs from the one before; null equals null."""
@@ -114,13 +116,14 @@ def scan(df: DataFrame, keys: list[str], pos: str, tails: dict[str, tuple[Column
     different values; with it, tails hold only rows of the same run. Rows that are equal in keys and position stand in any order, so
     positions should be unique. Null keys are one group, null positions come first; an empty input gives no row. New names must be free.
     """
-    tails, sums, ranges = tails or {}, sums or {}, ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tails, sums = tails or {}, sums or {}
     names = [*sums, *([run[0]] if run else []), *tails]
     if set(names) & set(df.columns):
         raise ValueError(f"columns exist already: {sorted(set(names) & set(df.columns))}")
     helper = {n: f"_v{i}" for i, n in enumerate(names)}
     values = {**{n: c.cast("long") for n, c in sums.items()}, **({run[0]: run[1]} if run else {}), **{n: c for n, (c, _) in tails.items()}}
     held = cut_lineage(df.select("*", *[values[n].alias(helper[n]) for n in names]))
+    ranges = ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), held.count() // RANGE_ROWS + 1)
     placed = held.repartitionByRange(ranges, *keys, pos).sortWithinPartitions(*keys, pos).withColumn("_part", F.spark_partition_id())
     sized = {helper[n]: k for n, (_, k) in tails.items()}
     added, watched = [helper[n] for n in sums], helper[run[0]] if run else None

@@ -345,3 +345,12 @@ def test_a_table_in_one_file_is_spread_before_heavy_rows(spark):
     from regspark.plans import derive
 
     assert all(derive.shared(spark, "/root/testdata/sf0.001", n).rdd.getNumPartitions() >= 8 for n in ("addresses", "parcel_boxes"))
+
+
+def test_ranges_of_a_scan_grow_with_the_rows(spark, monkeypatch):
+    from regspark.operators import segscan
+
+    monkeypatch.setattr(segscan, "RANGE_ROWS", 50)
+    out = scan(spark.range(2000).select(F.lit(1).alias("k"), "id"), ["k"], "id", sums={"s": F.lit(1)})
+    per_range = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(per_range) <= 200 and sorted(r.s for r in out.collect()) == list(range(1, 2001))
