@@ -111,14 +111,15 @@ def combined_record(addresses: DataFrame, property_refs: DataFrame, units: DataF
 def resolve(inputs: DataFrame, by_ref: DataFrame, by_point: DataFrame, by_address: DataFrame) -> DataFrame:
     """Parcel of each input by reference, else coordinates, else address, with the method used.
 
-    Candidate tables: input_id, parcel_ref. The best candidate is a partial aggregate, not a window.
+    Candidate tables: input_id, parcel_ref. The best candidate is a partial aggregate, not a window. It is joined by merge: there are
+    about as many as inputs, too many for the driver.
     """
     cands = None
     for priority, (method, df) in enumerate((("ref", by_ref), ("coordinates", by_point), ("address", by_address))):
         part = df.select("input_id", F.struct(F.lit(priority).alias("p"), F.col("parcel_ref"), F.lit(method).alias("method")).alias("c"))
         cands = part if cands is None else cands.unionByName(part)
     best = cands.groupBy("input_id").agg(F.min("c").alias("c"))
-    return inputs.join(best, "input_id", "left").select(*inputs.columns, "c.parcel_ref", F.coalesce("c.method", F.lit("none")).alias("method"))
+    return inputs.join(best.hint("merge"), "input_id", "left").select(*inputs.columns, "c.parcel_ref", F.coalesce("c.method", F.lit("none")).alias("method"))
 
 
 def street_candidates(addresses: DataFrame, streets: DataFrame) -> DataFrame:

@@ -195,9 +195,10 @@ def zone_of_parcels(parcels: DataFrame, zones: DataFrame, parcel_id: str = "parc
 
 def lookup_parcel(points: DataFrame, parcels: DataFrame, point_id: str, parcel_id: str = "parcel_ref",
                   metres: float = X.NEARBY_METRES) -> DataFrame:
-    """Parcel under each point; misses get the nearest parcel within reach, with distance and flag."""
-    exact = point_in_polygon(points, parcels, point_id, parcel_id, 0.001)
-    missed = points.join(exact.select(point_id), point_id, "left_anti")
+    """Parcel under each point; misses get the nearest parcel within reach, with distance and flag. The hits, which grow with
+    the points, are computed once and joined by merge, so they do not go through the driver."""
+    exact = cut_lineage(point_in_polygon(points, parcels, point_id, parcel_id, 0.001))  # read again by the anti join and the union
+    missed = points.join(exact.select(point_id).hint("merge"), point_id, "left_anti")
     near = polygons_within(missed, parcels, point_id, parcel_id, metres)
     return exact.select(point_id, parcel_id, F.lit(0.0).alias("metres"), F.lit(False).alias("by_proximity")).unionByName(
         near.select(point_id, parcel_id, "metres", F.lit(True).alias("by_proximity")))

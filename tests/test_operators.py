@@ -327,6 +327,17 @@ def test_no_side_of_the_cell_join_is_broadcast(spark, sf, name):
     assert "BroadcastHashJoin" not in catalog.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["g06_nearby_parcel", "g09_resolution_chain"])
+def test_look_up_hits_are_not_broadcast_while_it_runs(spark, sf, name):
+    """Adaptive execution turns a join into a broadcast one as long as its hits fit under the threshold; they grow with the points."""
+    from regspark.plans import catalog
+
+    catalog.load_all()
+    df = catalog.QUERIES[name](spark, sf)
+    df.collect()
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_shared_steps_of_an_expression_are_computed_once(spark):
     """A lambda computes what it refers to again for each element, so a step that several refer to stands in the plan once."""
     from regspark.functions import features as FE
