@@ -12,6 +12,8 @@ FOOTERS = [
     (r"S\.E\.P\.I\.A\..*?\n", False),
     (r"onalletsac.*?\n", False),
 ]
+# a text without these words has no match of the pattern in the same place above
+FOOTER_WORDS = ["REVISIÓN DEL", " de ", "OFICINA DE PLANEAMIENTO", "S.E.P.I.A.", "onalletsac"]
 
 # --- fixed values: HTML ---
 REMOVED_TAGS = ["script", "style", "nav", "header", "footer", "iframe"]
@@ -33,6 +35,7 @@ MD_CHAPTER = r"^#{1,2}\s+(?:CAP[ÍI]TULO|T[ÍI]TULO)\s+(.+?)$"
 ORDINANCE_CODE = r"[UNR]\d+(?:\.[A-Z0-9]+)?"
 ORDINANCE_CODE_COMPAT = r"[UNR]\d+(?:\.\d+)?"
 IMAGE_TAG = r"\[IMAGEN_\d+\]"
+IMAGE_WORD = "[IMAGEN_"  # stands in every image tag
 INLINE_IMAGE = r"!\[Image\]\(data:image[^)]+\)"
 INLINE_IMAGE_PARTS = r"!\[Image\]\(data:image/(png|jpeg|jpg);base64,([^)]+)\)"
 PIPE_TABLE = r"(\|[^\n]+\|\n(?:\|[-:]+\|[-:\s|]*\n)?(?:\|[^\n]+\|\n)+)"
@@ -82,6 +85,10 @@ REFERENCES = [
     (3, "none", r"(?:conforme|según|establecido|previsto|atender[áa])\s+(?:al|en\s+el|a\s+lo\s+establecido\s+en\s+el)"
                 r"\s+" + ART + r"\b()"),
 ]
+# a lower-case text without one of these has no match of the reference pattern in the same place; no letter that other letters
+# fold to (i, s, k) is among them
+REFERENCE_WORDS = [["norma"], ["“", "”", '"'], ["tuc"], ["reglam", "ley"], ["art"], ["ley"], ["decreto", "reglam"],
+                   ["onforme", "gún", "tablec", "prev", "atender"]]
 OWN_SOURCE = "esta Normativa"
 NO_SOURCE = "no especificada"
 REFERENCE_CORRECTIONS = [("18", "DE", "Ley 37/2015"), ("2", "DE", "Ley 37/2015"), ("44.6", "DE", "Ley de Costas")]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from regspark.functions import fixed as X
 
 MARK = "\u0001"
+WHITE = " \t\n\u000b\f\r"
 
 
 def _col(c: Column | str) -> Column:
@@ -18,8 +19,8 @@ def _col(c: Column | str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of ASCII white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Trim every kind of ASCII white space, not only blanks; only the ends are looked at."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def contains_any(c: Column, terms: list[str]) -> Column:
@@ -60,7 +61,8 @@ def carried(values: Column, block: int = 256) -> Column:
             lambda blocks: F.flatten(F.zip_with(F.transform(blocks, running), running(F.transform(blocks, F.array_max)),
                                                 lambda o, top: F.transform(o, lambda j: F.greatest(j, top))))))
 
-    return let(values, lambda v: F.transform(before(v), lambda j: F.when(j >= 0, F.get(v, j))))
+    # without any value the array of NULLs is its own answer
+    return let(values, lambda v: F.when(F.exists(v, lambda x: x.isNotNull()), F.transform(before(v), lambda j: F.when(j >= 0, F.get(v, j)))).otherwise(v))
 
 
 def matches(c: Column, pattern: str, group: int = 0) -> Column:
@@ -69,7 +71,7 @@ def matches(c: Column, pattern: str, group: int = 0) -> Column:
 
 def split_at(c: Column, pattern: str) -> Column:
     """Cut a text before every match of ``pattern``; piece 0 is the text before the first match."""
-    clean = F.regexp_replace(c, MARK, "")
+    clean = F.replace(c, F.lit(MARK), F.lit(""))
     return F.split(F.regexp_replace(clean, pattern, MARK + "$0"), MARK, -1)
 
 
@@ -90,10 +92,13 @@ def plain_text(html: Column | str) -> Column:
 
 
 def remove_footers(text: Column | str) -> Column:
-    """Page boilerplate."""
+    """Page boilerplate. A pattern is tried only where its fixed words occur, which costs much less to find out."""
+    def without(pattern: str, words: str):
+        return lambda t: F.when(t.contains(words), F.regexp_replace(t, pattern, "")).otherwise(t)
+
     out = _col(text)
-    for pattern, dotall in X.FOOTERS:
-        out = F.regexp_replace(out, ("(?s)" if dotall else "") + pattern, "")
+    for (pattern, dotall), words in zip(X.FOOTERS, X.FOOTER_WORDS, strict=True):
+        out = let(out, without(("(?s)" if dotall else "") + pattern, words))
     return out
 
 

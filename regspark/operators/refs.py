@@ -19,21 +19,22 @@ def number_parts(number: Column | str) -> list[Column]:
 
 def reference_candidates(text: Column | str, compat: bool = False) -> Column:
     """Every match of the prioritised patterns as ``array<struct<priority, pattern, pos, number, source>>``."""
-    text = _col(text)
     naming = {
         "own": lambda s: F.lit(X.OWN_SOURCE), "none": lambda s: F.lit(X.NO_SOURCE),
         "law": lambda s: F.concat(F.lit("Ley "), s), "named": lambda s: s, "acronym": F.upper,
     }
     acronym = "([A-Z]{2,10})" if compat else "((?-i:[A-Z]{2,10}))"
 
-    def found(index: int, priority: int, kind: str, pattern: str) -> Column:
+    def found(x: Column, index: int, priority: int, kind: str, pattern: str) -> Column:
         regex = "(?iu)" + pattern.replace("{acr}", acronym)
-        # one pass over the text per pattern; the groups are read from the short matches
-        return F.transform(C.matches(text, regex), lambda m, j: F.struct(
+        # one pass over a text with the words of the pattern; the groups are read from the short matches
+        some = x["low"].contains("art") & C.contains_any(x["low"], X.REFERENCE_WORDS[index])
+        return F.transform(F.when(some, C.matches(x["text"], regex)).otherwise(F.array().cast("array<string>")), lambda m, j: F.struct(
             F.lit(priority).alias("priority"), F.lit(index).alias("pattern"), j.alias("pos"),
             F.regexp_extract(m, regex, 1).alias("number"), naming[kind](F.regexp_extract(m, regex, 2)).alias("source")))
 
-    return F.concat(*[found(i, *rule) for i, rule in enumerate(X.REFERENCES)])
+    both = F.struct(_col(text).alias("text"), F.lower(_col(text)).alias("low"))
+    return C.let(both, lambda x: F.concat(*[found(x, i, *rule) for i, rule in enumerate(X.REFERENCES)]))
 
 
 def extract_references(articles: DataFrame, keys: list[str], text: str, compat: bool = False) -> DataFrame:
@@ -139,5 +140,15 @@ def top_counts(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 def contexts(df: DataFrame, text: str, term: str, width: int = 80, k: int = 3) -> DataFrame:
     """Up to ``k`` text windows around a term."""
-    found = C.matches(F.col(text), rf"(?is).{{0,{width}}}{term}.{{0,{width}}}")
+    pattern = rf"(?is).{{0,{width}}}{term}.{{0,{width}}}"
+    if term.isascii() and term.isalnum():
+        # only what lies between the first and the last window is read: elsewhere each place would be tried with every width
+        def near(p: Column) -> Column:
+            start = F.greatest(F.length(p[0]) - width, F.lit(0))
+            end = F.length(text) - F.greatest(F.length(F.element_at(p, -1)) - width, F.lit(0))
+            return F.when(F.size(p) > 1, C.matches(F.col(text).substr(start + 1, end - start), pattern)).otherwise(F.array().cast("array<string>"))
+
+        found = C.let(F.split(text, f"(?i){term}", -1), near)
+    else:
+        found = C.matches(F.col(text), pattern)
     return df.withColumn("contexts", F.slice(found, 1, k)).filter(F.size("contexts") > 0)
