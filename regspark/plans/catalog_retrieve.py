@@ -10,14 +10,14 @@ from regspark.functions import fixed as X
 from regspark.operators import cells, chat, enrich, terms
 from regspark.operators import retrieve as V
 from regspark.operators import segment as S
-from regspark.operators.refs import number_parts, reference_list
+from regspark.operators.refs import extract_references, number_parts, reference_list
 from regspark.plans import derive as D
 from regspark.plans import retrieval as P
 from regspark.plans.catalog import ORACLES, lit, register
 from regspark.plans.catalog_segment import CHUNKS, ITEMS, REFS, _chunks, _md, _real, _refs, MD_ART
 from regspark.plans.catalog_text import CLEAN_ANSWER, keywords_sql, strip
 from regspark.providers import HashingEmbedding, WordOverlapScore, add_embeddings, score_column
-from regspark.session import ensure_checkpoint_dir
+from regspark.session import cut_lineage, ensure_checkpoint_dir
 from regspark.sources import files
 
 BASE = "WITH " + D.VECTOR_SQL
@@ -181,8 +181,9 @@ SELECT i.doc, i.number, '## Articulo ' || i.number || ': ' || heading || chr(10)
 || chr(10) || '**Contenido:**' || chr(10) || chr(10) || CASE WHEN len(ps) >= 2 THEN array_to_string(list_transform(its, lambda x: '**' || x.number || '.** ' || x.text || chr(10) || chr(10)), '') ELSE body || chr(10) || chr(10) END
 || CASE WHEN len(coalesce(rs, [])) > 0 THEN '**Referencias:**' || chr(10) || array_to_string(rs[1:10], ', ') || chr(10) ELSE '' END AS card FROM items i LEFT JOIN rl ON rl.doc = i.doc AND rl.number = i.number""")
 def _(spark, sf):
-    a = _real(spark, sf).withColumn("structure", S.numbered_paragraphs("body"))
-    j = a.join(reference_list(_refs(spark, sf), ["doc", "number"]), ["doc", "number"], "left")
+    real = cut_lineage(_real(spark, sf))  # written once: cards and references both read it
+    a = real.withColumn("structure", S.numbered_paragraphs("body"))
+    j = a.join(reference_list(extract_references(real, ["doc", "number"], "body"), ["doc", "number"]), ["doc", "number"], "left")
     j = j.withColumn("refs", F.coalesce("refs", F.array().cast("array<struct<number:string,source:string>>")))
     return j.select("doc", "number", V.article_card().alias("card"))
 
@@ -431,7 +432,7 @@ def _(spark, sf):
 @register("w09_numeric_order", f"{REFS} SELECT ref_number, dense_rank() OVER (ORDER BY CAST(regexp_extract(ref_number, '^(\\d+)', 1) AS INT), TRY_CAST(regexp_extract(ref_number, '\\.(\\d+)$', 1) AS INT) NULLS FIRST) AS place FROM (SELECT DISTINCT ref_number FROM refs)")
 def _(spark, sf):
     # places come from counting smaller distinct sort keys per whole part, so no single global window is needed
-    d = _refs(spark, sf).select("ref_number").distinct()
+    d = cut_lineage(_refs(spark, sf).select("ref_number").distinct())  # written once: the places read it three times
     whole, part = number_parts("ref_number")
     d = d.select("ref_number", whole.alias("w"), F.coalesce(part, F.lit(-1)).alias("p"))
     from pyspark.sql import Window
