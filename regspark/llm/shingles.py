@@ -49,7 +49,7 @@ def shingle_set(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((h(b" ".join(x), seed) for x in zip(*(words[k:] for k in range(width)))), np.uint64))
 
 
-def signature(hashes: np.ndarray, block: int = 1 << 12) -> bytes:
+def signature(hashes: np.ndarray, block: int = 1 << 9) -> bytes:
     """A byte for each position; none for the empty set."""
     if not len(hashes):
         return b""

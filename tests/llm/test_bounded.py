@@ -188,3 +188,19 @@ def test_words_cut_into_parts_encode_as_the_library_does():
         ids, ends = encoder.encode(pa.array(texts))
         got = [x.tolist() for x in np.split(ids, ends[:-1])]
         assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_signature_of_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from regspark.llm.shingles import signature
+
+    hashes = np.unique(np.random.default_rng(1).integers(0, 2**64, 20_000, dtype=np.uint64))
+    tracemalloc.start()
+    own = signature(hashes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6
+    assert own == signature(hashes, 1 << 12)
