@@ -19,6 +19,23 @@ def test_pairs_that_share_tokens(spark):
     assert streets.sharing(frame([]), frame(b)).collect() == []
 
 
+def test_pairs_are_counted_in_tiles(spark, monkeypatch):
+    """No row is made for a pair that only meets at a frequent word; sets lie in several tiles, ids come twice, sets are long."""
+    rnd = random.Random(5)
+    words = ["the", "of", "and"] + [f"w{i}" for i in range(400)]
+    own = lambda i: None if i % 31 == 0 else [*words[:i % 4], *(rnd.choice(words) for _ in range(i % 5)), None] if i % 50 else [*words, words[i % 403]]
+    a, b = ([(i % (n - 9) if i % 23 else None, own(i)) for i in range(n)] for n in (260, 170))
+    frame = lambda r: spark.createDataFrame(r, "id long, tokens array<string>")
+    held = lambda rows: {k: {w for i, x in rows for w in x or [] if i == k and w is not None} for k, _ in rows}
+    want = {(i, j, len(x & y)) for i, x in held(a).items() for j, y in held(b).items() if len(x & y) >= 2}
+    for tile in (1 << 16, 40):
+        monkeypatch.setattr(streets, "TILE", tile, raising=False)
+        got = streets.sharing(frame(a), frame(b).withColumn("id", F.col("id").cast("string")))
+        rows = [(r.id_a, None if r.id_b is None else int(r.id_b), r.common) for r in got.collect()]
+        assert len(rows) == len(want) and set(rows) == want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_same_streets_are_those_that_are_not_different(spark):
     from regspark.functions import text as C
 
