@@ -231,3 +231,18 @@ def test_the_stored_index_has_no_row_a_place(spark, tmp_path):
     terms.add_to_index(folder, spark.createDataFrame([(1, "abc" * 1000)], "id int, text string"), "0001", "id", "text")
     kept = [f for f in tmp_path.rglob("batch=0001") if f.parent.name not in ("texts", "grams")]
     assert len(kept) == 1 and spark.read.parquet(str(kept[0])).count() == 5
+
+
+def test_the_index_is_written_without_a_shuffle_of_its_rows(spark, tmp_path):
+    """A row of the index stands for a q-gram of many texts, and neither writing nor reading shuffles the whole index."""
+    rows = [(i, f"text {i % 7} of {i}" + "x" * (i % 5)) for i in range(400)]
+    data = spark.createDataFrame(rows, "id int, text string").repartition(2)
+    folder = str(tmp_path / "i")
+    terms.add_to_index(folder, data, "0001", "id", "text")
+    kept = [f for f in tmp_path.rglob("batch=0001") if f.parent.name not in ("texts", "grams")]
+    assert len(kept) == 1 and spark.read.parquet(str(kept[0])).count() < terms.places(data, "id", "text").count() / 2
+    asked = spark.createDataFrame([("7 of",), ("xxxx",), ("t 3 o",), ("9",)], "term string")
+    for most in (200_000, 0):  # anchors sent to all tasks, or joined
+        found = terms.search_index(spark, folder, asked, most=most)
+        assert rows_of(found.select("term", "id", "places")) == sorted(brute_places(rows, ["7 of", "xxxx", "t 3 o", "9"]), key=repr)
+        assert ("LeftSemi" in found._jdf.queryExecution().executedPlan().toString()) == (most > 0)
